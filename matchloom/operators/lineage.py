@@ -1,0 +1,23 @@
+"""Cutting lineage on storage every executor can reach."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the folder the session names in ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a folder of its own; a cluster must name one.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+            folder = tempfile.mkdtemp(prefix="matchloom-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
