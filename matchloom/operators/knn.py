@@ -224,7 +224,9 @@ def _search(
     wanted = per_cell.select("cell", "chunk").distinct()
     blocks = F.explode(F.sequence(F.lit(0), F.element_at(blocks_of, F.col("cell") + 1) - 1)).alias("block")
     asked = per_cell.select("query_id", F.col("vec").alias("query_vec"), "chunk", "cell", blocks)
-    offered = salted.join(wanted, "cell").select("item_id", "vec", "chunk", "cell", "block")
+    offered = salted.join(wanted, "cell").select(
+        "item_id", "vec", *[F.col(c).alias(f"to_{c}") for c in ("chunk", "cell", "block")]
+    )
 
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -239,8 +241,11 @@ def _search(
             k,
         )
 
-    keys = ("chunk", "cell", "block")
-    partial = asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInArrow(tile, HITS)
+    partial = (
+        asked.groupBy("chunk", "cell", "block")
+        .cogroup(offered.groupBy("to_chunk", "to_cell", "to_block"))
+        .applyInArrow(tile, HITS)
+    )
     order = [F.desc("score"), F.asc("item_id")]
     return top_n(partial, ["query_id"], order, k, "retrieval_rank")
 
