@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from matchloom.catalog.registry import query, r6, sql_normalize, table
+from matchloom.catalog.registry import query, r6, sql_normalize, table, texts
 from matchloom.catalog.text import PART_FAMILIES, PART_SQL_FAMILY, PART_SQL_NAMES
 from matchloom.functions.taxonomy import derive_family
 from matchloom.functions.text import normalize_text
@@ -55,7 +55,7 @@ def _pairs(spark, sf):
 WHERE {sql_normalize('text')} <> '' GROUP BY lang, md5({sql_normalize('text')})""",
 )
 def dedup_first(spark, sf):
-    hashed = table(spark, sf, "documents").withColumn("norm", normalize_text("text", unicode=False)).filter("norm <> ''")
+    hashed = texts(spark, sf, "documents").withColumn("norm", normalize_text("text", unicode=False)).filter("norm <> ''")
     hashed = hashed.select("doc_id", "lang", F.md5("norm").alias("digest"))
     return keep_first(hashed, ["lang", "digest"], ["doc_id"])
 

@@ -75,7 +75,7 @@ SELECT doc_id, user_id, CASE WHEN length(flat) > 50 THEN rtrim(substring(flat, 1
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY doc_id DESC) <= 30""",
 )
 def persist_runs(spark, sf):
-    requests = table(spark, sf, "documents").select(
+    requests = texts(spark, sf, "documents").select(
         F.col("doc_id").alias("query_id"), (F.col("doc_id") % 20).alias("user_id"), F.col("text").alias("query_text"),
         F.timestamp_seconds(F.col("doc_id")).alias("created_at"),
     )

@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from matchloom.catalog.registry import (
-    LEXICON, join_text, query, r6, sql_digest, sql_skills, sql_squeeze, sql_tokens, table,
+    LEXICON, join_text, query, r6, sql_digest, sql_skills, sql_squeeze, sql_tokens, table, texts,
 )
-from matchloom.functions.keys import text_digest
+from matchloom.functions.skills import extract_skills
+from matchloom.functions.text import tokens
 from matchloom.operators.encoding import HASHING_MODEL, encode_incremental, hashing_encoder
 from matchloom.operators.filters import apply_filters, effective_k
 from matchloom.operators.idf import build_idf
+from matchloom.operators.layout import checkpointed
 from matchloom.operators.knn import knn_ann, knn_exact
 from matchloom.operators.matching import explain, hydrate, lexical_scorer, posting_texts, shared_terms
 from matchloom.operators.metrics import attach_truth, candidate_counts, mean_ndcg, ndcg, recall_at_k
@@ -22,7 +24,7 @@ from matchloom.operators.ranking import rank_by, rank_delta, sort_results
 from matchloom.operators.runs import rank_movement, skill_difference, skill_gap, skill_set
 from matchloom.plans.corpus import build_vectors
 from matchloom.plans.evaluation import compare_systems
-from matchloom.plans.matching import match, match_distinct, nested_results, retrieve_results
+from matchloom.plans.matching import Matches, match, match_distinct, nested_results, retrieve, retrieve_results
 from matchloom.sources.export import markdown_rows
 
 
@@ -40,7 +42,7 @@ def _family(label):
 
 def _postings(spark, sf):
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
-    return table(spark, sf, "documents").join(vectors, "doc_id").select(
+    return texts(spark, sf, "documents").join(vectors, "doc_id").select(
         F.col("doc_id").alias("job_id"),
         F.concat_ws(" ", "lang", "source").alias("job_title"),
         F.col("text").alias("description"),
@@ -57,7 +59,7 @@ def _requests(spark, sf):
     families = F.when(
         F.col("label") % 2 == 0, F.array(_family(F.col("label")), _family((F.col("label") + 1) % 10))
     )
-    return table(spark, sf, "documents").join(vectors, "doc_id").select(
+    return texts(spark, sf, "documents").join(vectors, "doc_id").select(
         F.col("doc_id").alias("query_id"),
         F.col("text").alias("query_text"),
         F.lit(20).alias("top_k"),
@@ -236,9 +238,7 @@ GROUP BY 1, 2""",
 def lexical_score(spark, sf):
     """Every benchmark text against every posting that shares a term with it: an inverted-index join."""
     postings = _postings(spark, sf)
-    asked = table(spark, sf, "benchmark")
-    from matchloom.functions.text import tokens
-
+    asked = texts(spark, sf, "benchmark")
     left = asked.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(tokens("text"))).alias("term"))
     right = posting_texts(postings, "score").select("job_id", F.explode(F.array_distinct(tokens("body"))).alias("term"))
     weighted = left.join(build_idf(postings).select("term", "idf"), "term")
@@ -254,8 +254,6 @@ JOIN t a ON a.doc_id = r.query_id JOIN t b ON b.doc_id = r.item_id AND b.term =
 WHERE r.retrieval_rank <= 5 GROUP BY 1, 2""",
 )
 def shared_terms_pairs(spark, sf):
-    from matchloom.functions.text import tokens
-
     postings = _postings(spark, sf)
     terms = postings.select("job_id", F.array_distinct(tokens("text")).alias("terms"))
     hits = knn_exact(_queries(spark, sf), _vectors(spark, sf), 5).select("query_id", F.col("item_id").alias("job_id"))
@@ -364,9 +362,7 @@ JOIN ranked r ON r.query_id = c.vec_id AND r.retrieval_rank <= 5""",
 )
 def match_distinct_requests(spark, sf):
     """Fifty texts asked by all conversation turns: matched once each, handed to every asker."""
-    from matchloom.plans.matching import Matches, retrieve
-
-    documents = table(spark, sf, "documents").select(F.col("doc_id").alias("_d"), F.col("text").alias("query_text"))
+    documents = texts(spark, sf, "documents").select(F.col("doc_id").alias("_d"), F.col("text").alias("query_text"))
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("_d"), F.col("embedding").alias("vec"))
     turns = table(spark, sf, "conversations").select(
         (F.lit(1000000) * F.col("turn") + F.col("conv_id")).alias("query_id"), (F.col("conv_id") % 50).alias("_d")
@@ -383,8 +379,8 @@ def match_distinct_requests(spark, sf):
 @query("encode_documents")
 def encode_documents(spark, sf):
     """Hashing encoder over all documents; the texts that have a vector already are not encoded again."""
-    documents = table(spark, sf, "documents").select("doc_id", "text")
-    _, known = encode_incremental(table(spark, sf, "benchmark").select("text"), "text", None, hashing_encoder(), HASHING_MODEL)
+    documents = texts(spark, sf, "documents").select("doc_id", "text")
+    _, known = encode_incremental(texts(spark, sf, "benchmark").select("text"), "text", None, hashing_encoder(), HASHING_MODEL)
     encoded, _ = encode_incremental(documents, "text", known, hashing_encoder(), HASHING_MODEL)
     return encoded.select("doc_id", F.size("embedding").alias("width"))
 
@@ -399,8 +395,8 @@ def build_posting_vectors(spark, sf):
 def match_encoded(spark, sf):
     """The whole path from text: encode benchmark texts and postings, retrieve, rerank, explain."""
     postings = _postings(spark, sf)
-    vectors, _ = build_vectors(postings, check=False)
-    requests = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    vectors = checkpointed(build_vectors(postings, check=False)[0])
+    requests = texts(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     return match(requests, postings, vectors, build_idf(postings), lexicon=LEXICON).results.drop("explanation")
 
 
@@ -441,9 +437,7 @@ SELECT query_id, skill, 'A' AS side FROM (SELECT * FROM sa EXCEPT SELECT * FROM
 UNION ALL SELECT query_id, skill, 'B' FROM (SELECT * FROM sb EXCEPT SELECT * FROM sa)""",
 )
 def compare_skills(spark, sf):
-    from matchloom.functions.skills import extract_skills
-
-    skills = table(spark, sf, "documents").select(F.col("doc_id").alias("job_id"), extract_skills("text", LEXICON).alias("matched_skills"))
+    skills = texts(spark, sf, "documents").select(F.col("doc_id").alias("job_id"), extract_skills("text", LEXICON).alias("matched_skills"))
     a, b = (run.join(skills, "job_id") for run in _two_runs(spark, sf))
     return skill_difference(a, b, ["query_id"])
 
@@ -454,9 +448,7 @@ def compare_skills(spark, sf):
 (SELECT DISTINCT lang, source, unnest({sql_skills('text')}) AS skill FROM documents) GROUP BY lang, source""",
 )
 def skill_sets(spark, sf):
-    from matchloom.functions.skills import extract_skills
-
-    found = table(spark, sf, "documents").select("lang", "source", extract_skills("text", LEXICON).alias("matched_skills"))
+    found = texts(spark, sf, "documents").select("lang", "source", extract_skills("text", LEXICON).alias("matched_skills"))
     distinct = skill_set(found, ["lang", "source"])
     return distinct.groupBy("lang", "source").agg(join_text(F.array_sort(F.collect_set("skill"))).alias("skills"))
 

@@ -26,7 +26,7 @@ c AS (SELECT doc_id, list_filter([CASE WHEN length(text) < 40 THEN 'resume_text
 
 def _requests(spark, sf):
     d = F.col("doc_id")
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         "doc_id", F.col("text").alias("resume_text"),
         F.when(d % 11 == 0, 0).when(d % 13 == 0, 201).otherwise(30).alias("top_k"),
         F.when(d % 7 == 0, 51).otherwise(10).alias("top_n"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from matchloom.functions.skills import Skill
 from matchloom.functions.text import STOP_WORDS
+from matchloom.operators.layout import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A text table, dealt out over the cores when it is one small file."""
+    return spread(table(spark, sf_dir, name))
+
+
 def r6(value: Column | str) -> Column:
     return F.round(F.col(value) if isinstance(value, str) else value, 6)
 

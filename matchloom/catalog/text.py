@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from matchloom.catalog.registry import (
     LEXICON, join_text, query, r6, sql_digest, sql_explain_normalize, sql_normalize, sql_skills, sql_squeeze,
-    sql_strip, sql_tokens, table,
+    sql_strip, sql_tokens, table, texts,
 )
 from matchloom.functions.keys import category_key, email_key, filters_digest, request_key, text_digest, text_hash
 from matchloom.functions.scores import scale_scores, sigmoid, to_percent
@@ -34,7 +34,7 @@ PART_SQL_LABEL = """CASE family WHEN 'RING' THEN 'Ring' WHEN 'BOLT-ROD' THEN 'Bo
 
 @query("normalize_pages", f"SELECT page_id, {sql_normalize('html')} AS norm FROM pages")
 def normalize_pages(spark, sf):
-    return table(spark, sf, "pages").select("page_id", normalize_text("html", unicode=False).alias("norm"))
+    return texts(spark, sf, "pages").select("page_id", normalize_text("html", unicode=False).alias("norm"))
 
 
 @query(
@@ -44,7 +44,7 @@ def normalize_pages(spark, sf):
 FROM documents""",
 )
 def normalize_documents(spark, sf):
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         "doc_id",
         category_key("source", unicode=False).alias("source_key"),
         combine_text("source", "text", "lang", unicode=False).alias("combined"),
@@ -53,12 +53,12 @@ def normalize_documents(spark, sf):
 
 @query("normalize_documents_unicode")
 def normalize_documents_unicode(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", normalize_text("text").alias("norm"))
+    return texts(spark, sf, "documents").select("doc_id", normalize_text("text").alias("norm"))
 
 
 @query("strip_documents", f"SELECT doc_id, {sql_strip('text')} AS text, '' AS note FROM documents")
 def strip_documents(spark, sf):
-    documents = table(spark, sf, "documents").select("doc_id", "text")
+    documents = texts(spark, sf, "documents").select("doc_id", "text")
     return clean_text(clean_text(documents, "text"), "note")
 
 
@@ -67,7 +67,7 @@ def strip_documents(spark, sf):
     f"SELECT conv_id, turn, {sql_squeeze('text')} AS squeezed, {sql_digest('text')} AS digest FROM conversations",
 )
 def text_digests(spark, sf):
-    return table(spark, sf, "conversations").select(
+    return texts(spark, sf, "conversations").select(
         "conv_id", "turn", squeeze("text").alias("squeezed"), text_digest("text").alias("digest")
     )
 
@@ -86,7 +86,7 @@ d AS (SELECT *, substring(sha256(CASE WHEN doc_id % 7 = 6 THEN '{{}}' ELSE {_FIL
 SELECT doc_id, filters_digest, concat('match:v1:', {sql_digest('text')}, ':', top_k, ':', top_n, ':', filters_digest, ':', doc_id % 2) AS key FROM d""",
 )
 def request_keys(spark, sf):
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf, "documents")
     families = F.when(d.doc_id % 3 == 0, F.array("lang")).when(d.doc_id % 3 == 1, F.array("lang", "source"))
     scores = (
         F.when(d.doc_id % 5 == 0, 0.5).when(d.doc_id % 5 == 1, 0.25).when(d.doc_id % 5 == 2, 1.0).when(d.doc_id % 5 == 3, 0.0001)
@@ -107,12 +107,12 @@ def request_keys(spark, sf):
     f"SELECT doc_id, sha256(concat('hashing-tf', chr(0), {sql_squeeze('text')})) AS text_hash FROM documents",
 )
 def vector_keys(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text_hash("text", "hashing-tf").alias("text_hash"))
+    return texts(spark, sf, "documents").select("doc_id", text_hash("text", "hashing-tf").alias("text_hash"))
 
 
 @query("explain_normalize", f"SELECT doc_id, {sql_explain_normalize('text')} AS norm FROM documents")
 def explain_normalized(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", explain_normalize("text").alias("norm"))
+    return texts(spark, sf, "documents").select("doc_id", explain_normalize("text").alias("norm"))
 
 
 @query(
@@ -121,7 +121,7 @@ def explain_normalized(spark, sf):
 GROUP BY lang, term""",
 )
 def token_counts_by_lang(spark, sf):
-    return token_counts(table(spark, sf, "documents"), "text", ["lang"])
+    return token_counts(texts(spark, sf, "documents"), "text", ["lang"])
 
 
 @query(
@@ -131,7 +131,7 @@ f AS (SELECT term, count(*) AS df FROM t GROUP BY term ORDER BY df DESC, term LI
 SELECT term, df, round(ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1.0, 6) AS idf FROM f""",
 )
 def idf_top(spark, sf):
-    return build_idf(table(spark, sf, "documents")).select("term", "df", r6("idf").alias("idf"))
+    return build_idf(texts(spark, sf, "documents")).select("term", "df", r6("idf").alias("idf"))
 
 
 @query(
@@ -170,7 +170,7 @@ def label_relevance_parts(spark, sf):
 
 @query("skills_documents", f"SELECT doc_id, array_to_string({sql_skills('text')}, '|') AS skills FROM documents")
 def skills_documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", join_text(extract_skills("text", LEXICON)).alias("skills"))
+    return texts(spark, sf, "documents").select("doc_id", join_text(extract_skills("text", LEXICON)).alias("skills"))
 
 
 _SQL_DOMAINS = ", ".join(f"('{s.canonical}', '{s.domain}')" for s in LEXICON)
@@ -183,7 +183,7 @@ SELECT lang, skill, d.domain AS domains, count(*) AS n FROM s JOIN (VALUES {_SQL
 GROUP BY lang, skill, d.domain""",
 )
 def skill_domain_counts(spark, sf):
-    found = table(spark, sf, "documents").select("lang", F.explode(extract_skills("text", LEXICON)).alias("skill"))
+    found = texts(spark, sf, "documents").select("lang", F.explode(extract_skills("text", LEXICON)).alias("skill"))
     counts = found.groupBy("lang", "skill").agg(F.count(F.lit(1)).alias("n"))
     return skill_domains(counts, LEXICON).select("lang", "skill", join_text("domains").alias("domains"), "n")
 
@@ -196,7 +196,7 @@ SELECT doc_id, substring(flat, 1, 1200) AS rerank_text, substring(text, 1, 400)
   {sql_squeeze("source || ' ' || text")} AS embedded FROM s""",
 )
 def truncations(spark, sf):
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         "doc_id",
         cap(squeeze("text"), 1200).alias("rerank_text"),
         cap("text", 400).alias("history_text"),
@@ -213,7 +213,7 @@ def highlight(spark, sf):
     terms = F.array(*[F.lit(t) for t in (" the", "and ", "", "c++", "der", "under the")])
     parts = highlight_parts("text", terms)
     marked = F.transform(parts, lambda p: F.when(p["is_match"], F.concat(F.lit("["), p["part"], F.lit("]"))).otherwise(p["part"]))
-    return table(spark, sf, "documents").select("doc_id", F.array_join(marked, "").alias("marked"))
+    return texts(spark, sf, "documents").select("doc_id", F.array_join(marked, "").alias("marked"))
 
 
 @query(
@@ -259,7 +259,7 @@ SELECT doc_id, coalesce(job_text, text, description) AS rerank_text,
   coalesce(nullif(job_text, ''), nullif(text, ''), nullif(description, ''), '') AS explain_text FROM c""",
 )
 def candidate_text(spark, sf):
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf, "documents")
     job_text = F.when(d.doc_id % 3 == 1, "").when(d.doc_id % 3 == 2, d.source)
     return d.select("doc_id", job_text.alias("job_text"), "lang", "source").select(
         "doc_id",
@@ -277,6 +277,6 @@ SELECT doc_id, status, CASE WHEN status = 'ok' THEN substring(flat, 1, 20000) EN
   CASE WHEN status = 'ok' THEN length(flat) > 20000 END AS truncated FROM o""",
 )
 def extraction_guard(spark, sf):
-    files = table(spark, sf, "documents").select("doc_id", "n_chars", F.col("text").alias("raw_text"))
+    files = texts(spark, sf, "documents").select("doc_id", "n_chars", F.col("text").alias("raw_text"))
     guarded = guard_extracted(files, length="n_chars", max_bytes=30_000)
     return guarded.select("doc_id", "status", "text", "char_count", "truncated")

@@ -1,4 +1,4 @@
-"""Cutting lineage on storage every executor can reach."""
+"""Physical layout: cutting lineage on shared storage, dealing out small inputs."""
 
 from __future__ import annotations
 
@@ -21,3 +21,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="matchloom-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, scan: DataFrame | None = None) -> DataFrame:
+    """Deal rows out evenly when the input has fewer splits than the cluster has cores.
+
+    Text expressions cost far more than moving the text once, and one small file would keep a single
+    core busy. An input with enough splits stays as it is, without a shuffle. ``scan`` is the plain
+    scan ``df`` was made from; only its splits are counted, nothing runs.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if (scan or df).rdd.getNumPartitions() < cores else df

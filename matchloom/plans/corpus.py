@@ -11,6 +11,7 @@ from matchloom.functions.taxonomy import FAMILIES, Taxonomy, derive_family
 from matchloom.functions.text import clean_text, embedding_text, join_parts, normalize_text
 from matchloom.operators.encoding import HASHING_MODEL, Encoder, check_vectors, encode_incremental, hashing_encoder
 from matchloom.operators.idf import build_idf
+from matchloom.operators.layout import spread
 from matchloom.operators.ranking import keep_first, with_ingest_order
 from matchloom.operators.sampling import attach_texts, build_pairs, extend_taxonomy, holdout, stratified_sample
 from matchloom.sources.csv import POSTING_ALIASES, RESUME_ALIASES, read_aliased_csv
@@ -24,7 +25,7 @@ DEMO_SIZE, DEMO_FLOOR, DEMO_CHARS = 25_000, 200, 1200
 
 
 def _identified(raw: DataFrame, name: str) -> DataFrame:
-    ordered = with_ingest_order(raw)
+    ordered = spread(with_ingest_order(raw), raw)
     given = F.col(name).try_cast("long") if name in raw.columns else F.col("ingest_ord")
     return ordered.withColumn(name, given)
 

@@ -24,7 +24,7 @@ from matchloom.operators.filters import (
     reaches,
 )
 from matchloom.operators.knn import knn_exact
-from matchloom.operators.lineage import checkpointed
+from matchloom.operators.layout import checkpointed
 from matchloom.operators.matching import PAIR, Scorer, assemble, explain, lexical_scorer, rerank
 from matchloom.operators.ranking import keep_first
 from matchloom.sources.schemas import EXPLANATION
@@ -72,6 +72,8 @@ def retrieve(
     asked = asked.withColumn("depth", effective_k("top_k", "job_families") if overfetch else F.col("top_k"))
     if "vec" not in asked.columns:
         asked = (encoder or hashing_encoder())(asked.withColumn("_text", squeeze("query_text")), "_text", "vec")
+    # ids, depths and vectors only: the search reads them several times, the encoder must run once
+    asked = checkpointed(asked.select("query_id", "depth", "vec"))
     deepest = asked.agg(F.max("depth").alias("d")).first().d or 0
     hits = search(asked.select("query_id", "vec"), vectors, int(deepest)).select(
         "query_id",
