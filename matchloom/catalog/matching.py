@@ -229,20 +229,16 @@ def filter_scores(spark, sf):
 
 @query(
     "lexical_score",
-    f"""WITH {_SQL_POSTINGS}, {_SQL_IDF},
-b AS (SELECT item_id, unnest(list_distinct({sql_tokens('text')})) AS term FROM benchmark),
-j AS (SELECT doc_id, unnest(list_distinct({sql_tokens(f"substring({sql_squeeze('text')}, 1, 1200)")})) AS term FROM postings)
-SELECT b.item_id AS query_id, j.doc_id AS job_id, round(sum(i.idf), 6) AS score FROM b JOIN j USING (term) JOIN idf i USING (term)
-GROUP BY 1, 2""",
+    f"WITH {_SQL_MATCH} SELECT query_id, item_id AS job_id, cross_score AS score FROM scored",
 )
 def lexical_score(spark, sf):
-    """Every benchmark text against every posting that shares a term with it: an inverted-index join."""
-    postings = _postings(spark, sf)
-    asked = texts(spark, sf, "benchmark")
-    left = asked.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(tokens("text"))).alias("term"))
-    right = posting_texts(postings, "score").select("job_id", F.explode(F.array_distinct(tokens("body"))).alias("term"))
-    weighted = left.join(build_idf(postings).select("term", "idf"), "term")
-    return weighted.join(right, "term").groupBy("query_id", "job_id").agg(r6(F.sum("idf")).alias("score"))
+    """The default pair score of every candidate that passes the family filter."""
+    requests, postings = _requests(spark, sf), _postings(spark, sf)
+    families = requests.select("query_id", "job_families")
+    candidates = retrieve(requests, postings, _vectors(spark, sf)).join(families, "query_id")
+    eligible = apply_filters(candidates, F.col("job_families")).select("query_id", "job_id")
+    scored = lexical_scorer(build_idf(postings))(eligible, requests.select("query_id", "query_text"), postings)
+    return scored.withColumnRenamed("cross_encoder_score", "score")
 
 
 @query(
@@ -463,12 +459,12 @@ n AS (SELECT query_id, max(size) AS size, coalesce(sum(CASE WHEN pos <= {k} THEN
 per_query AS (SELECT query_id, round(CASE WHEN size < 2 THEN NULL WHEN ideal = 0 THEN 0.0 ELSE dcg / ideal END, 6) AS ndcg FROM n)"""
 
 
-def _truth(spark, sf):
-    """All pairs of vectors with equal labels are relevant."""
-    e = table(spark, sf, "embeddings").select("vec_id", "label")
-    return e.select(F.col("vec_id").alias("query_id"), "label").join(
-        e.select(F.col("vec_id").alias("job_id"), "label"), "label"
-    ).filter("query_id <> job_id").select("query_id", "job_id", F.lit(1).alias("relevance"))
+def _labelled(spark, sf, results):
+    """Relevance of retrieved pairs: equal labels of two different vectors."""
+    e = table(spark, sf, "embeddings")
+    query, job = (e.select(F.col("vec_id").alias(i), F.col("label").alias(n)) for i, n in (("query_id", "_q"), ("job_id", "_j")))
+    relevant = (F.col("_q") == F.col("_j")) & (F.col("query_id") != F.col("job_id"))
+    return results.join(query, "query_id").join(job, "job_id").withColumn("relevance", relevant.cast("int")).drop("_q", "_j")
 
 
 @query(
@@ -478,7 +474,7 @@ def _truth(spark, sf):
 )
 def ndcg_baseline(spark, sf):
     hits = knn_exact(_queries(spark, sf), _vectors(spark, sf), 10).withColumnRenamed("item_id", "job_id")
-    return ndcg(attach_truth(hits, _truth(spark, sf))).select("query_id", r6("ndcg").alias("ndcg"))
+    return ndcg(_labelled(spark, sf, hits)).select("query_id", r6("ndcg").alias("ndcg"))
 
 
 @query(
@@ -488,7 +484,7 @@ def ndcg_baseline(spark, sf):
 )
 def ndcg_reranked(spark, sf):
     results = _match(spark, sf).results.withColumn("score", F.col("cross_encoder_score"))
-    return ndcg(attach_truth(results, _truth(spark, sf))).select("query_id", r6("ndcg").alias("ndcg"))
+    return ndcg(_labelled(spark, sf, results)).select("query_id", r6("ndcg").alias("ndcg"))
 
 
 @query(
@@ -496,16 +492,49 @@ def ndcg_reranked(spark, sf):
     f"""WITH {_SQL_MATCH},
 ra AS (SELECT query_id, score, (q_label = v_label AND query_id <> item_id)::INT::DOUBLE AS rel FROM ranked WHERE retrieval_rank <= 10),
 rb AS (SELECT query_id, cross_score AS score, (q_label = v_label AND query_id <> item_id)::INT::DOUBLE AS rel FROM shown),
-a AS (WITH {_sql_ndcg('ra', 'score')} SELECT * FROM per_query), b AS (WITH {_sql_ndcg('rb', 'score')} SELECT * FROM per_query)
+pool AS (SELECT query_id FROM ra WHERE rel > 0 UNION SELECT query_id FROM rb WHERE rel > 0),
+a AS (WITH {_sql_ndcg('ra', 'score')} SELECT * FROM per_query JOIN pool USING (query_id)),
+b AS (WITH {_sql_ndcg('rb', 'score')} SELECT * FROM per_query JOIN pool USING (query_id))
 SELECT 'retrieval' AS system, count(ndcg) AS queries, round(avg(ndcg), 4) AS mean_ndcg FROM a
 UNION ALL SELECT 'reranked', count(ndcg), round(avg(ndcg), 4) FROM b""",
 )
 def compare_both_systems(spark, sf):
+    """The truth is pooled: every pair either system returned, labelled once."""
     hits = knn_exact(_queries(spark, sf), _vectors(spark, sf), 10).select(
         "query_id", F.col("item_id").alias("job_id"), F.col("score").alias("bi_encoder_score")
     )
-    table_ = compare_systems(hits, _match(spark, sf).results, _truth(spark, sf))
-    return table_.select("system", "queries", F.round("mean_ndcg", 4).alias("mean_ndcg"))
+    reranked = _match(spark, sf).results
+    pool = hits.select("query_id", "job_id").union(reranked.select("query_id", "job_id")).distinct()
+    systems = compare_systems(hits, reranked, _labelled(spark, sf, pool))
+    return systems.select("system", "queries", F.round("mean_ndcg", 4).alias("mean_ndcg"))
+
+
+@query(
+    "truth_lookup",
+    """WITH r AS (SELECT l_orderkey AS query_id, l_partkey AS job_id, sum(l_extendedprice) AS score FROM lineitem GROUP BY 1, 2),
+t AS (SELECT DISTINCT l_orderkey AS query_id, l_partkey AS job_id, 1 AS relevance FROM lineitem WHERE l_returnflag = 'R')
+SELECT r.query_id, r.job_id, coalesce(t.relevance, 0) AS relevance FROM r LEFT JOIN t USING (query_id, job_id)""",
+)
+def truth_lookup(spark, sf):
+    items = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("job_id"), "l_returnflag"
+    )
+    truth = items.filter("l_returnflag = 'R'").select("query_id", "job_id").distinct().withColumn("relevance", F.lit(1))
+    return attach_truth(items.select("query_id", "job_id").distinct(), truth)
+
+
+@query(
+    "mean_ndcg",
+    f"""WITH r AS (SELECT o_custkey AS query_id, o_totalprice AS score, CASE o_orderstatus WHEN 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS rel FROM orders),
+{_sql_ndcg('r', 'score')}, t AS (SELECT DISTINCT query_id FROM r WHERE rel > 0)
+SELECT count(ndcg) AS queries, round(avg(ndcg), 4) AS mean_ndcg FROM per_query JOIN t USING (query_id)""",
+)
+def mean_ndcg_orders(spark, sf):
+    rows = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("query_id"), F.col("o_totalprice").alias("score"),
+        (F.col("o_orderstatus") == "F").cast("int").alias("relevance"),
+    )
+    return mean_ndcg(ndcg(rows), rows).select("queries", F.round("mean_ndcg", 4).alias("mean_ndcg"))
 
 
 @query(

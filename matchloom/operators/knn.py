@@ -10,8 +10,9 @@ Both run the same three steps.
    ``nprobe`` cells.
 3. *Tiles.* Cells are salted into blocks of bounded size and queries into chunks of bounded size. A
    task multiplies one block by one chunk and returns only the best ``k`` of each query; a last
-   rank merges them. However the vectors cluster, even if a third of them are the same, a tile is
-   never larger than ``block_rows x chunk_rows``.
+   rank merges them. However the vectors cluster, even if a third of them are the same, a tile stays
+   near ``block_rows x chunk_rows``. Both sides are sent once per tile they take part in, so tiles are
+   as large as ``TILE_BYTES`` allows: the traffic falls with their edge.
 """
 
 from __future__ import annotations
@@ -27,8 +28,7 @@ from matchloom.operators.ranking import top_n
 
 MAX_CELLS = 4096
 MAX_PIVOT_VALUES = 8_000_000
-BLOCK_ROWS = 4096
-CHUNK_ROWS = 4096
+TILE_BYTES = 64 * 2**20  # of one side of a tile, in double precision
 # Scores are ranked after rounding, so a bound may miss by half a unit of the last decimal.
 _SLACK = 10.0 ** -SCORE_DECIMALS
 
@@ -188,8 +188,8 @@ def _search(
     k: int,
     nprobe: int | None,
     n_cells: int | None,
-    block_rows: int,
-    chunk_rows: int,
+    block_rows: int | None,
+    chunk_rows: int | None,
     seed: int,
 ) -> DataFrame:
     items = vectors.select(
@@ -203,8 +203,9 @@ def _search(
         return items.sparkSession.createDataFrame([], HITS)
     # enough tiles to keep the cluster busy, none larger than the given sides
     lanes = max(1, int(items.sparkSession.sparkContext.defaultParallelism ** 0.5))
-    block_rows = max(1, min(block_rows, -(-n_items // lanes)))
-    chunk_rows = max(1, min(chunk_rows, -(-n_asks // lanes)))
+    side = max(1, TILE_BYTES // (8 * len(items.first().vec)))
+    block_rows = max(1, min(block_rows or side, -(-n_items // lanes)))
+    chunk_rows = max(1, min(chunk_rows or side, -(-n_asks // lanes)))
     pivots = _pick_pivots(items, n_cells or -(-n_items // block_rows), seed)
     assigned = assign_cells(items, pivots)
     cells = _cell_stats(assigned, pivots)
@@ -221,10 +222,11 @@ def _search(
         "chunk", F.pmod(F.xxhash64("query_id"), F.lit(n_chunks)).cast("int")
     )
     per_cell = visits.select("query_id", "vec", "chunk", F.explode("cells").alias("cell"))
-    wanted = per_cell.select("cell", "chunk").distinct()
     blocks = F.explode(F.sequence(F.lit(0), F.element_at(blocks_of, F.col("cell") + 1) - 1)).alias("block")
     asked = per_cell.select("query_id", F.col("vec").alias("query_vec"), "chunk", "cell", blocks)
-    offered = salted.join(wanted, "cell").select(
+    # joined per block, not per cell: a cell with most of the vectors is many join keys
+    wanted = per_cell.select("cell", "chunk").distinct().select("cell", "chunk", blocks)
+    offered = salted.join(wanted, ["cell", "block"]).select(
         "item_id", "vec", *[F.col(c).alias(f"to_{c}") for c in ("chunk", "cell", "block")]
     )
 
@@ -255,8 +257,8 @@ def knn_exact(
     vectors: DataFrame,
     k: int,
     n_cells: int | None = None,
-    block_rows: int = BLOCK_ROWS,
-    chunk_rows: int = CHUNK_ROWS,
+    block_rows: int | None = None,
+    chunk_rows: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
     """``query_id, item_id, score, retrieval_rank``: the exact top ``k`` by inner product.
@@ -273,8 +275,8 @@ def knn_ann(
     k: int,
     nprobe: int = 8,
     n_cells: int | None = None,
-    block_rows: int = BLOCK_ROWS,
-    chunk_rows: int = CHUNK_ROWS,
+    block_rows: int | None = None,
+    chunk_rows: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
     """Approximate top ``k``: only the ``nprobe`` closest cells are visited. Measure it with

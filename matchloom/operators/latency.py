@@ -1,28 +1,29 @@
-"""Windowed latency and error rate, the same for a batch and for a stream."""
+"""Windowed latency and error rate, the same windows for a batch and for a stream."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from matchloom.operators.metrics import POINTS, latency_percentiles
+
 
 def latency_windows(log: DataFrame, width: str = "1 hour", exact: bool = True, accuracy: int = 10_000) -> DataFrame:
     """``start, path, requests, errors, error_rate, p50, p95, p99`` per tumbling window and path.
 
-    ``log(ts, path, status, took_ms)``. ``exact`` interpolates linearly and keeps every value of a
-    window; without it the percentiles are a mergeable sketch of bounded size.
+    ``log(ts, path, status, took_ms)``. ``exact`` interpolates linearly and needs a batch; without it
+    the percentiles are a mergeable sketch of bounded size, in one aggregation.
     """
-    took, points = F.col("took_ms").cast("double"), [0.5, 0.95, 0.99]
-    found = F.percentile(took, points) if exact else F.percentile_approx(took, points, accuracy)
-    grouped = log.groupBy(F.window("ts", width).alias("_w"), "path").agg(
-        F.count(F.lit(1)).alias("requests"),
-        F.count_if(F.col("status") >= 500).alias("errors"),
-        found.alias("_p"),
-    )
-    return grouped.select(
-        F.col("_w.start").alias("start"),
-        "path",
-        "requests",
-        "errors",
-        (F.col("errors") / F.col("requests")).alias("error_rate"),
-        *[F.col("_p")[i].alias(n) for i, n in enumerate(("p50", "p95", "p99"))],
-    )
+    window = F.window("ts", width)
+    counts = [F.count(F.lit(1)).alias("requests"), F.count_if(F.col("status") >= 500).alias("errors")]
+    if exact:
+        windowed = log.withColumn("start", window["start"])
+        grouped = windowed.groupBy("start", "path").agg(*counts)
+        points = latency_percentiles(windowed, "took_ms", ["start", "path"])
+        grouped = grouped.join(points, ["start", "path"], "left")
+    else:
+        sketch = F.percentile_approx(F.col("took_ms").cast("double"), list(POINTS.values()), accuracy)
+        grouped = log.groupBy(window.alias("_w"), "path").agg(*counts, sketch.alias("_p")).select(
+            F.col("_w.start").alias("start"), "path", "requests", "errors",
+            *[F.col("_p")[i].alias(name) for i, name in enumerate(POINTS)],
+        )
+    return grouped.withColumn("error_rate", F.col("errors") / F.col("requests"))

@@ -68,13 +68,16 @@ def _primes(count: int, above: int) -> list[int]:
 _STRIDES = _primes(64, 1_000_000)
 
 
-def _draws(total: Column, wanted: Column, *seed: Column) -> Column:
+def _usable_strides(total: Column) -> Column:
+    return F.filter(F.array(*[F.lit(p).cast("long") for p in _STRIDES]), lambda p: F.pmod(total, p) != 0)
+
+
+def _draws(total: Column, wanted: Column, usable: Column, *seed: Column) -> Column:
     """``wanted`` distinct positions in ``[0, total)``: an affine walk with seeded offset and stride.
 
     The stride is a product of two seeded primes that do not divide ``total``, hence coprime to it,
     hence the walk visits distinct positions.
     """
-    usable = F.filter(F.array(*[F.lit(p).cast("long") for p in _STRIDES]), lambda p: F.pmod(total, p) != 0)
 
     def pick(name: str) -> Column:
         return F.element_at(usable, (F.pmod(F.xxhash64(F.lit(name), *seed), F.size(usable)) + 1).cast("int"))
@@ -109,21 +112,27 @@ def build_pairs(
     signed = _signatures(postings.select("job_id", title), taxonomy, title, unicode)
     indexed = with_hash_position(signed.select("job_id", "signature"), ["job_id"], ["signature"], seed, "slot")
     ranges = _category_ranges(signed, taxonomy)
-    hits = ranges.filter("hit").select("category", F.col("total").alias("n_hit"), F.col("ranges").alias("hit_ranges"))
-    misses = ranges.filter("not hit").select(
-        "category", F.col("total").alias("n_miss"), F.col("ranges").alias("miss_ranges")
-    )
-    offers = hits.join(misses, "category", "left")
+
+    def side(hit: bool, name: str) -> DataFrame:
+        return ranges.filter(F.col("hit") == hit).select(
+            "category",
+            F.col("total").alias(f"n_{name}"),
+            F.col("ranges").alias(f"{name}_ranges"),
+            _usable_strides(F.col("total")).alias(f"{name}_strides"),
+        )
+
+    offers = side(True, "hit").join(side(False, "miss"), "category", "left")
     n_pos = F.least(F.col("n_hit"), F.lit(positives))
     n_neg = F.least(
         F.coalesce("n_miss", F.lit(0)), F.greatest(n_pos, F.lit(1)) * F.greatest(F.lit(negative_ratio), F.lit(1))
     )
 
-    def drawn(total: Column, wanted: Column, ranges_col: str, label: int) -> Column:
-        places = _draws(total, wanted, F.lit(seed), F.lit(label), F.col("resume_id"))
+    def drawn(name: str, wanted: Column, label: int) -> Column:
+        total = F.coalesce(F.col(f"n_{name}"), F.lit(1))  # no such posting: nothing is wanted either
+        places = _draws(total, wanted, F.col(f"{name}_strides"), F.lit(seed), F.lit(label), F.col("resume_id"))
 
         def locate(place: Column) -> Column:
-            home = F.filter(ranges_col, lambda r: (r["start"] <= place) & (place < r["start"] + r["n"]))[0]
+            home = F.filter(f"{name}_ranges", lambda r: (r["start"] <= place) & (place < r["start"] + r["n"]))[0]
             return F.struct(
                 F.lit(label).alias("relevance"),
                 home["signature"].alias("signature"),
@@ -140,9 +149,9 @@ def build_pairs(
             "resume_category",
             F.explode(
                 F.concat(
-                    drawn(F.col("n_hit"), n_pos, "hit_ranges", 1),
+                    drawn("hit", n_pos, 1),
                     F.coalesce(
-                        drawn(F.greatest(F.coalesce("n_miss", F.lit(1)), F.lit(1)), n_neg, "miss_ranges", 0),
+                        drawn("miss", n_neg, 0),
                         F.array().cast("array<struct<relevance:int,signature:string,slot:bigint>>"),
                     ),
                 )
