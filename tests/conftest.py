@@ -10,6 +10,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from pyspark.sql import SparkSession
 
+    import matchloom
+
     session = (
         SparkSession.builder.master("local[8]")
         .appName("tests")
@@ -21,6 +23,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    matchloom.ship(session)
     yield session
     session.stop()
 
