@@ -12,6 +12,7 @@ from matchloom.catalog.text import PART_FAMILIES, PART_SQL_FAMILY, PART_SQL_NAME
 from matchloom.functions.taxonomy import derive_family
 from matchloom.functions.text import normalize_text
 from matchloom.operators.metrics import corpus_summary
+from matchloom.operators.layout import checkpointed
 from matchloom.operators.ranking import keep_first, with_dense_id
 from matchloom.operators.sampling import (
     build_pairs, category_matches, group_sides, holdout_groups, holdout_rows, sample_sizes, strata_sizes, stratified_sample,
@@ -221,5 +222,5 @@ def corpus_summary_parts(spark, sf):
     jobs = titles.withColumn("job_family", derive_family("job_title", PART_FAMILIES, unicode=False)).withColumn(
         "job_category", F.upper("job_title")
     )
-    summary = corpus_summary(jobs, _resumes(spark, sf), _pairs(spark, sf))
+    summary = corpus_summary(jobs, _resumes(spark, sf), checkpointed(_pairs(spark, sf)))
     return summary.withColumn("family_coverage", r6("family_coverage")).withColumn("positive_rate", r6("positive_rate"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from matchloom.catalog.registry import join_text, query, sql_digest, sql_squeeze, table
+from matchloom.catalog.registry import join_text, query, sql_digest, sql_squeeze, table, texts
 from matchloom.functions.text import clip_results
 from matchloom.operators.feedback import feedback_actions, feedback_state, votes_of_run
 from matchloom.operators.filters import live_sessions, purge_sessions

@@ -236,7 +236,7 @@ def lexical_score(spark, sf):
     requests, postings = _requests(spark, sf), _postings(spark, sf)
     families = requests.select("query_id", "job_families")
     candidates = retrieve(requests, postings, _vectors(spark, sf)).join(families, "query_id")
-    eligible = apply_filters(candidates, F.col("job_families")).select("query_id", "job_id")
+    eligible = checkpointed(apply_filters(candidates, F.col("job_families")).select("query_id", "job_id"))
     scored = lexical_scorer(build_idf(postings))(eligible, requests.select("query_id", "query_text"), postings)
     return scored.withColumnRenamed("cross_encoder_score", "score")
 
@@ -500,10 +500,9 @@ UNION ALL SELECT 'reranked', count(ndcg), round(avg(ndcg), 4) FROM b""",
 )
 def compare_both_systems(spark, sf):
     """The truth is pooled: every pair either system returned, labelled once."""
-    hits = knn_exact(_queries(spark, sf), _vectors(spark, sf), 10).select(
-        "query_id", F.col("item_id").alias("job_id"), F.col("score").alias("bi_encoder_score")
-    )
-    reranked = _match(spark, sf).results
+    found = knn_exact(_queries(spark, sf), _vectors(spark, sf), 10)
+    hits = checkpointed(found.select("query_id", F.col("item_id").alias("job_id"), F.col("score").alias("bi_encoder_score")))
+    reranked = checkpointed(_match(spark, sf).results.select("query_id", "job_id", "cross_encoder_score"))
     pool = hits.select("query_id", "job_id").union(reranked.select("query_id", "job_id")).distinct()
     systems = compare_systems(hits, reranked, _labelled(spark, sf, pool))
     return systems.select("system", "queries", F.round("mean_ndcg", 4).alias("mean_ndcg"))

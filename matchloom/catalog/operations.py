@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from matchloom.catalog.history import _SQL_SIGNALS, signals
-from matchloom.catalog.registry import join_text, query, r6, table
+from matchloom.catalog.registry import join_text, query, r6, table, texts
 from matchloom.operators.filters import request_problems, validate_requests
 from matchloom.operators.latency import latency_windows
 from matchloom.operators.metrics import latency_percentiles

@@ -25,19 +25,19 @@ def family_facet(df: DataFrame, family: str = "job_family") -> DataFrame:
 
 def corpus_summary(jobs: DataFrame, resumes: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row: counts, share of positive pairs, share of postings with a family."""
-    j = jobs.agg(
-        F.count(F.lit(1)).alias("jobs"),
-        F.avg((F.col("job_family") != OTHER).cast("double")).alias("family_coverage"),
-        F.countDistinct("job_category").alias("job_categories"),
-    )
-    r = resumes.agg(
-        F.count(F.lit(1)).alias("resumes"), F.countDistinct("resume_category").alias("resume_categories")
-    )
-    p = pairs.agg(F.count(F.lit(1)).alias("pairs"), F.avg("relevance").alias("positive_rate"))
-    # single-row results side by side, on a constant key
-    key = F.lit(1).alias("_one")
-    return (
-        j.select("*", key).join(r.select("*", key), "_one").join(p.select("*", key), "_one").drop("_one")
+
+    def of(df: DataFrame, value: Column) -> Column:
+        return df.agg(value.alias("v")).scalar()
+
+    rows = F.count(F.lit(1))
+    return resumes.agg(rows.alias("resumes"), F.countDistinct("resume_category").alias("resume_categories")).select(
+        of(jobs, rows).alias("jobs"),
+        of(jobs, F.avg((F.col("job_family") != OTHER).cast("double"))).alias("family_coverage"),
+        of(jobs, F.countDistinct("job_category")).alias("job_categories"),
+        "resumes",
+        "resume_categories",
+        of(pairs, rows).alias("pairs"),
+        of(pairs, F.avg("relevance")).alias("positive_rate"),
     )
 
 
