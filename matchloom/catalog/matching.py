@@ -87,7 +87,8 @@ _SQL_IDF = f"""idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM postings)) /
   FROM (SELECT doc_id, unnest(list_distinct({sql_tokens('substring(text, 1, 1200)')})) AS term FROM postings) GROUP BY term
   ORDER BY count(*) DESC, term LIMIT 50000)"""
 _SQL_MATCH = f"""{_SQL_RANKED}, {_SQL_POSTINGS}, {_SQL_IDF},
-candidates AS (SELECT * FROM ranked WHERE retrieval_rank <= CASE WHEN q_label % 2 = 0 THEN 60 ELSE 20 END),
+candidates AS (SELECT r.* FROM ranked r SEMI JOIN postings q ON q.doc_id = r.query_id SEMI JOIN postings j ON j.doc_id = r.item_id
+  WHERE retrieval_rank <= CASE WHEN q_label % 2 = 0 THEN 60 ELSE 20 END),
 eligible AS (SELECT * FROM candidates WHERE q_label % 2 = 1 OR v_label IN (q_label, (q_label + 1) % 10)),
 qterms AS (SELECT doc_id AS query_id, unnest(list_distinct({sql_tokens('text')})) AS term FROM postings),
 jterms AS (SELECT doc_id AS item_id, unnest(list_distinct({sql_tokens(f"substring({sql_squeeze('text')}, 1, 1200)")})) AS term FROM postings),
@@ -142,7 +143,8 @@ def knn_ann_recall(spark, sf):
 @query(
     "knn_overfetch_family",
     f"""WITH {_SQL_RANKED},
-deep AS (SELECT * FROM ranked WHERE retrieval_rank <= CASE WHEN q_label % 2 = 0 THEN 60 ELSE 20 END)
+deep AS (SELECT r.* FROM ranked r SEMI JOIN documents q ON q.doc_id = r.query_id
+  WHERE retrieval_rank <= CASE WHEN q_label % 2 = 0 THEN 60 ELSE 20 END)
 SELECT query_id, item_id, score, retrieval_rank FROM deep WHERE q_label % 2 = 1 OR v_label IN (q_label, (q_label + 1) % 10)""",
 )
 def knn_overfetch_family(spark, sf):
@@ -177,8 +179,11 @@ def hydrate_hits(spark, sf):
 
 @query(
     "retrieve_stage",
-    f"""WITH {_SQL_RANKED} SELECT query_id, item_id AS job_id, score AS bi_encoder_score, 0.0::DOUBLE AS cross_encoder_score,
-  retrieval_rank, CAST(retrieval_rank AS INTEGER) AS rank FROM ranked WHERE retrieval_rank <= 5""",
+    f"""WITH {_SQL_RANKED}, {_SQL_POSTINGS},
+kept AS (SELECT r.*, row_number() OVER (PARTITION BY query_id ORDER BY retrieval_rank) AS rank FROM ranked r
+  SEMI JOIN postings q ON q.doc_id = r.query_id SEMI JOIN postings j ON j.doc_id = r.item_id WHERE retrieval_rank <= 20)
+SELECT query_id, item_id AS job_id, score AS bi_encoder_score, 0.0::DOUBLE AS cross_encoder_score,
+  retrieval_rank, CAST(rank AS INTEGER) AS rank FROM kept WHERE rank <= 5""",
 )
 def retrieve_stage(spark, sf):
     return retrieve_results(_requests(spark, sf), _postings(spark, sf), _vectors(spark, sf)).drop("explanation")
@@ -354,7 +359,7 @@ def export_markdown(spark, sf):
     "match_distinct",
     f"""WITH {_SQL_RANKED}, c AS (SELECT conv_id, turn, 1000000 * turn + conv_id AS query_id, conv_id % 50 AS vec_id FROM conversations)
 SELECT c.query_id, r.item_id AS job_id, r.score AS bi_encoder_score, r.retrieval_rank FROM c
-JOIN ranked r ON r.query_id = c.vec_id AND r.retrieval_rank <= 5""",
+JOIN ranked r ON r.query_id = c.vec_id AND r.retrieval_rank <= 5 SEMI JOIN documents d ON d.doc_id = r.item_id""",
 )
 def match_distinct_requests(spark, sf):
     """Fifty texts asked by all conversation turns: matched once each, handed to every asker."""
