@@ -82,6 +82,11 @@ def squeeze(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(_col(text), F.lit("")), rf"(?U){_BLANK}+", " "))
 
 
+def is_blank(text: Column | str) -> Column:
+    """True for null and for whitespace only; stops at the first visible character."""
+    return F.coalesce(~_col(text).rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(True))
+
+
 def explain_normalize(text: Column | str) -> Column:
     """Lower case; keep ``a-z 0-9 + # . / -``; everything else becomes one space."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(_col(text), F.lit(""))), r"[^a-z0-9+#./\-]+", " "))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from matchloom.functions.keys import filters_digest, request_key, text_digest
 from matchloom.functions.skills import STARTER, Skill
-from matchloom.functions.text import squeeze
+from matchloom.functions.text import is_blank, squeeze
 from matchloom.operators.encoding import Encoder, hashing_encoder
 from matchloom.operators.filters import (
     DEFAULT_TOP_K,
@@ -68,7 +68,7 @@ def retrieve(
     each request then keeps its own depth. A vector without a posting is dropped, its rank is not
     given to another. Only ids and families are joined here; texts join when they are needed.
     """
-    asked = with_defaults(requests).filter((squeeze("query_text") != "") & (F.col("top_k") > 0))
+    asked = with_defaults(requests).filter(~is_blank("query_text") & (F.col("top_k") > 0))
     asked = asked.withColumn("depth", effective_k("top_k", "job_families") if overfetch else F.col("top_k"))
     if "vec" not in asked.columns:
         asked = (encoder or hashing_encoder())(asked.withColumn("_text", squeeze("query_text")), "_text", "vec")

@@ -10,7 +10,7 @@ from matchloom.functions.keys import category_key, email_key, filters_digest, js
 from matchloom.functions.scores import one_decimal, scale_scores, sigmoid
 from matchloom.functions.text import (
     STOP_WORDS, clean_text, clip_results, combine_text, derive_label, explain_normalize, family_label,
-    first_non_empty, first_non_null, highlight_parts, normalize_text, squeeze, strip, tokens,
+    first_non_empty, first_non_null, highlight_parts, is_blank, normalize_text, squeeze, strip, tokens,
 )
 
 SPACES = "a b c\x1cd\x85e\t\r\n f　\x0b g "
@@ -45,6 +45,12 @@ def test_squeeze_is_python_split(one):
     assert one(strip("t"), t="  x y ") == "x y"
 
 
+def test_is_blank(one):
+    for text in ("", " \t", "\u00a0\u2003\x1c\x85", None):
+        assert one(is_blank("t"), t=text) is True
+    assert one(is_blank("t"), t="  é") is False
+
+
 def test_combine_and_clean(spark, one):
     assert one(combine_text("a", "b", "c"), a="Nurse!", b="--", c="ICU, care") == "nurse icu care"
     df = spark.createDataFrame([(None,), ("  x ",)], "a string")
