@@ -60,34 +60,23 @@ def feedback_actions(events: DataFrame, chunk_seconds: int = 3600, order: tuple[
     ).select(*events.columns, "action")
 
 
-def feedback_state(events: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+def feedback_state(
+    events: DataFrame, chunk_seconds: int = 3600, order: tuple[str, ...] = ("ts", "event_id")
+) -> DataFrame:
     """``user_id, run_id, job_id, signal``: the signals that are set at the end.
 
-    Aggregates only. The last vote is set when an odd number of votes came after the last opposite
-    one; clicks are set when their number is odd. Every aggregate combines map-side.
+    The last vote, and the last click, of a target is set when its action was a creation. The maximum
+    combines map-side; a join of the events with their target would not, and could not be split for
+    a hot target either, since the aggregation after it has the same key.
     """
-    at = F.struct(*order)
-    votes = events.filter(F.col("signal").isin(*VOTES))
-    ends = votes.groupBy(*TARGET).agg(
-        F.max(F.when(F.col("signal") == "up", at)).alias("_up"), F.max(F.when(F.col("signal") == "down", at)).alias("_down")
+    vote = F.col("signal").isin(*VOTES)
+    return (
+        feedback_actions(events, chunk_seconds, order)
+        .groupBy(*TARGET, F.when(~vote, F.col("signal")).alias("_lane"))
+        .agg(F.max_by(F.struct("signal", "action"), F.struct(*order)).alias("_last"))
+        .filter(F.col("_last.action") == "created")
+        .select(*TARGET, F.col("_last.signal").alias("signal"))
     )
-    up_last = F.col("_down").isNull() | (F.col("_up") > F.col("_down"))
-    last = ends.select(
-        *[F.col(k).alias(f"_t{k}") for k in TARGET],
-        F.when(up_last, "up").otherwise("down").alias("_last"),
-        F.when(up_last, F.col("_down")).otherwise(F.col("_up")).alias("_turn"),
-    )
-    same = F.lit(True)
-    for k in TARGET:
-        same = same & F.col(k).eqNullSafe(F.col(f"_t{k}"))
-    standing = (
-        votes.join(last, same)
-        .filter((F.col("signal") == F.col("_last")) & (F.col("_turn").isNull() | (at > F.col("_turn"))))
-        .groupBy(*TARGET, "signal")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    others = events.filter(~F.col("signal").isin(*VOTES)).groupBy(*TARGET, "signal").agg(F.count(F.lit(1)).alias("_n"))
-    return standing.unionByName(others).filter(F.col("_n") % 2 == 1).drop("_n")
 
 
 def votes_of_run(state: DataFrame) -> DataFrame:

@@ -48,14 +48,16 @@ POINTS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 def exact_percentiles(df: DataFrame, value: str, by: Sequence[str], points: Mapping[str, float], buckets: int = 1024) -> DataFrame:
     """Exact, linearly interpolated percentiles without holding a group in one task.
 
+    The range of each group is joined on the group and a salt, so a group with most values is split.
     Equal values are merged map-side. Each group is cut into equal-width buckets; bucket sizes tell
     which buckets hold the two ranks next to each point, and only the distinct values of those buckets
     are put in order. Groups without a value are left out.
     """
     value_col = F.col(value).cast("double")
+    salts = 16
     counts = (
         df.filter(value_col.isNotNull()).groupBy(*by, value_col.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    )
+    ).withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(salts)).cast("int"))
     ends = counts.groupBy(*by).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_total"))
     for column in by:
         ends = ends.withColumnRenamed(column, f"_e_{column}")
@@ -64,7 +66,12 @@ def exact_percentiles(df: DataFrame, value: str, by: Sequence[str], points: Mapp
         same = same & F.col(column).eqNullSafe(F.col(f"_e_{column}"))
     span = F.col("_high") - F.col("_low")
     bucket = F.when(span > 0, F.floor((F.col("_v") - F.col("_low")) / span * (buckets - 1))).otherwise(F.lit(0))
-    placed = counts.join(ends, same).drop(*[f"_e_{c}" for c in by]).withColumn("_bucket", bucket)
+    ends = ends.withColumn("_e_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    placed = (
+        counts.join(ends, same & (F.col("_salt") == F.col("_e_salt")))
+        .drop("_salt", "_e_salt", *[f"_e_{c}" for c in by])
+        .withColumn("_bucket", bucket)
+    )
 
     def ranks(total: Column) -> Column:
         edges = [edge(F.lit(p) * (total - 1)).cast("long") for p in points.values() for edge in (F.floor, F.ceil)]

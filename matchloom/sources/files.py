@@ -52,14 +52,29 @@ def _runs_text(paragraph: ElementTree.Element) -> str:
     )
 
 
+def _table_cells(table: ElementTree.Element) -> Iterator[str]:
+    """Cell texts row by row. A merged cell counts once for every grid column and row it covers."""
+    above: dict[int, str] = {}
+    for row in table.findall(_W + "tr"):
+        column = 0
+        for cell in row.findall(_W + "tc"):
+            span = cell.find(f"{_W}tcPr/{_W}gridSpan")
+            merge = cell.find(f"{_W}tcPr/{_W}vMerge")
+            continues = merge is not None and merge.get(_W + "val") != "restart"
+            text = above.get(column, "") if continues else "\n".join(_runs_text(p) for p in cell.findall(_W + "p"))
+            for _ in range(int(span.get(_W + "val")) if span is not None else 1):
+                above[column] = text
+                column += 1
+                yield text
+
+
 def docx_text(content: bytes) -> str:
     """Paragraphs of the body, then every non-empty table cell, one per line."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         body = ElementTree.fromstring(archive.read("word/document.xml")).find(_W + "body")
     lines = [_runs_text(p) for p in body.findall(_W + "p")]
-    for row in body.iterfind(f"{_W}tbl/{_W}tr"):
-        cells = ("\n".join(_runs_text(p) for p in cell.findall(_W + "p")) for cell in row.findall(_W + "tc"))
-        lines.extend(text for text in cells if text)
+    for table in body.findall(_W + "tbl"):
+        lines.extend(text for text in _table_cells(table) if text)
     return "\n".join(lines)
 
 

@@ -7,14 +7,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from matchloom.sources.schemas import IMPORT_ENTRY, REQUEST_LOG
 
 
-def read_import(spark: SparkSession, path: str) -> DataFrame:
-    """One row per imported run: ``source, seq`` (position in its file) and the entry's fields.
+def read_import(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """One row per imported run: ``source, seq`` (position in its payload) and the entry's fields.
 
-    Each file is ``{"entries": [...]}``; ``created_at`` comes as epoch milliseconds.
+    A payload is ``{"entries": [...]}``: a file each, or with ``multi_line=False`` a line each, which
+    keeps large files splittable. ``created_at`` comes as epoch milliseconds.
     """
     files = (
         spark.read.schema(f"entries array<{IMPORT_ENTRY}>")
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .json(path)
         .select(F.col("_metadata.file_path").alias("source"), F.posexplode("entries").alias("seq", "entry"))
     )

@@ -124,6 +124,18 @@ def test_files(spark, tmp_path):
     assert docx_text(docx(["p1", "p2"], ["c1"])) == "p1\np2\nc1"
 
 
+def test_docx_merged_cells():
+    def cell(text, props=""):
+        return f"<w:tc><w:tcPr>{props}</w:tcPr><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:tc>"
+
+    wide, start, more = '<w:gridSpan w:val="2"/>', '<w:vMerge w:val="restart"/>', "<w:vMerge/>"
+    body = f"<w:tbl><w:tr>{cell('a', wide)}{cell('b', start)}</w:tr><w:tr>{cell('c')}{cell('d')}{cell('', more)}</w:tr></w:tbl>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {_NS}><w:body>{body}</w:body></w:document>")
+    assert docx_text(out.getvalue()).split("\n") == ["a", "a", "b", "c", "d", "b"]
+
+
 def test_guard_truncates(spark):
     df = spark.createDataFrame([("word " * 30,), ("x",), (None,)], "raw_text string")
     got = guard_extracted(df, max_chars=60).collect()
