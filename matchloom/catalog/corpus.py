@@ -118,7 +118,7 @@ def pair_counts(spark, sf):
 
 @query(
     "pair_labels",
-    f"WITH {_SQL_COUNTS} SELECT category AS resume_category, sum(n_pos) AS right_positives, sum(n_neg) AS right_negatives FROM c GROUP BY 1",
+    f"WITH {_SQL_COUNTS} SELECT category AS resume_category, CAST(sum(n_pos) AS BIGINT) AS right_positives, CAST(sum(n_neg) AS BIGINT) AS right_negatives FROM c GROUP BY 1",
 )
 def pair_labels(spark, sf):
     """Every drawn label checked against the title: all of them must be right."""

@@ -18,7 +18,7 @@ from matchloom.operators.filters import apply_filters, effective_k
 from matchloom.operators.idf import build_idf
 from matchloom.operators.layout import checkpointed
 from matchloom.operators.knn import knn_ann, knn_exact
-from matchloom.operators.matching import explain, hydrate, lexical_scorer, posting_texts, shared_terms
+from matchloom.operators.matching import explain, hydrate, lexical_scorer, shared_terms
 from matchloom.operators.metrics import attach_truth, candidate_counts, mean_ndcg, ndcg, recall_at_k
 from matchloom.operators.ranking import rank_by, rank_delta, sort_results
 from matchloom.operators.runs import rank_movement, skill_difference, skill_gap, skill_set
@@ -81,7 +81,7 @@ def _match(spark, sf):
 _SQL_PAIRS = """pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS item_id, q.label AS q_label, v.label AS v_label,
   round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) + 0.0 AS score FROM embeddings q, embeddings v)"""
 _SQL_RANKED = f"""{_SQL_PAIRS},
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS retrieval_rank FROM pairs)"""
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS retrieval_rank FROM pairs)"""
 _SQL_POSTINGS = "postings AS (SELECT d.doc_id, d.text, d.lang, d.source, e.label FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)"
 _SQL_IDF = f"""idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM postings)) / (1.0 + count(*))) + 1.0 AS idf
   FROM (SELECT doc_id, unnest(list_distinct({sql_tokens('substring(text, 1, 1200)')})) AS term FROM postings) GROUP BY term
@@ -158,7 +158,7 @@ def knn_overfetch_family(spark, sf):
 
 @query(
     "retrieval_rank",
-    """SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS retrieval_rank
+    """SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS retrieval_rank
 FROM orders""",
 )
 def retrieval_rank(spark, sf):
@@ -404,8 +404,8 @@ def match_encoded(spark, sf):
 # Comparison and evaluation -----------------------------------------------------------------------
 
 _SQL_TWO_RUNS = f"""{_SQL_PAIRS},
-a AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM pairs),
-b AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM pairs
+a AS (SELECT query_id, item_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM pairs),
+b AS (SELECT query_id, item_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM pairs
   WHERE v_label <> (q_label + 1) % 10)"""
 
 
@@ -422,7 +422,7 @@ def _two_runs(spark, sf):
 
 @query(
     "compare_runs",
-    f"""WITH {_SQL_TWO_RUNS} SELECT query_id, item_id AS job_id, a.rank AS rank_a, CAST(b.rank AS INTEGER) AS rank_b,
+    f"""WITH {_SQL_TWO_RUNS} SELECT query_id, item_id AS job_id, a.rank AS rank_a, b.rank AS rank_b,
   a.rank - b.rank AS movement FROM a JOIN b USING (query_id, item_id) WHERE a.rank <= 10 AND b.rank <= 10""",
 )
 def compare_two_runs(spark, sf):

@@ -61,7 +61,7 @@ def parquet_corpus(spark, sf):
     "idf_asset",
     """WITH t AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(substring(text, 1, 1200)), '[a-z0-9][a-z0-9+#./-]+'))) AS term FROM benchmark),
 f AS (SELECT term, count(*) AS df FROM t GROUP BY term)
-SELECT sum(df) AS total, count(*) FILTER (WHERE df > 1) AS repeated, round(sum(ln((1.0 + (SELECT count(*) FROM benchmark)) / (1.0 + df)) + 1.0), 4) AS weight FROM f
+SELECT CAST(sum(df) AS BIGINT) AS total, count(*) FILTER (WHERE df > 1) AS repeated, round(sum(ln((1.0 + (SELECT count(*) FROM benchmark)) / (1.0 + df)) + 1.0), 4) AS weight FROM f
 WHERE term NOT IN ('""" + "', '".join(STOP_WORDS) + "')",
 )
 def idf_asset(spark, sf):

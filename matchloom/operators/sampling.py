@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from matchloom.functions.taxonomy import FAMILIES, Taxonomy, matched_categories
-from matchloom.functions.keys import category_key
 from matchloom.operators.ranking import with_hash_position
 
 MAX_EXTRA_CATEGORIES = 1000

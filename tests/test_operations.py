@@ -1,4 +1,3 @@
-import json
 import math
 import random
 from datetime import datetime, timedelta

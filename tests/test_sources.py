@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from matchloom.operators.idf import build_idf
 from matchloom.plans.corpus import build_vectors, build_weights, clean_postings, demo_corpus, prepare_corpus
-from matchloom.sources.csv import POSTING_ALIASES, RESUME_ALIASES, read_aliased_csv, resolve_columns
+from matchloom.sources.csv import POSTING_ALIASES, read_aliased_csv, resolve_columns
 from matchloom.sources.export import markdown_rows, write_json, write_markdown
 from matchloom.sources.files import docx_text, extract_docx, extract_text, guard_extracted, read_files
 from matchloom.sources.history import read_import, read_request_log

@@ -1,7 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from matchloom.functions.skills import STARTER, Skill, extract_skills, read_lexicon, skill_domains, word_lexicon
 from matchloom.functions.taxonomy import FAMILIES, derive_family, label_relevance, matched_categories
