@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
+from matchloom.sources.tables import shared_root
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own; a cluster must name one.
-    """
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the session's shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-            folder = tempfile.mkdtemp(prefix="matchloom-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
 
 
@@ -31,4 +23,5 @@ def spread(df: DataFrame, scan: DataFrame | None = None) -> DataFrame:
     scan ``df`` was made from; only its splits are counted, nothing runs.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if (scan or df).rdd.getNumPartitions() < cores else df
+    splits = (df if scan is None else scan).rdd.getNumPartitions()
+    return df.repartition(cores) if splits < cores else df

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,11 +47,20 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("text_hash string, embedding array<float>, model string").parquet(path)
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``. Only a local session without that
+    setting gets a folder of its own; a cluster must name one all executors can reach."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+        folder = spark.sparkContext.getCheckpointDir()
+        if folder is None:
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="matchloom-"))
+            folder = spark.sparkContext.getCheckpointDir()
+    return folder
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A folder for intermediate tables under the cluster's ``spark.checkpoint.dir``."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return posixpath.join(root, name)
+    """A folder for intermediate tables under ``shared_root``."""
+    return posixpath.join(shared_root(spark), name)
