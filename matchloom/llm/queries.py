@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from matchloom.llm.exact_dedup import exact_dedup
+from matchloom.llm.minhash_dedup import near_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,3 +47,8 @@ SELECT doc_id, keep_id, group_size, kept, sha256(s) AS text_sha256 FROM r
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op5_minhash_dedup")
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(documents(spark, sf_dir), percent=85, shingle=5)
