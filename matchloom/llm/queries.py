@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import posixpath
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from matchloom.llm.exact_dedup import exact_dedup
 from matchloom.llm.minhash_dedup import near_dedup
+from matchloom.llm.token_store import read_token_store, write_token_store
+from matchloom.llm.tokens import tokenizer_path
+from matchloom.sources.tables import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,3 +57,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_minhash_dedup")
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir), percent=85, shingle=5)
+
+
+@query("op2_token_store")
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = posixpath.join(shared_folder(spark, "matchloom-llm"), f"tokens-{uuid.uuid4().hex}")
+    write_token_store(documents(spark, sf_dir), path, tokenizer_path("word_bpe_49k.json"))
+    return read_token_store(spark, path)
