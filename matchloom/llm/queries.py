@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from matchloom.llm.exact_dedup import exact_dedup
 from matchloom.llm.minhash_dedup import near_dedup
+from matchloom.llm.packing import pack_documents
 from matchloom.llm.token_store import read_token_store, write_token_store
 from matchloom.llm.tokens import tokenizer_path
 from matchloom.sources.tables import shared_folder
@@ -64,3 +65,8 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = posixpath.join(shared_folder(spark, "matchloom-llm"), f"tokens-{uuid.uuid4().hex}")
     write_token_store(documents(spark, sf_dir), path, tokenizer_path("word_bpe_49k.json"))
     return read_token_store(spark, path)
+
+
+@query("op6_packing")
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), capacity=2048)
