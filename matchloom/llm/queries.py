@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from matchloom.llm.exact_dedup import exact_dedup
 from matchloom.llm.minhash_dedup import near_dedup
+from matchloom.llm.mixing import mix
 from matchloom.llm.packing import pack_documents
 from matchloom.llm.token_store import read_token_store, write_token_store
 from matchloom.llm.tokens import tokenizer_path
@@ -70,3 +71,61 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_packing")
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), capacity=2048)
+
+
+@query(
+    "op7_mixing",
+    r"""
+WITH d AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+           md5('7-' || doc_id) AS h
+    FROM documents
+), s AS (
+    SELECT source, sum(size)::BIGINT AS source_size,
+           CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1 ELSE 2 END AS w,
+           2.0::DOUBLE * sum(size) AS cap
+    FROM d GROUP BY source
+), o AS (
+    SELECT *, row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS place,
+           (1.5::DOUBLE * (SELECT sum(source_size) FROM s)
+             - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+           / ((SELECT sum(w) FROM s)
+             - coalesce(sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lev
+    FROM s
+), t AS (
+    SELECT source, source_size,
+           least((SELECT arg_min(lev, place) FROM o WHERE lev * w < cap) * w, cap) AS target
+    FROM o
+), b AS (
+    SELECT greatest(1, least(4096, floor(sum(target) / 65536)))::BIGINT AS words, sum(target) AS total FROM t
+), iv AS (
+    SELECT *, coalesce(lag(high) OVER (ORDER BY source NULLS LAST), 0) AS low,
+           ceil(source_size / (SELECT words FROM b))::BIGINT AS blocks
+    FROM (SELECT *, sum(target) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) / (SELECT total FROM b) AS high
+          FROM t WHERE target > 0)
+), slot AS (
+    SELECT i, list_sum(list_transform(range(32), lambda k: ((i >> k) & 1) << (31 - k)))::DOUBLE / 4294967296.0::DOUBLE AS u
+    FROM (SELECT unnest(range(ceil((SELECT total / words FROM b))::BIGINT)) AS i)
+), ranked AS (
+    SELECT iv.source, iv.blocks, row_number() OVER (PARTITION BY iv.source ORDER BY slot.i) - 1 AS r
+    FROM slot JOIN iv ON slot.u >= iv.low AND (slot.u < iv.high OR iv.high >= 1)
+), times AS (
+    SELECT source, r % blocks AS block, count(*) AS n FROM ranked WHERE r < 2 * blocks GROUP BY ALL
+), line AS (
+    SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+    FROM d
+), parts AS (
+    SELECT doc_id, source, size, pos, unnest(range(pos // (SELECT words FROM b), (pos + size - 1) // (SELECT words FROM b) + 1)) AS block
+    FROM line WHERE size > 0
+), taken AS (
+    SELECT p.doc_id, sum((least(pos + size, (block + 1) * words) - greatest(pos, block * words)) * n) AS taken
+    FROM parts p JOIN times USING (source, block), b GROUP BY ALL
+)
+SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(taken.taken, 0)::BIGINT AS taken
+FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN taken USING (doc_id)
+""",
+)
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = mix(documents(spark, sf_dir), share=1.5, most=2.0, weights=(3, 1, 2))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
