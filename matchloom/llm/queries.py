@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from matchloom.llm.exact_dedup import exact_dedup
+from matchloom.llm.knn_join import top_k
 from matchloom.llm.minhash_dedup import near_dedup
 from matchloom.llm.mixing import mix
 from matchloom.llm.packing import pack_documents
@@ -129,3 +130,22 @@ FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN taken USING (d
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = mix(documents(spark, sf_dir), share=1.5, most=2.0, weights=(3, 1, 2))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query(
+    "op8_knn_join",
+    """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+)
+def op8_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, every=50)
