@@ -6,10 +6,12 @@ import posixpath
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from matchloom.llm.common import crc_bucket
 from matchloom.llm.exact_dedup import exact_dedup
 from matchloom.llm.knn_join import top_k
+from matchloom.llm.language_id import fit as fit_language, predict_language
 from matchloom.llm.minhash_dedup import near_dedup
 from matchloom.llm.mixing import mix
 from matchloom.llm.packing import pack_documents
@@ -149,3 +151,12 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 )
 def op8_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, every=50)
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(crc_bucket("doc_id", 4) == 2, F.lit(False))
+    docs = documents(spark, sf_dir)
+    model = fit_language(docs.filter(crc_bucket("doc_id", 4) != 2).select("text", "lang"))
+    found = predict_language(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
