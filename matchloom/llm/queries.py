@@ -15,6 +15,7 @@ from matchloom.llm.language_id import fit as fit_language, predict_language
 from matchloom.llm.minhash_dedup import near_dedup
 from matchloom.llm.mixing import mix
 from matchloom.llm.packing import pack_documents
+from matchloom.llm.quality import fit as fit_quality, sample_of, score as score_quality
 from matchloom.llm.token_store import read_token_store, write_token_store
 from matchloom.llm.tokens import tokenizer_path
 from matchloom.sources.tables import shared_folder
@@ -160,3 +161,24 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_language(docs.filter(crc_bucket("doc_id", 4) != 2).select("text", "lang"))
     found = predict_language(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+QUALITY_METADATA = ("n_chars",)
+QUALITY_THRESHOLD = 0.3
+
+
+def quality_model(docs: DataFrame, labels: DataFrame):
+    """Learned from labelled rows outside the held-out fifth of ids."""
+    labels = sample_of(labels.filter(crc_bucket("doc_id", 5) != 0), "quality")
+    labelled = docs.select("doc_id", "text", *QUALITY_METADATA).join(labels, "doc_id")
+    return fit_quality(labelled, "quality", QUALITY_METADATA)
+
+
+@query("op1_quality_classifier")
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    held_out = F.coalesce(crc_bucket("doc_id", 5) == 0, F.lit(False))
+    scored = score_quality(docs.select("doc_id", "text", *QUALITY_METADATA, held_out.alias("held_out")), model, QUALITY_METADATA)
+    predicted = F.when(F.col("score") >= QUALITY_THRESHOLD, 1).otherwise(0)
+    return scored.select("doc_id", "held_out", "score", predicted.alias("predicted"))
