@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from matchloom.llm.common import crc_bucket
 from matchloom.llm.exact_dedup import exact_dedup
+from matchloom.llm.html_text import extract_text
 from matchloom.llm.knn_join import top_k
 from matchloom.llm.language_id import fit as fit_language, predict_language
 from matchloom.llm.minhash_dedup import near_dedup
@@ -182,3 +183,8 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_quality(docs.select("doc_id", "text", *QUALITY_METADATA, held_out.alias("held_out")), model, QUALITY_METADATA)
     predicted = F.when(F.col("score") >= QUALITY_THRESHOLD, 1).otherwise(0)
     return scored.select("doc_id", "held_out", "score", predicted.alias("predicted"))
+
+
+@query("op3_html_text")
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
