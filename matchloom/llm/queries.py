@@ -13,6 +13,7 @@ from matchloom.llm.exact_dedup import exact_dedup
 from matchloom.llm.html_text import extract_text
 from matchloom.llm.knn_join import top_k
 from matchloom.llm.language_id import fit as fit_language, predict_language
+from matchloom.llm.license_scan import license_scan
 from matchloom.llm.minhash_dedup import near_dedup
 from matchloom.llm.mixing import mix
 from matchloom.llm.packing import pack_documents
@@ -188,3 +189,8 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_html_text")
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
+@query("op10_license_scan")
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir))
