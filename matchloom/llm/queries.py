@@ -62,7 +62,36 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-@query("op5_minhash_dedup")
+@query(
+    "op5_minhash_dedup",
+    r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), s AS (
+    SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) AS s
+    FROM w WHERE len(w) > 0
+), n AS (
+    SELECT w.doc_id, coalesce(len(s.s), 0) AS n FROM w LEFT JOIN s USING (doc_id)
+), e AS (
+    SELECT doc_id, unnest(s) AS shingle FROM s
+), p AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+    FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+    SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)
+), both_ways AS (
+    SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM n
+    UNION
+    SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a
+)
+SELECT doc_id, n::BIGINT AS n_shingles, min(b) AS component_id, min(b) = doc_id AS kept
+FROM n JOIN reach ON reach.a = doc_id GROUP BY doc_id, n
+""",
+)
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir), percent=85, shingle=5)
 
