@@ -39,6 +39,7 @@ from matchloom.llm.shingles import OnePermutation, overlap, shingle_set, similar
 
 MAP_WORDS = 8
 PIECE = 2048
+BITMAP_WORDS = 1 << 18  # 2 MB of bits
 _MAP = [f"m{i}" for i in range(MAP_WORDS)]
 _SKETCH = pa.schema(
     [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))]
@@ -82,6 +83,22 @@ def sketch(docs: DataFrame, bands: int = 24, rows: int = 5, shingle: int = 5) ->
     return docs.select("doc_id", "text").mapInArrow(_sketches(bands, rows, shingle), _SKETCH_DDL)
 
 
+def _possible(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id falls on a bit that some member's id has set.
+
+    The bitmap has a fixed size, so it can be broadcast, and texts of other documents are never shuffled.
+    It only lets some rows through in vain, the more the fuller it gets; an exact join follows.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * BITMAP_WORDS))
+    at = members.select(bit("node").alias("bit"))
+    bitmap = at.groupBy(F.expr("bit div 64").alias("__word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("__mask")
+    )
+    placed = docs.withColumn("__bit", bit("doc_id")).withColumn("__word", F.expr("__bit div 64"))
+    found = placed.join(F.broadcast(bitmap), "__word").filter("shiftright(__mask, cast(__bit % 64 as int)) & 1 = 1")
+    return found.select("doc_id", "text")
+
+
 def _sets(shingle: int):
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary())])
 
@@ -152,8 +169,8 @@ def near_groups(
         classes.select("node", "n_shingles", *_MAP).join(buckets.select("node").distinct(), "node", "left_semi"), "members"
     )
     # full sets, only of documents that share a bucket with another
-    wanted = docs.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    sets = stored(wanted.mapInArrow(_sets(shingle), "node long, n long, hashes binary").filter("n > 0"), "sets")
+    sets = _possible(docs, members).mapInArrow(_sets(shingle), "node long, n long, hashes binary")
+    sets = stored(sets.filter("n > 0").join(members.select("node"), "node", "left_semi"), "sets")
 
     star = buckets.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     star = (
