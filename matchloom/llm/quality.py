@@ -33,6 +33,7 @@ BINS = 12
 FACTORS = 8
 SAMPLE_ROWS = 6000
 EPOCHS = 8
+LEAST_STEPS = 400
 STATISTICS = (
     "upper", "digit", "symbol", "mark", "blank", "line_ends", "words", "word_length",
     "distinct", "top_word", "repeated_next", "repeated_at_2", "symbol_kinds",
@@ -137,14 +138,14 @@ class FactorisationMachine:
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS,
           rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> FactorisationMachine | None:
-    """Logistic loss by AdaGrad in batches of 128; None without rows."""
+    """Logistic loss by AdaGrad in batches of 128, at least ``LEAST_STEPS`` of them; None without rows."""
     if not rows:
         return None
     rng = np.random.default_rng(seed)
     mean = float(np.clip(labels.mean(), 0.01, 0.99))
     model = FactorisationMachine(float(np.log(mean / (1 - mean))), np.zeros(SLOTS), rng.normal(0, 0.02, (SLOTS, factors)))
     seen_w, seen_v, seen_b = np.full(SLOTS, 1e-3), np.full((SLOTS, factors), 1e-3), 1e-3
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-LEAST_STEPS * 128 // len(rows)))):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), 128):
             batch = order[at : at + 128]
