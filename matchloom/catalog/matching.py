@@ -90,10 +90,11 @@ _SQL_MATCH = f"""{_SQL_RANKED}, {_SQL_POSTINGS}, {_SQL_IDF},
 candidates AS (SELECT r.* FROM ranked r SEMI JOIN postings q ON q.doc_id = r.query_id SEMI JOIN postings j ON j.doc_id = r.item_id
   WHERE retrieval_rank <= CASE WHEN q_label % 2 = 0 THEN 60 ELSE 20 END),
 eligible AS (SELECT * FROM candidates WHERE q_label % 2 = 1 OR v_label IN (q_label, (q_label + 1) % 10)),
-qterms AS (SELECT doc_id AS query_id, unnest(list_distinct({sql_tokens('text')})) AS term FROM postings),
-jterms AS (SELECT doc_id AS item_id, unnest(list_distinct({sql_tokens(f"substring({sql_squeeze('text')}, 1, 1200)")})) AS term FROM postings),
-sums AS (SELECT e.query_id, e.item_id, sum(i.idf) AS s FROM eligible e JOIN qterms q USING (query_id)
-  JOIN jterms j ON j.item_id = e.item_id AND j.term = q.term JOIN idf i ON i.term = q.term GROUP BY 1, 2),
+qterms AS MATERIALIZED (SELECT doc_id AS query_id, list_distinct({sql_tokens('text')}) AS terms FROM postings),
+jterms AS MATERIALIZED (SELECT doc_id AS item_id, list_distinct({sql_tokens(f"substring({sql_squeeze('text')}, 1, 1200)")}) AS terms FROM postings),
+common AS (SELECT e.query_id, e.item_id, unnest(list_intersect(q.terms, j.terms)) AS term
+  FROM eligible e JOIN qterms q USING (query_id) JOIN jterms j ON j.item_id = e.item_id),
+sums AS (SELECT query_id, item_id, sum(i.idf) AS s FROM common JOIN idf i USING (term) GROUP BY 1, 2),
 scored AS (SELECT e.*, round(coalesce(s.s, 0.0), 6) AS cross_score FROM eligible e LEFT JOIN sums s USING (query_id, item_id)),
 reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cross_score DESC, retrieval_rank) AS rank FROM scored),
 survivors AS (SELECT * FROM reranked WHERE query_id % 2 = 1 OR 1.0 / (1.0 + exp(-cross_score)) >= 0.999),
@@ -201,6 +202,19 @@ def match_two_stage(spark, sf):
     return rank_delta(_match(spark, sf).results.drop("explanation")).withColumn("rank_delta", F.col("rank_delta").cast("long"))
 
 
+@query(
+    "match_deep",
+    f"""WITH {_SQL_MATCH} SELECT query_id, item_id AS job_id, cross_score AS cross_encoder_score, CAST(rank AS INTEGER) AS rank
+FROM survivors WHERE rank <= 60""",
+)
+def match_deep(spark, sf):
+    """More results per request than one page of the reference's interface shows."""
+    postings = _postings(spark, sf)
+    requests = _requests(spark, sf).withColumn("top_n", F.lit(60)).withColumn("explain", F.lit(False))
+    results = match(requests, postings, _vectors(spark, sf), build_idf(postings)).results
+    return results.select("query_id", "job_id", "cross_encoder_score", "rank")
+
+
 @query(
     "candidate_counts",
     f"""WITH {_SQL_MATCH} SELECT p.doc_id AS query_id, {sql_digest('p.text')} AS resume_hash,

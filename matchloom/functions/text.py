@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Text caps (characters) and the token pattern.
@@ -27,9 +27,10 @@ STOP_WORDS = (
 _BLANK = r"[\s\x1c-\x1f]"
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc_batch(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+@F.arrow_udf(T.StringType())
+def _nfkc_batch(values: pa.Array) -> pa.Array:
+    # pyarrow's own utf8_normalize leaves the composed forms decomposed, so it can't be used here
+    return pa.array([None if v is None else unicodedata.normalize("NFKC", v) for v in values.to_pylist()], pa.string())
 
 
 def _col(value: Column | str) -> Column:
@@ -163,10 +164,16 @@ def highlight_parts(text: Column | str, terms: Column | str) -> Column:
         longest_first, lambda t: F.regexp_replace(t, r"([.*+?^${}()|\[\]\\])", r"\\$1")
     )
     pattern = F.concat(F.lit("(?iu)(?:"), F.array_join(escaped, "|"), F.lit(")"))
-    marked = F.when(
-        F.size(kept) > 0, F.regexp_replace(text, pattern, F.lit("\u0001$0\u0001"))
-    ).otherwise(text)
-    return F.transform(
-        F.split(marked, "\u0001"),
-        lambda part, i: F.struct(part.alias("part"), (i % 2 == 1).alias("is_match")),
-    )
+    none = F.array().cast("array<string>")
+    hits = F.when(F.size(kept) > 0, F.regexp_extract_all(text, pattern, 0)).otherwise(none)
+    between = F.when(F.size(kept) > 0, F.split(text, pattern, -1)).otherwise(F.array(text))
+
+    def pair(part: Column, hit: Column) -> Column:
+        return F.array(_part(part, False), _part(hit, True))
+
+    parts = F.flatten(F.zip_with(between, hits, pair))
+    return F.slice(parts, 1, F.size(hits) * 2 + 1)  # nothing follows the last plain part
+
+
+def _part(text: Column, is_match: bool) -> Column:
+    return F.struct(text.alias("part"), F.lit(is_match).alias("is_match"))

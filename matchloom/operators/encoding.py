@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from matchloom.functions.keys import text_hash
 from matchloom.functions.text import squeeze, tokens
+from matchloom.operators.layout import checkpointed
 
 # Name and width of the default encoder, and the encoder batch size.
 HASHING_MODEL = "hashing-tf"
@@ -65,8 +66,8 @@ def encode_incremental(
 ) -> tuple[DataFrame, DataFrame]:
     """(every row of ``df`` with ``embedding``, the vectors to append to the store).
 
-    Only texts whose (model, text hash) the store lacks are encoded, each distinct text once. The
-    join back is on the text hash; copies of one text share a small right-hand row, so a text that
+    Only texts whose (model, text hash) the store lacks are encoded, each distinct text once: the new
+    vectors are checkpointed, so what reads either result never runs the encoder again. The join back is on the text hash; copies of one text share a small right-hand row, so a text that
     makes up a third of the table is split by the adaptive skew join.
     """
     hashed = df.withColumn("text_hash", text_hash(text, model))
@@ -75,6 +76,7 @@ def encode_incremental(
         known = cache.filter(F.col("model") == model).select("text_hash", "embedding")
         distinct = distinct.join(known, "text_hash", "left_anti")
     fresh = encoder(distinct, "_text", "embedding").select(F.lit(model).alias("model"), "text_hash", "embedding")
+    fresh = checkpointed(fresh)
     vectors = fresh.select("text_hash", "embedding")
     if cache is not None:
         vectors = known.unionByName(vectors)

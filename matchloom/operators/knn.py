@@ -21,6 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from matchloom.functions.scores import SCORE_DECIMALS
@@ -35,6 +36,20 @@ _SLACK = 10.0 ** -SCORE_DECIMALS
 HITS = "query_id long, item_id long, score double"
 
 
+def most_cells(width: int) -> int:
+    """How many cells vectors of ``width`` numbers may have: the pivots are held on the driver."""
+    return max(1, min(MAX_CELLS, MAX_PIVOT_VALUES // max(1, width)))
+
+
+def _cells_for(wanted: int | None, default: int, width: int) -> int:
+    """An explicit number beyond the bound is refused; the default number stops at it, so that beyond
+    about ``most_cells ** 2`` vectors the cells grow, not their number."""
+    bound = most_cells(width)
+    if wanted is not None and wanted > bound:
+        raise ValueError(f"{wanted} cells of vectors with {width} numbers asked for; {bound} are possible")
+    return wanted or max(1, min(default, bound))
+
+
 class Cells(NamedTuple):
     """Driver-side description of the cells; its size is bounded by ``MAX_CELLS`` pivots."""
 
@@ -48,6 +63,9 @@ class Cells(NamedTuple):
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     rows = len(flat)
+    widths = pc.list_value_length(flat)
+    if rows and (flat.null_count or pc.min(widths) != pc.max(widths)):
+        raise ValueError("vectors must not be null and must have one width")
     values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return values.reshape(rows, -1) if rows else np.zeros((0, 0))
 
@@ -62,11 +80,10 @@ def _angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def _pick_pivots(items: DataFrame, n_cells: int, seed: int) -> np.ndarray:
-    n_cells = max(1, min(n_cells, MAX_CELLS))
     rows = items.select("vec").orderBy(F.xxhash64(F.lit(seed), "item_id"), "item_id").limit(n_cells).collect()
+    if len({len(r.vec or ()) for r in rows}) > 1:
+        raise ValueError("vectors must not be null and must have one width")
     pivots = np.array([r.vec for r in rows], dtype=np.float64)
-    if pivots.size > MAX_PIVOT_VALUES:
-        raise ValueError(f"{pivots.size} pivot values exceed {MAX_PIVOT_VALUES}; use fewer cells")
     return np.unique(_unit(pivots)[0], axis=0) if len(pivots) else pivots
 
 
@@ -203,10 +220,14 @@ def _search(
         return items.sparkSession.createDataFrame([], HITS)
     # enough tiles to keep the cluster busy, none larger than the given sides
     lanes = max(1, int(items.sparkSession.sparkContext.defaultParallelism ** 0.5))
-    side = max(1, TILE_BYTES // (8 * len(items.first().vec)))
+    width = len(items.first().vec or ())
+    if not width:
+        raise ValueError("vectors must not be null or empty")
+    side = max(1, TILE_BYTES // (8 * width))
     block_rows = max(1, min(block_rows or side, -(-n_items // lanes)))
     chunk_rows = max(1, min(chunk_rows or side, -(-n_asks // lanes)))
-    pivots = _pick_pivots(items, n_cells or -(-n_items // block_rows), seed)
+    per_block = -(-n_items // block_rows)
+    pivots = _pick_pivots(items, _cells_for(n_cells, per_block if nprobe is None else int(n_items**0.5), width), seed)
     assigned = assign_cells(items, pivots)
     cells = _cell_stats(assigned, pivots)
 
@@ -280,7 +301,6 @@ def knn_ann(
     seed: int = 42,
 ) -> DataFrame:
     """Approximate top ``k``: only the ``nprobe`` closest cells are visited. Measure it with
-    ``metrics.recall_at_k`` against ``knn_exact``; default cells hold about ``sqrt(n)`` vectors."""
-    if n_cells is None:
-        n_cells = max(1, int(vectors.count() ** 0.5))
+    ``metrics.recall_at_k`` against ``knn_exact``; by default there are about ``sqrt(n)`` cells, at most
+    ``most_cells(width)``."""
     return _search(queries, vectors, k, nprobe, n_cells, block_rows, chunk_rows, seed)

@@ -46,6 +46,13 @@ def posting_texts(postings: DataFrame, kind: str) -> DataFrame:
     return postings.select("job_id", body.alias("body"))
 
 
+def wanted_texts(pairs: DataFrame, postings: DataFrame, kind: str) -> DataFrame:
+    """``posting_texts`` of the postings that stand in ``pairs``; the others are dropped before any text
+    work, so neither their tokens nor their texts are computed or shuffled."""
+    needed = postings.join(pairs.select("job_id").distinct(), "job_id", "left_semi")
+    return posting_texts(needed, kind)
+
+
 def shared_terms(pairs: DataFrame, idf: DataFrame, left: str = "query_terms", right: str = "job_terms") -> DataFrame:
     """``query_id, job_id, term, idf``: terms both token sets hold and the vocabulary knows.
 
@@ -62,7 +69,7 @@ def lexical_scorer(idf: DataFrame) -> Scorer:
 
     def score(pairs: DataFrame, queries: DataFrame, postings: DataFrame) -> DataFrame:
         asked = queries.select("query_id", F.array_distinct(tokens("query_text")).alias("query_terms"))
-        offered = posting_texts(postings, "score").select(
+        offered = wanted_texts(pairs, postings, "score").select(
             "job_id", F.array_distinct(tokens("body")).alias("job_terms")
         )
         sided = pairs.select(*PAIR).join(offered, "job_id").join(asked, "query_id")
@@ -85,7 +92,7 @@ def model_scorer(load: Callable[[], Callable[[list[tuple[str, str]]], np.ndarray
             yield pd.Series(np.asarray(model(list(zip(asked, offered))), dtype=np.float64))
 
     def score(pairs: DataFrame, queries: DataFrame, postings: DataFrame) -> DataFrame:
-        sided = pairs.join(posting_texts(postings, "score"), "job_id").join(
+        sided = pairs.join(wanted_texts(pairs, postings, "score"), "job_id").join(
             queries.select("query_id", "query_text"), "query_id"
         )
         return sided.withColumn("cross_encoder_score", run("query_text", "body")).drop("query_text", "body")
@@ -122,8 +129,7 @@ def explain(
         extract_skills("_text", lexicon).alias("_q_skills"),
         F.array_distinct(tokens("_text")).alias("_q_terms"),
     )
-    needed = posting_texts(postings, "explain").join(pairs.select("job_id").distinct(), "job_id", "left_semi")
-    offered = needed.select(
+    offered = wanted_texts(pairs, postings, "explain").select(
         "job_id", extract_skills("body", lexicon).alias("_j_skills"), F.array_distinct(tokens("body")).alias("_j_terms")
     )
 

@@ -66,11 +66,14 @@ def token_bucket(
     key: str,
     ts: str = "ts",
     event_id: str = "event_id",
-    capacity: int = CAPACITY,
+    capacity: int | str = CAPACITY,
     window_s: int = WINDOW_S,
 ) -> DataFrame:
     """``events`` with ``allowed`` and ``tokens`` (left after the event).
 
+    ``capacity`` is a number, or the name of a column that holds one number per key, as ``callers``
+    gives it. A null key is a key like any other.
+
     Each key is split at idle gaps into independent sessions. A session of at most ``capacity``
     events never runs dry, so its tokens come from a window expression in the JVM. The others are
     sorted by (key, session, time) and folded batch by batch; the fold carries a single number, so
@@ -80,10 +83,12 @@ def token_bucket(
     timed = events.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(
         "_slot", F.floor(F.col("_us") / F.lit(window_us))
     )
-    sessions = _with_sessions(timed, key, window_us).withColumn("_tick", F.col("_us") * F.lit(capacity))
+    tokens_of = F.col(capacity) if isinstance(capacity, str) else F.lit(capacity)
+    sessions = _with_sessions(timed, key, window_us).withColumn("_capacity", tokens_of.cast("long"))
+    sessions = sessions.withColumn("_tick", F.col("_us") * F.col("_capacity"))
     columns = events.columns
 
-    calm = sessions.filter(F.col("_size") <= capacity)
+    calm = sessions.filter(F.col("_size") <= F.col("_capacity"))
     in_order = W.partitionBy(key, "_session").orderBy("_us", event_id)
     so_far = in_order.rowsBetween(W.unboundedPreceding, 0)
     place = F.row_number().over(in_order)
@@ -92,10 +97,10 @@ def token_bucket(
     easy = calm.withColumn("_place", place).select(
         *columns,
         F.lit(True).alias("allowed"),
-        (F.lit(float(capacity)) - (full_at - F.col("_tick")) / F.lit(window_us)).alias("tokens"),
+        (F.col("_capacity").cast("double") - (full_at - F.col("_tick")) / F.lit(window_us)).alias("tokens"),
     )
 
-    busy = sessions.filter(F.col("_size") > capacity).select(*columns, "_session", "_tick")
+    busy = sessions.filter(F.col("_size") > F.col("_capacity")).select(*columns, "_session", "_tick", "_capacity")
     ordered = busy.repartition(key, "_session").sortWithinPartitions(key, "_session", "_tick", event_id)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,12 +109,17 @@ def token_bucket(
             allowed = np.zeros(len(frame), dtype=bool)
             tokens = np.zeros(len(frame))
             ticks = frame["_tick"].to_numpy()
-            owners = list(zip(frame[key], frame["_session"]))
-            starts = [i for i in range(len(owners)) if i == 0 or owners[i] != owners[i - 1]]
-            for lo, hi in zip(starts, [*starts[1:], len(owners)]):
-                if owners[lo] != current:
-                    current, full_at = owners[lo], None
-                allowed[lo:hi], tokens[lo:hi], full_at = fold_bucket(ticks[lo:hi], full_at, capacity, window_us)
+            codes, keys = pd.factorize(frame[key], use_na_sentinel=False)  # null gets a code too
+            sessions_ = frame["_session"].to_numpy()
+            capacities = frame["_capacity"].to_numpy()
+            changed = (codes[1:] != codes[:-1]) | (sessions_[1:] != sessions_[:-1])
+            starts = [0, *(np.flatnonzero(changed) + 1).tolist()] if len(codes) else []
+            for lo, hi in zip(starts, [*starts[1:], len(codes)]):
+                value = keys[codes[lo]]
+                owner = (None if pd.isna(value) else value, sessions_[lo])
+                if owner != current:
+                    current, full_at = owner, None
+                allowed[lo:hi], tokens[lo:hi], full_at = fold_bucket(ticks[lo:hi], full_at, int(capacities[lo]), window_us)
             yield frame[columns].assign(allowed=allowed, tokens=tokens)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)

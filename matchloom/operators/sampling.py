@@ -128,7 +128,7 @@ def build_pairs(
 
     def drawn(name: str, wanted: Column, label: int) -> Column:
         total = F.coalesce(F.col(f"n_{name}"), F.lit(1))  # no such posting: nothing is wanted either
-        places = _draws(total, wanted, F.col(f"{name}_strides"), F.lit(seed), F.lit(label), F.col("resume_id"))
+        places = _draws(total, wanted, F.col(f"{name}_strides"), F.lit(seed), F.lit(label), F.col("resume_id"), F.col("resume_category"))
 
         def locate(place: Column) -> Column:
             home = F.filter(f"{name}_ranges", lambda r: (r["start"] <= place) & (place < r["start"] + r["n"]))[0]
@@ -162,8 +162,9 @@ def build_pairs(
         draws.join(indexed, ["signature", "slot"])
         .select("resume_id", "resume_category", "job_id", "relevance")
         .groupBy("resume_id", "job_id")
-        .agg(F.first("resume_category").alias("resume_category"), F.max("relevance").alias("relevance"))
-        .select("resume_id", "resume_category", "job_id", "relevance")
+        # an id may stand for resumes of several categories: category and label come from one draw
+        .agg(F.min(F.struct("resume_category", "relevance")).alias("_draw"))
+        .select("resume_id", "_draw.resume_category", "job_id", "_draw.relevance")
     )
 
 
@@ -177,9 +178,9 @@ def attach_texts(pairs: DataFrame, resumes: DataFrame, postings: DataFrame) -> D
 
 
 def group_sides(pairs: DataFrame, group: str, fraction: float = 0.2, seed: int = 42) -> DataFrame:
-    """``group, is_eval``: exactly ceil(fraction x groups) groups are held out."""
+    """``group, is_eval``: exactly ceil(fraction x groups) groups are held out; null is a group."""
     ranked = with_hash_position(pairs.select(group).distinct(), [group], (), seed)
-    n = pairs.select(F.countDistinct(group).alias("n")).scalar()
+    n = pairs.select(group).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
     return ranked.select(group, (F.col("position") <= F.ceil(F.lit(fraction) * n)).alias("is_eval"))
 
 
@@ -187,7 +188,8 @@ def holdout_groups(
     pairs: DataFrame, fraction: float = 0.2, group: str = "resume_id", seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
     """(train, eval) with every group wholly on one side."""
-    sided = pairs.join(group_sides(pairs, group, fraction, seed), group)
+    sides = group_sides(pairs, group, fraction, seed).withColumnRenamed(group, "_side_of")
+    sided = pairs.join(sides, F.col(group).eqNullSafe(F.col("_side_of"))).drop("_side_of")
     return sided.filter("not is_eval").drop("is_eval"), sided.filter("is_eval").drop("is_eval")
 
 

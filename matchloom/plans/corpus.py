@@ -26,8 +26,18 @@ DEMO_SIZE, DEMO_FLOOR, DEMO_CHARS = 25_000, 200, 1200
 
 def _identified(raw: DataFrame, name: str) -> DataFrame:
     ordered = spread(with_ingest_order(raw), raw)
-    given = F.col(name).try_cast("long") if name in raw.columns else F.col("ingest_ord")
-    return ordered.withColumn(name, given)
+    if name not in raw.columns:
+        return ordered.withColumn(name, F.col("ingest_ord"))
+    numeric = F.col(name).try_cast("long")
+    return ordered.filter(F.col(name).isNull() | numeric.isNotNull()).withColumn(name, numeric)
+
+
+def rejected_ids(raw: DataFrame, name: str) -> DataFrame:
+    """``name`` of the rows whose id is no whole number. ``clean_postings`` and ``clean_resumes`` leave
+    these rows out, since everything that follows joins on numbers; nothing is merged under a null id."""
+    if name not in raw.columns:
+        return raw.sparkSession.createDataFrame([], f"`{name}` string")
+    return raw.filter(F.col(name).isNotNull() & F.col(name).try_cast("long").isNull()).select(F.col(name).cast("string"))
 
 
 def _first_copies(df: DataFrame, key: str) -> DataFrame:
@@ -84,7 +94,8 @@ def prepare_corpus(
     with_texts: bool = True,
     multi_line: bool = True,
 ) -> Mapping[str, DataFrame]:
-    """Raw CSVs to five tables under ``out``: postings, resumes, pairs, train, eval.
+    """Raw CSVs to six tables under ``out``: postings, resumes, pairs, train, eval, and rejected, the ids
+    (``source, id``) of rows whose id is no number.
 
     Each table is written before the next step reads it, which cuts the lineage between the steps.
     ``with_texts=False`` keeps pairs as ids; ``attach_texts`` brings the texts back.
@@ -94,8 +105,15 @@ def prepare_corpus(
         write_table(df, f"{out}/{name}")
         return read_table(spark, f"{out}/{name}")
 
-    postings = stored(clean_postings(read_aliased_csv(spark, jobs_path, POSTING_ALIASES, multi_line), taxonomy), "postings")
-    resumes = stored(clean_resumes(read_aliased_csv(spark, resumes_path, RESUME_ALIASES, multi_line)), "resumes")
+    raw_postings = read_aliased_csv(spark, jobs_path, POSTING_ALIASES, multi_line)
+    raw_resumes = read_aliased_csv(spark, resumes_path, RESUME_ALIASES, multi_line)
+    postings = stored(clean_postings(raw_postings, taxonomy), "postings")
+    resumes = stored(clean_resumes(raw_resumes), "resumes")
+    bad = [
+        rejected_ids(raw, name).select(F.lit(source).alias("source"), F.col(name).alias("id"))
+        for raw, name, source in ((raw_postings, "job_id", "postings"), (raw_resumes, "resume_id", "resumes"))
+    ]
+    rejected = stored(bad[0].unionByName(bad[1]), "rejected")
     drawn = build_pairs(resumes, postings, extend_taxonomy(resumes, taxonomy), negative_ratio, positives, seed)
     pairs = stored(attach_texts(drawn, resumes, postings) if with_texts else drawn, "pairs")
     train, held = holdout(pairs, fraction, seed=seed)
@@ -105,6 +123,7 @@ def prepare_corpus(
         "pairs": pairs,
         "train": stored(train, "train"),
         "eval": stored(held, "eval"),
+        "rejected": rejected,
     }
 
 

@@ -18,7 +18,6 @@ from matchloom.operators.encoding import Encoder, hashing_encoder
 from matchloom.operators.filters import (
     DEFAULT_TOP_K,
     DEFAULT_TOP_N,
-    MAX_TOP_N,
     effective_k,
     in_families,
     reaches,
@@ -122,7 +121,7 @@ def match(
         .withColumn("total_candidates", F.coalesce("total_candidates", zero))
         .withColumn("filtered_candidates", F.coalesce("filtered_candidates", zero))
     )
-    shown = survivors.filter((F.col("rank") <= F.col("top_n")) & (F.col("rank") <= MAX_TOP_N))
+    shown = survivors.filter(F.col("rank") <= F.col("top_n"))
     explained = explain(shown.filter("explain").select(*PAIR), queries, postings, idf, lexicon)
     results = shown.join(explained, PAIR, "left").select(
         *PAIR, "bi_encoder_score", "cross_encoder_score", "retrieval_rank", "rank", "explanation"
@@ -141,11 +140,12 @@ def retrieve_results(
     """First stage only: the first ``top_n`` retrieved postings, unfiltered, unexplained, rerank score 0."""
     requests = with_defaults(requests)
     hits = retrieve(requests, postings, vectors, encoder, search, overfetch=False)
+    most = requests.agg(F.max("top_n").alias("n")).first().n or 0  # a literal lets Spark cut before the shuffle
     ranked = hits.join(requests.select("query_id", "top_n"), "query_id")
     place = F.row_number().over(W.partitionBy("query_id").orderBy("retrieval_rank"))
     return (
         ranked.withColumn("rank", place)
-        .filter((F.col("rank") <= F.col("top_n")) & (F.col("rank") <= MAX_TOP_N))
+        .filter((F.col("rank") <= F.col("top_n")) & (F.col("rank") <= most))
         .select(*PAIR, "bi_encoder_score", F.lit(0.0).alias("cross_encoder_score"), "retrieval_rank", "rank",
                 F.lit(None).cast(EXPLANATION).alias("explanation"))
     )

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -44,20 +47,39 @@ def read_aliased_csv(
 ) -> DataFrame:
     """Read only the columns named by ``aliases``, as strings under their target names.
 
-    Columns are bound by position, so unused ones are pruned by the CSV reader. ``multi_line=False``
-    keeps files splittable; use it for corpora whose cells hold no line breaks.
+    Every file's own header counts: files are grouped by header, each group is read with its columns
+    bound by position (so unused ones are pruned by the CSV reader), and the groups are put together;
+    a column that a group lacks is null there. Files without an expected column are refused.
+    ``multi_line=False`` keeps files splittable; use it for corpora whose cells hold no line breaks.
     """
-    reader = spark.read.option("multiLine", multi_line).option("escape", '"').option("quote", '"')
-    first = reader.option("header", False).csv(path).head(1)
-    header = [h or "" for h in first[0]] if first else []
-    resolved = resolve_columns(header, aliases)
-    if not resolved:
+    groups = _headers(spark, path)
+    frames = []
+    for header, files in sorted(groups.items()):
+        resolved = resolve_columns(header, aliases)
+        if not resolved:
+            raise ValueError(f"no expected column in the header of {files[0]}")
+        schema = ", ".join(f"c{i} string" for i in range(len(header)))
+        reader = spark.read.option("multiLine", multi_line).option("escape", '"').option("quote", '"')
+        rows = reader.schema(schema).option("header", True).option("enforceSchema", True).csv(files)
+        frames.append(
+            rows.select(
+                *[F.when(~F.col(f"c{i}").isin(*MISSING), F.col(f"c{i}")).alias(t) for t, i in resolved.items()]
+            )
+        )
+    if not frames:
         raise ValueError(f"no expected column in the header of {path}")
-    schema = ", ".join(f"c{i} string" for i in range(len(header)))
-    rows = reader.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
-    return rows.select(
-        *[
-            F.when(~F.col(f"c{i}").isin(*MISSING), F.col(f"c{i}")).alias(target)
-            for target, i in resolved.items()
-        ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Files by the columns of their first line: one short line per file comes to the driver."""
+    lines = spark.read.option("wholetext", False).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")
     )
+    place = F.monotonically_increasing_id()
+    first = lines.filter("at = 0").withColumn("place", place).groupBy("file").agg(F.min_by("value", "place").alias("line"))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for row in first.orderBy("file").collect():
+        header = next(csv.reader([row.line.removeprefix("\ufeff")]), [])
+        groups.setdefault(tuple(header), []).append(unquote(row.file))
+    return groups

@@ -39,8 +39,18 @@ def read_idf(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_vectors(vectors: DataFrame, path: str) -> None:
-    """Add vectors to the store; ``vectors(model, text_hash, embedding)``."""
-    vectors.select("model", "text_hash", "embedding").write.mode("append").partitionBy("model").parquet(path)
+    """Add vectors to the store; ``vectors(model, text_hash, embedding)``. What the store holds already
+    is left out, so a repeated job changes nothing. One writer at a time."""
+    new = vectors.select("model", "text_hash", "embedding").dropDuplicates(["model", "text_hash"])
+    if _exists(vectors.sparkSession, path):
+        known = read_vectors(vectors.sparkSession, path).select("model", "text_hash")
+        new = new.join(known, ["model", "text_hash"], "left_anti")
+    new.write.mode("append").partitionBy("model").parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
