@@ -32,6 +32,23 @@ def crc_bucket(doc_id: str, buckets: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(buckets)
 
 
+def below_share(key: Column, share: Column) -> Column:
+    """True for that share of the 64-bit hashes ``key``: the smallest ones."""
+    return key.cast("double") < F.lit(-(2.0**63)) + share * F.lit(2.0**64)
+
+
+def hash_sample(df: DataFrame, keys: list[str], n: int, total: int | None = None) -> DataFrame:
+    """``n`` rows (all, if there are fewer) of smallest hash of ``keys``; only about ``n`` are ever sorted.
+
+    The number of rows, ``total`` or counted here, tells below which hash they lie. That leaves a fifth and
+    100 rows more than needed on average, then the smallest are taken.
+    """
+    total = df.count() if total is None else total
+    key = F.xxhash64(*keys)
+    share = F.lit(min(1.0, (1.2 * n + 100) / max(1, total)))
+    return df.filter(below_share(key, share)).orderBy(key, *keys).limit(n)
+
+
 def batches(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from matchloom.llm.common import stored
+from matchloom.llm.common import hash_sample, stored
 
 PIVOTS = 64
 BLOCK_ROWS = 8192
@@ -142,7 +142,7 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 5, pivots: int = P
     Both tables have ``vec_id, vec array<long>`` and one width per call; use ``top_k`` for raw tables.
     """
     spark = vectors.sparkSession
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("vec").collect()
+    sample = hash_sample(vectors, ["vec_id"], pivots).select("vec").collect()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     points = np.array([r.vec for r in sample], np.int64)

@@ -20,9 +20,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from matchloom.llm.common import small_batches
+from matchloom.llm.common import below_share, small_batches
 from matchloom.llm.shingles import mix
 
 DIMENSIONS = 1 << 13
@@ -118,11 +118,26 @@ def _sample_rows(source):
 
 def _sample(known: DataFrame, per_language: int) -> DataFrame:
     """Of every language the ``per_language`` distinct texts of smallest hash; copies count once."""
+    # one number per language, as the model has: literals keep the texts out of a shuffle by language
+    counts_ = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not counts_:
+        return known
+    shares = {language: min(1.0, (2.0 * per_language + 100) / n) for language, n in counts_.items()}
     keyed = known.withColumn("__key", F.xxhash64("text"))
+    # what lies below the hash at which about enough rows are expected
+    keyed = keyed.filter(below_share(F.col("__key"), _by_language(shares)))
     order = Window.partitionBy("lang").orderBy("__key")
     least = keyed.select("lang", "__key").distinct().withColumn("__rank", F.row_number().over(order))
-    limits = least.filter(F.col("__rank") <= per_language).groupBy("lang").agg(F.max("__key").alias("__limit"))
-    return keyed.join(limits, "lang").filter("__key <= __limit").dropDuplicates(["lang", "__key"]).select("text", "lang")
+    least = least.filter(F.col("__rank") <= per_language).groupBy("lang").agg(F.max("__key").alias("limit"))
+    limits = {r.lang: r.limit for r in least.collect()}
+    if not limits:
+        return known.filter("false")
+    sample = keyed.filter(F.col("__key") <= _by_language(limits))
+    return sample.dropDuplicates(["lang", "__key"]).select("text", "lang")
+
+
+def _by_language(values: dict) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("lang"))
 
 
 def fit(

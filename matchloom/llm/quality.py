@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from matchloom.llm.common import small_batches
+from matchloom.llm.common import hash_sample, small_batches
 from matchloom.llm.shingles import word_hashes
 
 WORD_SLOTS = 1 << 14
@@ -195,7 +195,7 @@ def fit(labelled: DataFrame, label: str, metadata: tuple = (), sample: int = SAM
 def sample_of(labels: DataFrame, label: str, sample: int = SAMPLE_ROWS) -> DataFrame:
     """``(doc_id, <label>)`` of the ``sample`` rows with a label whose ids have the smallest hashes."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", label)
-    return known.orderBy(F.xxhash64("doc_id"), "doc_id", label).limit(sample)
+    return hash_sample(known, ["doc_id", label], sample)
 
 
 def score(docs: DataFrame, model: FactorisationMachine | None, metadata: tuple = ()) -> DataFrame:
