@@ -6,6 +6,8 @@ family is its vector's label, and a label shared with the request is the relevan
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from matchloom.catalog.registry import (
@@ -17,7 +19,7 @@ from matchloom.operators.encoding import HASHING_MODEL, encode_incremental, hash
 from matchloom.operators.filters import apply_filters, effective_k
 from matchloom.operators.idf import build_idf
 from matchloom.operators.layout import checkpointed
-from matchloom.operators.knn import knn_ann, knn_exact
+from matchloom.operators.knn import knn_ann, knn_exact, read_cells, write_cells
 from matchloom.operators.matching import explain, hydrate, lexical_scorer, shared_terms
 from matchloom.operators.metrics import attach_truth, candidate_counts, mean_ndcg, ndcg, recall_at_k
 from matchloom.operators.ranking import rank_by, rank_delta, sort_results
@@ -25,7 +27,8 @@ from matchloom.operators.runs import rank_movement, skill_difference, skill_gap,
 from matchloom.plans.corpus import build_vectors
 from matchloom.plans.evaluation import compare_systems
 from matchloom.plans.matching import Matches, match, match_distinct, nested_results, retrieve, retrieve_results
-from matchloom.sources.export import markdown_rows
+from matchloom.sources.export import markdown_rows, write_markdown
+from matchloom.sources.tables import shared_folder
 
 
 def _vectors(spark, sf):
@@ -135,10 +138,30 @@ def knn_ann_all(spark, sf):
     return knn_ann(_queries(spark, sf), _vectors(spark, sf), 10)
 
 
-@query("knn_ann_recall")
+@query("knn_ann_recall", "SELECT count(*) AS queries, true AS recall_is_090 FROM embeddings")
 def knn_ann_recall(spark, sf):
+    """Mean recall of the approximate search with 85 % of the cells; these vectors hardly cluster."""
     queries, vectors = _queries(spark, sf), _vectors(spark, sf)
-    return recall_at_k(knn_ann(queries, vectors, 10), knn_exact(queries, vectors, 10))
+    cells = int(vectors.count() ** 0.5)
+    recall = recall_at_k(knn_ann(queries, vectors, 10, nprobe=max(8, -(-cells * 17 // 20))), knn_exact(queries, vectors, 10))
+    return recall.agg(F.count(F.lit(1)).alias("queries"), (F.avg("recall") >= 0.9).alias("recall_is_090"))
+
+
+_SQL_TOP10 = f"WITH {_SQL_RANKED} SELECT query_id, item_id, score, retrieval_rank FROM ranked WHERE retrieval_rank <= 10"
+
+
+@query("knn_ann_all_cells", _SQL_TOP10)
+def knn_ann_all_cells(spark, sf):
+    """The approximate search is the exact one when it visits every cell."""
+    return knn_ann(_queries(spark, sf), _vectors(spark, sf), 10, nprobe=10**6)
+
+
+@query("knn_stored_cells", _SQL_TOP10)
+def knn_stored_cells(spark, sf):
+    """Exact search over an index that was written once and read back."""
+    path = shared_folder(spark, f"cells-{uuid.uuid4().hex}")
+    write_cells(_vectors(spark, sf), path)
+    return knn_exact(_queries(spark, sf), read_cells(spark, path), 10)
 
 
 @query(
@@ -369,6 +392,29 @@ def export_markdown(spark, sf):
     return markdown_rows(part).select("p_partkey", "line")
 
 
+@query(
+    "markdown_table",
+    """WITH p AS (SELECT p_size % 7 AS q, p_partkey, replace(p_name, ' ', '|') AS title, p_size, p_retailprice / 10000.0 AS a, p_size / 51.0 AS b FROM part),
+l AS (SELECT concat('| ', p_partkey, ' | ', replace(title, '|', '\\|'), ' | Promo Part | ',
+  printf('%.1f', floor(a * 100.0 * 10 + 0.5) / 10), '% | ', printf('%.1f', floor(b * 100.0 * 10 + 0.5) / 10), '% |') AS line FROM p),
+q AS (SELECT DISTINCT q FROM p)
+SELECT line, count(*) AS n FROM (SELECT line FROM l
+  UNION ALL SELECT '| Rank | Job title | Family | Relevance | Semantic match |' FROM q UNION ALL SELECT '|---|---|---|---|---|' FROM q
+  UNION ALL SELECT concat('<!-- ', q, ' -->') FROM q UNION ALL SELECT '' FROM q) GROUP BY line""",
+)
+def markdown_table(spark, sf):
+    """The written tables, read back line by line."""
+    part = table(spark, sf, "part").select(
+        (F.col("p_size") % 7).alias("query_id"), F.col("p_partkey").alias("rank"), F.lit("PROMO_PART").alias("job_family"),
+        F.replace("p_name", F.lit(" "), F.lit("|")).alias("job_title"),
+        (F.col("p_retailprice") / 10000.0).alias("cross_encoder_probability"), (F.col("p_size") / 51.0).alias("bi_encoder"),
+    )
+    path = shared_folder(spark, f"markdown-{uuid.uuid4().hex}")
+    write_markdown(markdown_rows(part), path)
+    lines = spark.read.text(path).select(F.col("value").alias("line"))
+    return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "match_distinct",
     f"""WITH {_SQL_RANKED}, c AS (SELECT conv_id, turn, 1000000 * turn + conv_id AS query_id, conv_id % 50 AS vec_id FROM conversations)

@@ -16,12 +16,14 @@ TOKEN_PATTERN = "[a-z0-9][a-z0-9+#./-]+"  # at least two characters
 
 # The stop list of the explanation tokenizer.
 STOP_WORDS = (
-    "the a an and or but of to in on for with at by from is are was were be been being "
-    "this that these those as it its we you your our their his her he she they i "
-    "will would can could should may might must shall have has had do does did not no so if "
-    "then than also into about over under after before between during through up down out "
-    "all any each other more most some such only own same"
-).split()
+    "the", "a", "an", "and", "or", "but", "of", "to", "in", "on", "for", "with", "at", "by", "from", "is",
+    "are", "was", "were", "be", "been", "being", "this", "that", "these", "those", "as", "it", "its", "we",
+    "you", "your", "our", "their", "his", "her", "he", "she", "they", "i", "will", "would", "can", "could",
+    "should", "may", "might", "must", "shall", "have", "has", "had", "do", "does", "did", "not", "no", "so",
+    "if", "then", "than", "also", "into", "about", "over", "under", "after", "before", "between", "during",
+    "through", "up", "down", "out", "all", "any", "each", "other", "more", "most", "some", "such", "only",
+    "own", "same",
+)
 
 # Java's (?U)\s is Unicode White_Space; Python also splits on the four separators 0x1c-0x1f.
 _BLANK = r"[\s\x1c-\x1f]"

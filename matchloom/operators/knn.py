@@ -22,7 +22,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from matchloom.functions.scores import SCORE_DECIMALS
 from matchloom.operators.ranking import top_n
@@ -199,9 +199,53 @@ def best_of_tile(query_ids, queries, item_ids, items, k: int) -> pa.Table:
     return pa.table({"query_id": q.astype(np.int64), "item_id": i.astype(np.int64), "score": s.astype(np.float64)})
 
 
+class CellIndex(NamedTuple):
+    """Vectors with their cells, and what is known of the cells. Read from a store, a search touches the
+    folders of the visited cells only."""
+
+    assigned: DataFrame
+    cells: Cells
+
+
+def build_cells(vectors: DataFrame, n_cells: int | None = None, seed: int = 42) -> CellIndex:
+    """Assign ``vectors(item_id, vec)`` to about ``sqrt(n)`` cells, or ``n_cells``."""
+    items = vectors.select(
+        F.col("item_id").cast("long").alias("item_id"), F.col("vec").cast("array<float>").alias("vec")
+    )
+    first = items.first()
+    if first is None or not first.vec:
+        raise ValueError("no vectors to index" if first is None else "vectors must not be null or empty")
+    wanted = _cells_for(n_cells, int(items.count() ** 0.5), len(first.vec))
+    pivots = _pick_pivots(items, wanted, seed)
+    assigned = assign_cells(items, pivots)
+    return CellIndex(assigned, _cell_stats(assigned, pivots))
+
+
+def write_cells(vectors: DataFrame, path: str, n_cells: int | None = None, seed: int = 42) -> None:
+    """Store an index once, to be searched often: ``vectors``, partitioned by cell, and ``cells``, one row
+    per pivot with count, radius and norm bounds."""
+    spark = vectors.sparkSession
+    assigned, cells = build_cells(vectors, n_cells, seed)
+    # a large cell is written by several tasks, small cells share one
+    assigned.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
+    rows = [
+        (i, p.tolist(), int(n), float(r), float(low), float(high))
+        for i, (p, n, r, low, high) in enumerate(zip(*cells))
+    ]
+    schema = "cell int, pivot array<double>, n long, radius double, low double, high double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
+
+
+def read_cells(spark: SparkSession, path: str) -> CellIndex:
+    rows = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()  # at most MAX_CELLS
+    columns = [np.array([r[name] for r in rows]) for name in ("pivot", "n", "radius", "low", "high")]
+    vectors = spark.read.schema("item_id long, vec array<float>, angle double, norm double, cell int").parquet(f"{path}/vectors")
+    return CellIndex(vectors, Cells(*columns))
+
+
 def _search(
     queries: DataFrame,
-    vectors: DataFrame,
+    vectors: DataFrame | CellIndex,
     k: int,
     nprobe: int | None,
     n_cells: int | None,
@@ -209,13 +253,16 @@ def _search(
     chunk_rows: int | None,
     seed: int,
 ) -> DataFrame:
-    items = vectors.select(
+    stored = isinstance(vectors, CellIndex)
+    if stored and n_cells is not None:
+        raise ValueError("a stored index has its cells already")
+    items = (vectors.assigned if stored else vectors).select(
         F.col("item_id").cast("long").alias("item_id"), F.col("vec").cast("array<float>").alias("vec")
     )
     asks = queries.select(
         F.col("query_id").cast("long").alias("query_id"), F.col("vec").cast("array<float>").alias("vec")
     )
-    n_items, n_asks = items.count(), asks.count()
+    n_items, n_asks = int(vectors.cells.count.sum()) if stored else items.count(), asks.count()
     if n_items == 0 or n_asks == 0 or k <= 0:
         return items.sparkSession.createDataFrame([], HITS)
     # enough tiles to keep the cluster busy, none larger than the given sides
@@ -227,9 +274,13 @@ def _search(
     block_rows = max(1, min(block_rows or side, -(-n_items // lanes)))
     chunk_rows = max(1, min(chunk_rows or side, -(-n_asks // lanes)))
     per_block = -(-n_items // block_rows)
-    pivots = _pick_pivots(items, _cells_for(n_cells, per_block if nprobe is None else int(n_items**0.5), width), seed)
-    assigned = assign_cells(items, pivots)
-    cells = _cell_stats(assigned, pivots)
+    if stored:
+        assigned, cells = vectors
+    else:
+        wanted = _cells_for(n_cells, per_block if nprobe is None else int(n_items**0.5), width)
+        pivots = _pick_pivots(items, wanted, seed)
+        assigned = assign_cells(items, pivots)
+        cells = _cell_stats(assigned, pivots)
 
     blocks_of = F.array(*[F.lit(int(-(-c // block_rows)) or 1) for c in cells.count])
     salted = assigned.select(
@@ -243,6 +294,9 @@ def _search(
         "chunk", F.pmod(F.xxhash64("query_id"), F.lit(n_chunks)).cast("int")
     )
     per_cell = visits.select("query_id", "vec", "chunk", F.explode("cells").alias("cell"))
+    if stored:  # at most MAX_CELLS numbers: only the visited folders are read, before anything is shuffled
+        reached = sorted(r.cell for r in per_cell.select("cell").distinct().collect())
+        salted = salted.filter(F.col("cell").isin(reached))
     blocks = F.explode(F.sequence(F.lit(0), F.element_at(blocks_of, F.col("cell") + 1) - 1)).alias("block")
     asked = per_cell.select("query_id", F.col("vec").alias("query_vec"), "chunk", "cell", blocks)
     # joined per block, not per cell: a cell with most of the vectors is many join keys
@@ -275,7 +329,7 @@ def _search(
 
 def knn_exact(
     queries: DataFrame,
-    vectors: DataFrame,
+    vectors: DataFrame | CellIndex,
     k: int,
     n_cells: int | None = None,
     block_rows: int | None = None,
@@ -284,7 +338,7 @@ def knn_exact(
 ) -> DataFrame:
     """``query_id, item_id, score, retrieval_rank``: the exact top ``k`` by inner product.
 
-    ``queries(query_id, vec)``, ``vectors(item_id, vec)``. Scores are rounded to six decimals; ties go
+    ``queries(query_id, vec)``; ``vectors(item_id, vec)`` or an index from ``read_cells``. Scores are rounded to six decimals; ties go
     to the lower id. Runs three small jobs (counts, pivots, cell statistics) when it is called.
     """
     return _search(queries, vectors, k, None, n_cells, block_rows, chunk_rows, seed)
@@ -292,7 +346,7 @@ def knn_exact(
 
 def knn_ann(
     queries: DataFrame,
-    vectors: DataFrame,
+    vectors: DataFrame | CellIndex,
     k: int,
     nprobe: int = 8,
     n_cells: int | None = None,

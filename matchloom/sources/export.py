@@ -41,17 +41,20 @@ def markdown_rows(
     )
 
 
-def write_markdown(lines: DataFrame, path: str, by: str = "query_id", rank: str = "rank") -> None:
-    """One folder of text per query. Lines are range-sorted, so a query's lines stay in order across
-    its part files; the header is ``MARKDOWN_HEADER`` and left to the reader of the folder."""
-    (
-        lines.repartitionByRange(by, rank)
-        .sortWithinPartitions(by, rank)
-        .select(by, F.col("line").alias("value"))
-        .write.mode("overwrite")
-        .partitionBy(by)
-        .text(path)
-    )
+def markdown_tables(lines: DataFrame, by: str = "query_id", rank: str = "rank") -> DataFrame:
+    """``by, document``: the whole Markdown table of each query, header and divider first. A query has no
+    more lines than the ``top_n`` it asked for."""
+    tables = lines.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("rank"), "line"))).alias("_rows"))
+    header = F.array(*map(F.lit, MARKDOWN_HEADER))
+    return tables.select(by, F.array_join(F.concat(header, F.col("_rows.line")), "\n").alias("document"))
+
+
+def write_markdown(lines: DataFrame, path: str, by: str = "query_id", rank: str = "rank", buckets: int = 64) -> None:
+    """Markdown text in ``buckets`` folders by hash of the query, so that millions of queries make no
+    more folders than that. Each table follows a comment line that names its query."""
+    named = F.concat(F.lit("<!-- "), F.col(by).cast("string"), F.lit(" -->\n"), F.col("document"), F.lit("\n"))
+    tables = markdown_tables(lines, by, rank).withColumn("bucket", F.pmod(F.xxhash64(by), F.lit(buckets)))
+    tables.select("bucket", named.alias("value")).write.mode("overwrite").partitionBy("bucket").text(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

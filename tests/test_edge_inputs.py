@@ -12,7 +12,7 @@ from conftest import rows
 from matchloom.functions.text import highlight_parts, nfkc
 from matchloom.operators.encoding import encode_incremental, model_encoder
 from matchloom.operators.idf import build_idf
-from matchloom.operators.knn import knn_ann, knn_exact, most_cells
+from matchloom.operators.knn import knn_ann, knn_exact, most_cells, read_cells, write_cells
 from matchloom.operators.matching import lexical_scorer
 from matchloom.operators.rate_limit import callers, token_bucket
 from matchloom.operators.sampling import build_pairs, group_sides, holdout_groups
@@ -166,3 +166,17 @@ def test_nfkc(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r.n for r in df.select("i", nfkc("t").alias("n")).orderBy("i").collect()]
     assert got == [None if t is None else unicodedata.normalize("NFKC", t) for t in texts]
+
+
+def test_stored_index(spark, corpus, tmp_path):
+    requests, _, vectors = corpus
+    path = str(tmp_path / "cells")
+    write_cells(vectors, path, n_cells=9)
+    index = read_cells(spark, path)
+    assert rows(knn_exact(requests, index, 7)) == rows(knn_exact(requests, vectors, 7))
+    assert rows(knn_ann(requests, index, 7, nprobe=9)) == rows(knn_exact(requests, vectors, 7))
+    assert knn_ann(requests, index, 7, nprobe=1).count() > 0
+    with pytest.raises(ValueError, match="cells already"):
+        knn_exact(requests, index, 7, n_cells=3)
+    with pytest.raises(ValueError, match="no vectors"):
+        write_cells(vectors.filter("false"), str(tmp_path / "none"))

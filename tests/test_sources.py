@@ -10,7 +10,7 @@ from conftest import rows
 from matchloom.operators.idf import build_idf
 from matchloom.plans.corpus import build_vectors, build_weights, clean_postings, demo_corpus, prepare_corpus
 from matchloom.sources.csv import POSTING_ALIASES, read_aliased_csv, resolve_columns
-from matchloom.sources.export import markdown_rows, write_json, write_markdown
+from matchloom.sources.export import MARKDOWN_HEADER, markdown_rows, write_json, write_markdown
 from matchloom.sources.files import docx_text, extract_docx, extract_text, guard_extracted, read_files
 from matchloom.sources.history import read_import, read_request_log
 from matchloom.sources.tables import append_vectors, read_corpus, read_idf, read_vectors, write_corpus, write_idf
@@ -171,6 +171,7 @@ def test_export(spark, tmp_path):
         "| 2 | a\\|b c | Information Technology | 100.0% | 0.0% |",
     ]
     write_markdown(lines, str(tmp_path / "md"))
-    assert spark.read.text(str(tmp_path / "md")).count() == 2
+    want = ["<!-- 1 -->", *MARKDOWN_HEADER, *[r.line for r in lines.orderBy("rank").collect()], ""]
+    assert [r.value for r in spark.read.text(str(tmp_path / "md")).select("value").collect()] == want
     write_json(df, str(tmp_path / "js"))
     assert spark.read.json(str(tmp_path / "js")).count() == 2
