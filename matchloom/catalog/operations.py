@@ -13,7 +13,7 @@ from matchloom.operators.latency import latency_windows
 from matchloom.operators.metrics import latency_percentiles
 from matchloom.operators.rate_limit import callers, token_bucket
 from matchloom.sources.tables import shared_folder
-from matchloom.streaming.feedback import NO_RUN, feedback_stream
+from matchloom.streaming.feedback import feedback_stream
 from matchloom.streaming.latency import latency_stream
 from matchloom.streaming.rate_limit import token_bucket_stream
 
@@ -113,18 +113,28 @@ def rate_limit_keys(spark, sf):
 
 
 # Streams -----------------------------------------------------------------------------------------
-# Each stream reads the event table as a file source, runs until the input is used up and is then read
-# back. Rows younger than the last watermark are still waiting in the state, so the SQL leaves out the
-# same tail: events after the latest event minus the delay.
+# Each stream reads the event table as a file source, then a file of later markers that moves the watermark
+# past all events, runs until the input is used up and is then read back.
 
 _DELAY = "2 hours"
-_SQL_PASSED = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 HOUR FROM events)"
+_MARKER = -1  # event_id of the markers
 
 
 def _stream(spark, sf):
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    folder = shared_folder(spark, f"events-{uuid.uuid4().hex}")
+    events.write.parquet(folder)
+    files = len(spark.read.parquet(folder).inputFiles())
+    # one marker per kind of event, so that some pass any filter
+    last = F.lit(events.agg(F.max("ts")).first()[0]) + F.expr("INTERVAL 60 DAYS")
+    same = {c: F.first(c).alias(c) for c in events.columns if c not in ("event_type", "event_id", "ts", "user_id")}
+    markers = events.groupBy("event_type").agg(*same.values()).withColumns(
+        {"event_id": F.lit(_MARKER), "user_id": F.lit(_MARKER), "ts": last}
+    )
+    markers = markers.select([F.col(f.name).cast(f.dataType) for f in events.schema.fields])
+    markers.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(folder)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _drain(stream):
@@ -143,29 +153,27 @@ def _drain(stream):
 
 @query(
     "stream_latency",
-    f"""SELECT CAST(start AS VARCHAR) AS start, path, requests, errors FROM (SELECT {_SQL_WINDOWS} FROM events GROUP BY 1, 2)
-WHERE start + INTERVAL 6 HOUR <= {_SQL_PASSED}""",
+    f"""SELECT CAST(start AS VARCHAR) AS start, path, requests, errors FROM (SELECT {_SQL_WINDOWS} FROM events GROUP BY 1, 2)""",
 )
 def stream_latency(spark, sf):
     log = _log(_stream(spark, sf))
     closed = _drain(latency_stream(log, "6 hours", _DELAY))
+    last = table(spark, sf, "events").agg(F.max("ts").cast("timestamp").alias("ts")).first().ts
+    closed = closed.filter(F.col("start") <= F.lit(last))  # the markers' windows are later
     return closed.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "path", "requests", "errors")
 
 
-@query("stream_token_bucket", f"WITH {_SQL_BUCKET} SELECT event_id, allowed, {_SQL_TOKENS} AS tokens FROM f JOIN events USING (event_id) WHERE ts <= {_SQL_PASSED}")
+@query("stream_token_bucket", f"WITH {_SQL_BUCKET} SELECT event_id, allowed, {_SQL_TOKENS} AS tokens FROM f")
 def stream_token_bucket(spark, sf):
     events = _stream(spark, sf).select("event_id", "user_id", "ts")
     out = _drain(token_bucket_stream(events, "user_id", _DELAY, _BUCKET, _WINDOW_S))
-    return out.select("event_id", "allowed", r6("tokens").alias("tokens"))
-
-
+    return out.filter(F.col("event_id") != _MARKER).select("event_id", "allowed", r6("tokens").alias("tokens"))
 
 
 @query(
     "stream_feedback",
-    f"""WITH {_SQL_SIGNALS} SELECT event_id, signal, CASE WHEN place % 2 = 1 THEN 'created' ELSE 'removed' END AS action, run_id FROM p
-WHERE ts <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 HOUR FROM e)""",
+    f"""WITH {_SQL_SIGNALS} SELECT event_id, signal, CASE WHEN place % 2 = 1 THEN 'created' ELSE 'removed' END AS action, run_id FROM p""",
 )
 def stream_feedback(spark, sf):
     out = _drain(feedback_stream(signals(_stream(spark, sf)), _DELAY))
-    return out.select("event_id", "signal", "action", F.when(F.col("run_id") != NO_RUN, F.col("run_id")).alias("run_id"))
+    return out.filter(F.col("event_id") != _MARKER).select("event_id", "signal", "action", "run_id")

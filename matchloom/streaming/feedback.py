@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from matchloom.operators.feedback import VOTES
 from matchloom.streaming.ordered_fold import fold_stream
 
-OUTPUT = "us long, event_id long, signal string, action string, user_id long, run_id long, job_id long"
-NO_RUN = -1
+KEYS = ["user_id", "run_id", "job_id"]
 
 
 def toggle(rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
@@ -29,20 +28,25 @@ def toggle(rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple
 def feedback_stream(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """``us, event_id, signal, action`` and the target of every event.
 
-    ``events(event_id, ts, user_id, run_id, job_id, signal)``. A null run travels as ``NO_RUN``, because
-    it is a target of its own.
+    ``events(event_id, ts, user_id, run_id, job_id, signal)``; the three ids may be of any type. A null
+    run is a target of its own: it travels as a flag beside a blank id.
     """
+    types = {k: events.schema[k].dataType.simpleString() for k in KEYS}
+    blank = F.lit("" if types["run_id"] == "string" else 0).cast(types["run_id"])
     timed = (
         events.withWatermark("ts", delay)
         .withColumn("us", F.unix_micros("ts"))
-        .withColumn("run_id", F.coalesce(F.col("run_id").cast("long"), F.lit(NO_RUN).cast("long")))
+        .withColumn("no_run", F.col("run_id").isNull())
+        .withColumn("run_id", F.coalesce("run_id", blank))
     )
-    return fold_stream(
+    folded = fold_stream(
         timed,
-        ["user_id", "run_id", "job_id"],
+        [*KEYS, "no_run"],
         toggle,
         ["us", "event_id", "signal"],
         "us long, event_id long, signal string",
         "vote string, clicked boolean",
-        OUTPUT,
+        "us long, event_id long, signal string, action string, "
+        + ", ".join(f"{k} {types[k]}" for k in KEYS) + ", no_run boolean",
     )
+    return folded.withColumn("run_id", F.when(~F.col("no_run"), F.col("run_id"))).drop("no_run")

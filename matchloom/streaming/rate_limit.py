@@ -13,7 +13,7 @@ from matchloom.streaming.ordered_fold import fold_stream
 def token_bucket_stream(
     events: DataFrame, key: str, delay: str = "10 minutes", capacity: int = CAPACITY, window_s: int = WINDOW_S
 ) -> DataFrame:
-    """``us, event_id, allowed, tokens, <key>`` for every event; ``events(event_id, ts, <key>)``, key long.
+    """``us, event_id, allowed, tokens, <key>`` for every event; ``events(event_id, ts, <key>)``, a key of any type.
 
     The state of a key is one number. A bucket that is full again behaves like a new one, so the
     state may be forgotten any time after it refilled.
@@ -33,5 +33,5 @@ def token_bucket_stream(
         ["us", "event_id"],
         "us long, event_id long",
         "full_at long",
-        f"us long, event_id long, allowed boolean, tokens double, {key} long",
+        f"us long, event_id long, allowed boolean, tokens double, `{key}` {events.schema[key].dataType.simpleString()}",
     )

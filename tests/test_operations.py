@@ -14,7 +14,7 @@ from matchloom.operators.metrics import (
 )
 from matchloom.operators.rate_limit import token_bucket
 from matchloom.plans.evaluation import compare_systems
-from matchloom.streaming.feedback import NO_RUN, feedback_stream
+from matchloom.streaming.feedback import feedback_stream
 from matchloom.streaming.latency import latency_stream
 from matchloom.streaming.rate_limit import token_bucket_stream
 from test_history import SCHEMA, events, simulate
@@ -164,7 +164,16 @@ def test_feedback_stream_equals_batch(spark, tmp_path):
     write_batches(spark, df, str(tmp_path / "in"))
     out = drain(spark, feedback_stream(source(spark, df, str(tmp_path / "in")), "1 hour"), tmp_path)
     assert dict(rows(out.select("event_id", "action"))) == simulate(calls)[0]
-    assert out.filter(F.col("run_id") == NO_RUN).count() == sum(c[3] is None for c in calls)
+    assert out.filter("run_id IS NULL").count() == sum(c[3] is None for c in calls)
+
+
+def test_feedback_stream_with_text_runs(spark, tmp_path):
+    calls = events(120, 2, 20_000, 9)
+    df = spark.createDataFrame([*calls, (9999, T0 + timedelta(days=3), 77, 1, 1, "up")], SCHEMA)
+    df = df.withColumn("run_id", F.concat(F.lit("run-"), F.col("run_id").cast("string")))
+    write_batches(spark, df, str(tmp_path / "in"))
+    out = drain(spark, feedback_stream(source(spark, df, str(tmp_path / "in")), "1 hour"), tmp_path)
+    assert dict(rows(out.select("event_id", "action"))) == simulate(calls)[0]
 
 
 def test_rate_stream_equals_batch(spark, tmp_path):
