@@ -231,7 +231,7 @@ def match_two_stage(spark, sf):
 FROM survivors WHERE rank <= 60""",
 )
 def match_deep(spark, sf):
-    """More results per request than one page of the reference's interface shows."""
+    """More results per request than a page shows."""
     postings = _postings(spark, sf)
     requests = _requests(spark, sf).withColumn("top_n", F.lit(60)).withColumn("explain", F.lit(False))
     results = match(requests, postings, _vectors(spark, sf), build_idf(postings)).results
