@@ -15,7 +15,7 @@ from matchloom.catalog.registry import (
 )
 from matchloom.functions.skills import extract_skills
 from matchloom.functions.text import tokens
-from matchloom.operators.encoding import HASHING_MODEL, encode_incremental, hashing_encoder
+from matchloom.operators.encoding import HASHING_MODEL, dot, encode_incremental, hashing_encoder
 from matchloom.operators.filters import apply_filters, effective_k
 from matchloom.operators.idf import build_idf
 from matchloom.operators.layout import checkpointed
@@ -437,25 +437,43 @@ def match_distinct_requests(spark, sf):
     return match_distinct(asked, run)
 
 
-@query("encode_documents")
+def _unit_length(vector):
+    """True for unit length, false for the zero vector of a text without tokens."""
+    return F.round(dot(vector, vector), 3) == 1.0
+
+
+@query("encode_documents", f"SELECT doc_id, 256 AS width, len({sql_tokens('text')}) > 0 AS unit_length FROM documents")
 def encode_documents(spark, sf):
     """Hashing encoder over all documents; the texts that have a vector already are not encoded again."""
     documents = texts(spark, sf, "documents").select("doc_id", "text")
     _, known = encode_incremental(texts(spark, sf, "benchmark").select("text"), "text", None, hashing_encoder(), HASHING_MODEL)
     encoded, _ = encode_incremental(documents, "text", known, hashing_encoder(), HASHING_MODEL)
-    return encoded.select("doc_id", F.size("embedding").alias("width"))
+    return encoded.select("doc_id", F.size("embedding").alias("width"), _unit_length("embedding").alias("unit_length"))
+
+
+def _all_postings(spark, sf):
+    """Every document as a posting, with or without a given vector."""
+    return texts(spark, sf, "documents").select(
+        F.col("doc_id").alias("job_id"), F.concat_ws(" ", "lang", "source").alias("job_title"),
+        F.col("text").alias("description"), F.lit("").alias("skills"), "text",
+        F.upper("source").alias("job_category"), F.upper("lang").alias("job_family"),
+    )
 
 
-@query("build_vectors")
+@query(
+    "build_vectors",
+    f"""WITH t AS (SELECT doc_id, concat_ws(' ', concat_ws(' ', lang, source), text) AS body FROM documents)
+SELECT doc_id AS item_id, 256 AS width, len({sql_tokens('body')}) > 0 AS unit_length FROM t""",
+)
 def build_posting_vectors(spark, sf):
-    vectors, _ = build_vectors(_postings(spark, sf))
-    return vectors.select("item_id", F.size("vec").alias("width"))
+    vectors, _ = build_vectors(_all_postings(spark, sf))
+    return vectors.select("item_id", F.size("vec").alias("width"), _unit_length("vec").alias("unit_length"))
 
 
 @query("match_encoded")
 def match_encoded(spark, sf):
-    """The whole path from text: encode benchmark texts and postings, retrieve, rerank, explain."""
-    postings = _postings(spark, sf)
+    """The whole path from text: encode benchmark texts and all postings, retrieve, rerank, explain."""
+    postings = _all_postings(spark, sf)
     vectors = checkpointed(build_vectors(postings, check=False)[0])
     requests = texts(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     return match(requests, postings, vectors, build_idf(postings), lexicon=LEXICON).results.drop("explanation")
