@@ -204,10 +204,9 @@ def near_groups(
         & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
         & can_link("x", "y", percent),
     ).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    links = stored(links.unionByName(confirmed(more.distinct(), sets, percent)), "links")
-    placed = components(links)
-
-    named = F.coalesce("component", "node").alias("component")
+    late = stored(confirmed(more.distinct(), sets, percent), "links")
+    placed = _joined_up(placed, late)
+    links = links.unionByName(late)
     by_class = classes.select("set_key", "node").join(placed, "node", "left").select("set_key", named)
     result = sketches.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left")
     result = result.select(
@@ -219,6 +218,19 @@ def near_groups(
     return result, links
 
 
+def _joined_up(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """``(node, component)`` after further ``links(a, b)``: components are merged, nodes not visited again."""
+    ends = links.select("a", "b")
+    for end in ("a", "b"):
+        of = placed.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
+        ends = ends.join(of, end, "left").withColumn(f"{end}_in", F.coalesce(f"{end}_in", end))
+    merged = components(ends, "a_in", "b_in").select(F.col("node").alias("component"), F.col("component").alias("into"))
+    # a merged name may be a node that had no link before
+    known = placed.unionByName(merged.select(F.col("component").alias("node"), "component")).distinct()
+    moved = known.join(merged, "component", "left")
+    return moved.select("node", F.coalesce("into", "component").alias("component")).distinct()
+
+
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
     return near_groups(docs, **options)[0]
