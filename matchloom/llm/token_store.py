@@ -24,7 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from matchloom.llm.common import batches, small_batches
+from matchloom.llm.common import batches, hash_sample, small_batches
 from matchloom.llm.tokens import encoder
 
 END = 1
@@ -54,8 +54,8 @@ _BLOCKS_DDL = (
 
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     """Dictionary bytes; empty when the sample is too small to train one."""
-    sample = docs.select("doc_id", F.substring("text", 1, 8 * SAMPLE_IDS).alias("text")).filter("text <> ''")
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS).select("text")
+    begins = docs.select("doc_id", F.substring("text", 1, 8 * SAMPLE_IDS).alias("text"))
+    sample = hash_sample(begins, ["doc_id"], SAMPLE_DOCS, docs.count()).filter("text <> ''").select("text")
 
     def ids(source):
         encode = encoder(tokenizer).encode
