@@ -8,7 +8,10 @@
 3. Slot i of the schedule is the van der Corput number of i in base 2, mapped through the cumulative targets
    to a source. The r-th slot of a source takes its block r modulo the number of its blocks, so any run of
    slots is close to the target weights, and a source's blocks are taken evenly.
-4. A document's ``taken`` is the sum of its words in the taken blocks, repeats counted.
+4. A source whose slots miss its target by more than its largest document or a hundredth of the target (one of
+   few blocks) is settled in words: its line is read from its start, and again from its start, for exactly its
+   target, rounded to a word. It keeps its slots up to that number of words and gets the missing ones, evenly spread.
+5. A document's ``taken`` is the sum of its words that are read, repeats counted.
 
 The end-to-end line is numbered by ranges of the shuffling hash, the slots by ranges of i: a source that
 holds a third of all rows or slots is spread over many tasks.
@@ -26,6 +29,7 @@ from matchloom.llm.common import WORD, stored
 WEIGHTS = (3, 1, 2)
 RANGES = 1024
 MAX_BLOCK_WORDS, MIN_SLOTS = 4096, 1 << 16
+MAX_MISS = 0.01
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
@@ -108,6 +112,37 @@ def schedule(spark: SparkSession, targets: DataFrame, block_words: int) -> DataF
     return hits.select("slot", "key", (F.col("base") + F.col("within")).alias("rank"), "blocks")
 
 
+def _settled(targets: DataFrame, slots: DataFrame, largest: DataFrame, block_words: int) -> DataFrame:
+    """``(key, source_size, target, slots, words)``, one row per source; ``words`` is the rounded target of a source
+    that its ``slots(key, block, blocks)`` miss, else null. ``largest(key, largest)`` has the size of its largest document."""
+    by_key = targets.select(_key(F.col("source")).alias("key"), "source_size", "target").join(largest, "key")
+    # every block is full but the last
+    by_slots = slots.groupBy("key").agg(
+        F.count("*").alias("slots"), F.sum((F.col("block") == F.col("blocks") - 1).cast("long")).alias("ends"), F.max("blocks").alias("blocks")
+    )
+    rows = by_key.join(by_slots, "key", "left").withColumn("slots", F.coalesce("slots", F.lit(0)))
+    read = F.col("slots") * block_words - F.col("ends") * (F.col("blocks") * block_words - F.col("source_size"))
+    miss = F.abs(F.col("target") - F.coalesce(read, F.lit(0)))
+    missed = miss > F.least(F.col("largest").cast("double"), F.col("target") * MAX_MISS)
+    words = F.when(missed, F.round("target").cast("long"))
+    return rows.select("key", "source_size", "target", "slots", words.alias("words"))
+
+
+def _turns(slots: DataFrame, sources: DataFrame, block_words: int) -> DataFrame:
+    """``slots`` with those of settled sources cut or filled up to their words; ``block`` is null there."""
+    settled = sources.filter("words IS NOT NULL").withColumn("turns", F.ceil(F.col("words") / block_words))
+    settled = settled.select("key", "slots", "turns")
+    kept = slots.join(settled.select("key", "turns"), "key", "left").filter("turns IS NULL OR rank < turns")
+    block = F.when(F.col("turns").isNull(), F.col("block"))
+    kept = kept.select("slot", "key", "rank", block.alias("block"))
+    # a source misses few slots, however many it has
+    more = settled.filter("turns > slots").withColumn("rank", F.explode(F.expr("sequence(slots, turns - 1)")))
+    end = slots.agg(F.coalesce(F.max("slot") + 1, F.lit(1)).alias("end"))
+    place = (F.col("rank") - F.col("slots") + 0.5) / (F.col("turns") - F.col("slots")) * F.col("end")
+    more = more.crossJoin(end).select(F.floor(place).alias("slot"), "key", "rank", F.lit(None).cast("long").alias("block"))
+    return kept.unionByName(more)
+
+
 def _lined_up(sized: DataFrame, seed: int) -> DataFrame:
     """``sized(doc_id, size, row, key)`` with ``start``, the words before it in its source's shuffled line."""
     mixed_up = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary"))
@@ -126,7 +161,9 @@ def mix(
     """``(documents, schedule)`` of ``docs(doc_id, source, text)``.
 
     ``documents``: ``doc_id, size, source_size, target, taken`` and the row's place ``row`` for each row of
-    ``docs``, a stored table. ``schedule``: ``slot, key, rank, block``, the order in which blocks are read.
+    ``docs``, a stored table. ``schedule``: ``slot, key, rank, block``, the order in which blocks are read. The
+    turns of a settled source have no ``block``: turn ``rank`` reads the words of its repeated line from
+    ``rank * block_words`` on, up to a block of them and its target.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sized = docs.select("doc_id", "source", size.alias("size"), F.monotonically_increasing_id().alias("row"))
@@ -137,18 +174,24 @@ def mix(
 
     # rounding may give a source one slot too many; no block is read more often than `most` allows
     slots = schedule(docs.sparkSession, targets, block_words).filter(F.col("rank") < F.floor(F.lit(most) * F.col("blocks")))
-    slots = stored(slots.select("slot", "key", "rank", (F.col("rank") % F.col("blocks")).alias("block")), "slots")
+    slots = stored(slots.select("slot", "key", "rank", (F.col("rank") % F.col("blocks")).alias("block"), "blocks"), "slots")
     times = slots.groupBy("key", "block").agg(F.count("*").alias("times"))
+    largest = sized.groupBy("key").agg(F.max("size").alias("largest"))
+    sources = stored(_settled(targets, slots, largest, block_words), "sources")
 
     first, last = F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}")
-    parts = _lined_up(sized, seed).filter("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
-    parts = parts.join(times, ["key", "block"])
+    lined = _lined_up(sized, seed).filter("size > 0").join(sources.select("key", "source_size", "words"), "key")
+    blocks = F.when(F.col("words").isNull(), F.sequence(first, last)).otherwise(F.array(first))
+    parts = lined.withColumn("block", F.explode(blocks)).join(times, ["key", "block"], "left")
     begin, end = F.col("block") * block_words, (F.col("block") + 1) * block_words
-    words = F.least(F.col("start") + F.col("size"), end) - F.greatest("start", begin)
-    taken = parts.groupBy("row").agg(F.sum(words * F.col("times")).alias("taken"))
-    by_key = targets.select(_key(F.col("source")).alias("key"), "source_size", "target")
+    by_slots = (F.least(F.col("start") + F.col("size"), end) - F.greatest("start", begin)) * F.coalesce("times", F.lit(0))
+    rest = F.greatest(F.lit(0), F.least(F.col("size"), F.expr("words % source_size") - F.col("start")))
+    settled = F.expr("words div source_size") * F.col("size") + rest
+    taken = parts.groupBy("row").agg(F.sum(F.when(F.col("words").isNull(), by_slots).otherwise(settled)).alias("taken"))
+    by_key = sources.select("key", "source_size", "target")
     rows = sized.join(by_key, "key").join(taken, "row", "left")
-    return rows.select("row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")), slots
+    rows = rows.select("row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    return rows, _turns(slots, sources, block_words)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

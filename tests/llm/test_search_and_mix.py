@@ -131,6 +131,29 @@ def test_mixed_rows(spark):
         assert abs(words.get(source, 0) - target) <= 0.05 * target + 50  # whole documents
 
 
+@pytest.mark.parametrize("tiny", [[7], [3, 2, 4], [40] * 30])
+def test_mix_of_huge_and_tiny_sources(spark, tiny, monkeypatch):
+    monkeypatch.setattr("matchloom.llm.mixing.MIN_SLOTS", 64)  # blocks of about 2,000 words
+    rows = [(i, "w " * 500, "huge") for i in range(180)] + [(1000 + i, "w " * n, "tiny") for i, n in enumerate(tiny)]
+    rows += [(2000, "w " * 2500, "z")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    result, slots = mix(frame)
+    source = {r[0]: r[2] for r in rows}
+    taken, sizes = {}, {"huge": 90000, "tiny": sum(tiny), "z": 2500}
+    for r in result.collect():
+        assert 0 <= r.taken <= 2 * r.size
+        taken[source[r.doc_id]] = taken.get(source[r.doc_id], 0) + r.taken
+    want = water_filling(sizes)
+    largest = {"huge": 500, "tiny": max(tiny), "z": 2500}
+    for name, target in want.items():
+        assert abs(taken[name] - target) <= min(largest[name], 0.01 * target) + 0.5
+    turns = {}
+    for r in slots.collect():
+        turns.setdefault(r.key, []).append(r.rank)
+    assert all(sorted(ranks) == list(range(len(ranks))) for ranks in turns.values()) and len(turns) == 3
+    assert {source[r.doc_id] for r in mixed(frame).collect()} == set(sizes)
+
+
 def test_mix_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mix(empty)[0].count() == 0 and mixed(empty).count() == 0
