@@ -1,12 +1,13 @@
 """Token ids of texts by the ``tokenizers`` library, fast on text of mostly plain words.
 
 ``TextEncoder.encode`` returns exactly the ids of ``Tokenizer.encode(text, add_special_tokens=False)``,
-as the bytes of little-endian unsigned 32-bit integers. The strings of special tokens are ordinary text.
+as the bytes of little-endian unsigned 32-bit integers. As there, the string of an added token of the
+vocabulary, such as ``<|endoftext|>``, is that token wherever it stands in a text.
 
 Running the library's normaliser and pattern matcher over every text takes most of its time, although
 most words have been seen before. So a text in plain Latin letters is cut at the pattern's own borders,
-each new piece is encoded once by the library's model, and a bounded table remembers it. Any other text
-goes through the library as a whole; so does every text when the vocabulary's file asks for steps this
+each new piece is encoded once by the library's model, and a bounded table remembers it. Any other text,
+also one that holds the string of an added token, goes through the library as a whole; so does every text when the vocabulary's file asks for steps this
 module doesn't know.
 """
 
@@ -50,17 +51,19 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.model = self.library.model
         self.letters = _byte_letters()
         self.seen: dict[str, bytes] = {}  # ids of chunks between blanks
         self.words: dict[str, bytes] = {}  # ids of the pattern's pieces
         self.pieces, self.lower = _known(path)
+        added = [t for t in self.library.get_added_tokens_decoder().values() if t.content]
+        # the library looks for some of them in normalised text; letters of either case are found in any case
+        self.added = re.compile("|".join(re.escape(t.content) for t in added), re.I) if added else None
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.pieces is None or not _PLAIN.fullmatch(text):
+        if self.pieces is None or not _PLAIN.fullmatch(text) or (self.added and self.added.search(text)):
             return self._by_library(text)
         return b"".join([self._slice(part) for part in _slices(text)])
 

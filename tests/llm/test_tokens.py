@@ -43,6 +43,16 @@ def test_encoder_equals_library(pair, monkeypatch):
     assert encoder.encode(long) == ids(library, long)
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_strings_of_added_tokens(name):
+    plain, encoder = Tokenizer.from_file(tokenizer_path(name)), TextEncoder(tokenizer_path(name))
+    texts = ["end <|endoftext|> hi", "<|endoftext|>", "a<|startoftext|>b", "x <|ENDOFTEXT|> y", "<|endoftext|", "日本 <|endoftext|>", "\n<|endoftext|>  <|endoftext|> "]
+    texts += ODD + ["word " * 60000 + "<|endoftext|>" + " word" * 60000]
+    assert [encoder.encode(t) for t in texts] == [ids(plain, t) for t in texts]
+    end = plain.token_to_id("<|endoftext|>")
+    assert np.frombuffer(encoder.encode(texts[0]), "<u4").tolist().count(end) == 1
+
+
 ROWS = [(3, "the cat sat"), (1, "a b c " * 4000), (2, None), (None, "no id"), (5, ""), (4, "copy"), (4, "copy"), (-7, "Ünïcode 日本")]
 
 
