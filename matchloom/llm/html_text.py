@@ -6,14 +6,17 @@ other blocks by a line break; list items carry bullets or numbers and are indent
 stand side by side, padded to the width of their column; white space collapses outside ``pre``.
 
 Edge cases: null html gives null text, an empty or invisible page the empty text; text outside any tag is
-visible; unclosed tags end with the page; elements nested deeper than ``MAX_DEPTH`` stay at that depth, as in
-browsers; columns wider than ``MAX_PAD`` are not padded; an empty table gives an empty table.
+visible; unclosed tags end with the page; elements may be nested to any depth; list items deeper than
+``MAX_INDENT`` columns keep their bullets but are not indented further; columns wider than ``MAX_PAD`` are not
+padded; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections.abc import Generator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +24,7 @@ from pyspark.sql.types import StructType
 
 from matchloom.llm.common import small_batches
 
-MAX_DEPTH = 200
+MAX_INDENT = 400
 MAX_SPAN = 1000
 MAX_PAD = 60
 
@@ -52,7 +55,8 @@ IMPLIED = {
 #: start tags that end an open paragraph
 ENDS_PARAGRAPH = BLOCK - {"html", "body", "option", "optgroup", "td", "th", "tr", "thead", "tbody", "tfoot", "caption", "legend"}
 PARTS = {"thead", "tbody", "tfoot"}
-TABLE_PARTS = PARTS | {"tr", "td", "th", "caption"}
+CELLS = {"td", "th", "caption"}
+TABLE_PARTS = PARTS | CELLS | {"tr"}
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>?""", re.S
@@ -77,18 +81,35 @@ def parse(page: str) -> Node:
     """The tree of a page."""
     root = Node("root")
     open_ = [root]
+    depths: dict[str, list[int]] = {}  # tag -> where it is open, so that no search runs over the open elements
+
+    def last(tags: set) -> int:
+        return max([depths[t][-1] for t in tags if depths.get(t)], default=0)
+
+    def cut(depth: int) -> None:
+        for node in open_[depth:]:
+            depths[node.tag].pop()
+        del open_[depth:]
 
     def close(tags: set, stops: set) -> None:
-        for depth in range(len(open_) - 1, 0, -1):
-            if open_[depth].tag in tags:
-                del open_[depth:]
-            elif open_[depth].tag in stops:
-                return
+        """Close the outermost of ``tags`` that is open within the innermost of ``stops``."""
+        if any(depths.get(t) for t in tags):
+            stop = last(stops)
+            found = [d[i] for t in tags if (d := depths.get(t)) and (i := bisect_right(d, stop)) < len(d)]
+            if found:
+                cut(min(found))
+
+    def end(tag: str) -> None:
+        """Close the innermost ``tag`` that is open within the current table cell."""
+        depth = depths[tag][-1]
+        if tag == "table" or last(CELLS) <= depth:
+            cut(depth)
 
     def start(tag: str, attributes: dict | None = None) -> None:
         node = Node(tag, attributes)
         open_[-1].children.append(node)
-        if tag not in VOID and len(open_) < MAX_DEPTH:
+        if tag not in VOID:
+            depths.setdefault(tag, []).append(len(open_))
             open_.append(node)
 
     at = 0
@@ -105,8 +126,8 @@ def parse(page: str) -> Node:
         if slash:
             if tag == "br":
                 start("br")
-            elif any(n.tag == tag for n in open_[1:]):
-                close({tag}, {"table"}) if tag in TABLE_PARTS else _end(open_, tag)
+            elif depths.get(tag):
+                close({tag}, {"table"}) if tag in TABLE_PARTS else end(tag)
             continue
         if tag in IMPLIED:
             close(*IMPLIED[tag])
@@ -117,25 +138,15 @@ def parse(page: str) -> Node:
         if tag in ("td", "th") and open_[-1].tag in PARTS:
             start("tr")
         start(tag, _attributes(rest))
-        if tag in RAW and open_[-1].tag == tag:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            body = page[at : end.start() if end else len(page)]
+        if tag in RAW:
+            closing = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            body = page[at : closing.start() if closing else len(page)]
             open_[-1].children.append(html.unescape(body) if tag in ("title", "textarea") else body)
-            open_.pop()
-            at = end.end() if end else len(page)
+            cut(len(open_) - 1)
+            at = closing.end() if closing else len(page)
     return root
 
 
-def _end(open_: list[Node], tag: str) -> None:
-    """Close the innermost ``tag`` that is open within the current table cell."""
-    for depth in range(len(open_) - 1, 0, -1):
-        if open_[depth].tag == tag:
-            del open_[depth:]
-            return
-        if open_[depth].tag in ("td", "th", "caption") and tag != "table":
-            return
-
-
 def visible(node: Node) -> bool:
     if node.tag in INVISIBLE:
         return False
@@ -192,47 +203,60 @@ class Flow:
         return self.lines
 
 
-def lay_out(node: Node, flow: Flow, keep: bool = False, nested: bool = False) -> None:
+Steps = Generator["Steps", None, None]
+
+
+def run(steps: Steps) -> None:
+    """Run ``steps`` and the steps they yield, each before its parent goes on: recursion without Python's stack."""
+    waiting = [steps]
+    while waiting:
+        inner = next(waiting[-1], None)
+        if inner is None:
+            waiting.pop()
+        else:
+            waiting.append(inner)
+
+
+def lay_out(node: Node, flow: Flow, keep: bool = False, nested: bool = False) -> Steps:
     for child in node.children:
         if isinstance(child, str):
             flow.text(child, keep)
         elif visible(child):
-            _element(child, flow, keep, nested)
+            yield _element(child, flow, keep, nested)
 
 
-def _element(node: Node, flow: Flow, keep: bool, nested: bool) -> None:
+def _element(node: Node, flow: Flow, keep: bool, nested: bool) -> Steps:
     tag = node.tag
     if tag == "br":
         flow.end_line(always=True)
     elif tag == "table":
         flow.block(1)
-        for line in _table(node):
-            flow.put(line)
+        yield _table(node, flow)
         flow.block(1)
     elif tag in ("ul", "ol", "menu"):
         flow.block(0 if nested else 1)
-        _list(node, flow)
+        yield _list(node, flow)
         flow.block(0 if nested else 1)
     elif tag == "details" and "open" not in node.attributes:
         flow.block(0)
         for child in node.children:
             if isinstance(child, Node) and child.tag == "summary" and visible(child):
-                lay_out(child, flow, keep)
+                yield lay_out(child, flow, keep)
         flow.block(0)
     elif tag in BLOCK:
         gap = 1 if tag in SPACED else 0
         flow.block(gap)
-        lay_out(node, flow, keep or tag == "pre", nested)
+        yield lay_out(node, flow, keep or tag == "pre", nested)
         flow.block(gap)
     else:
-        lay_out(node, flow, keep, nested)
+        yield lay_out(node, flow, keep, nested)
 
 
 def _number(text: str | None, default: int) -> int:
     return int(text) if text and re.fullmatch(r"-?\d{1,9}", text) else default
 
 
-def _list(node: Node, flow: Flow) -> None:
+def _list(node: Node, flow: Flow) -> Steps:
     number = _number(node.attributes.get("start"), 1)
     for child in node.children:
         if isinstance(child, str):
@@ -243,17 +267,18 @@ def _list(node: Node, flow: Flow) -> None:
             marker = f"{number}. " if node.tag == "ol" else "- "
             number += 1
             inner = Flow()
-            lay_out(child, inner, nested=True)
+            yield lay_out(child, inner, nested=True)
             for i, line in enumerate(inner.done()):
-                flow.put((marker if i == 0 else " " * len(marker)) + line if line else line)
+                before = marker if i == 0 else "" if line.startswith(" " * MAX_INDENT) else " " * len(marker)
+                flow.put(before + line if line else line)
         elif visible(child):
-            _element(child, flow, False, True)
+            yield _element(child, flow, False, True)
 
 
-def _table(node: Node) -> list[str]:
+def _table(node: Node, flow: Flow) -> Steps:
     captions, rows = Flow(), []
 
-    def gather(parent: Node) -> None:
+    def gather(parent: Node) -> Steps:
         for child in parent.children:
             if isinstance(child, str):
                 captions.text(child, False)
@@ -262,11 +287,11 @@ def _table(node: Node) -> list[str]:
             elif child.tag == "tr":
                 rows.append([c for c in child.children if isinstance(c, Node) and c.tag in ("td", "th") and visible(c)])
             elif child.tag in PARTS:
-                gather(child)
+                yield gather(child)
             elif child.tag not in ("col", "colgroup"):  # captions and what doesn't belong in a table stand before it
-                _element(child, captions, False, False)
+                yield _element(child, captions, False, False)
 
-    gather(node)
+    yield gather(node)
     grid: list[dict[int, list[str]]] = [{} for _ in rows]
     taken: dict[int, int] = {}  # column -> rows still covered from above
     for r, cells in enumerate(rows):
@@ -276,7 +301,7 @@ def _table(node: Node) -> list[str]:
             while covered.get(column):
                 column += 1
             inner = Flow()
-            lay_out(cell, inner)
+            yield lay_out(cell, inner)
             grid[r][column] = inner.done()
             across = min(MAX_SPAN, max(1, _number(cell.attributes.get("colspan"), 1)))
             down = min(MAX_SPAN, max(1, _number(cell.attributes.get("rowspan"), 1)))
@@ -288,12 +313,13 @@ def _table(node: Node) -> list[str]:
     for row in grid:
         for column, lines in row.items():
             widths[column] = min(MAX_PAD, max([widths.get(column, 0), *map(len, lines)]))
-    columns, out = sorted(widths), captions.done()
+    columns = sorted(widths)
+    for line in captions.done():
+        flow.put(line)
     for row in grid:
         for i in range(max([0, *map(len, row.values())])):
             parts = [(row.get(c, [])[i : i + 1] or [""])[0].ljust(widths[c]) for c in columns if widths[c]]
-            out.append("  ".join(parts).rstrip(" "))
-    return out
+            flow.put("  ".join(parts).rstrip(" "))
 
 
 def render(page: str | None) -> tuple[str | None, str | None]:
@@ -302,7 +328,7 @@ def render(page: str | None) -> tuple[str | None, str | None]:
         return None, None
     root = parse(page)
     flow = Flow()
-    lay_out(root, flow)
+    run(lay_out(root, flow))
     return _title(root), "\n".join(flow.done()).strip("\n")
 
 
@@ -323,7 +349,7 @@ def extract_text(pages: DataFrame, column: str = "html") -> DataFrame:
     kept = [f for f in source.schema.fields if f.name != column]
     schema = StructType(kept).add("title", "string").add("text", "string")
 
-    def run(batches):
+    def rendered(batches):
         for batch in small_batches(batches, column):
             found = [render(p) for p in batch.column(column).to_pylist()]
             own = [c for name, c in zip(batch.schema.names, batch.columns) if name != column]
@@ -331,4 +357,4 @@ def extract_text(pages: DataFrame, column: str = "html") -> DataFrame:
                 [*own, pa.array([t for t, _ in found], pa.string()), pa.array([t for _, t in found], pa.string())], schema.names
             )
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(rendered, schema)

@@ -48,6 +48,15 @@ def test_render_title_and_hostile_pages():
         render(page)
 
 
+@pytest.mark.parametrize("wrap", ["<font>", "<b>", "<div>"])
+def test_hidden_parts_and_lists_at_any_depth(wrap):
+    for depth in (10, 300, 20000):
+        page = wrap * depth + "<p>top<script>var a = '<p>code';</script><style>p{}</style><template>t</template><p hidden>no <i>never</i></p>"
+        page += "<div style='display:none'>gone</div></u></section><ul><li>x<li>y</ul><table><tr><td>a<td>b</table>end"
+        assert render(page)[1] == "top\n\n- x\n- y\n\na  b\n\nend"
+    assert render("<p><button>" + wrap * 20000 + "x")[1] == "x"
+
+
 def test_extract_text(spark):
     rows = [(1, "u", "<p>a"), (2, None, None), (1, "u", "<p>a"), (3, "u", "")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "0 AS TEXT")
