@@ -3,7 +3,9 @@
 The tree builder closes what start and end tags imply (paragraphs, list items, table parts, options) and adds
 missing table parts. The layout emits all visible text: paragraphs and headings are set off by a blank line,
 other blocks by a line break; list items carry bullets or numbers and are indented; the cells of a table row
-stand side by side, padded to the width of their column; white space collapses outside ``pre``.
+stand side by side, padded to the width of their column; what else stands in a table or row comes before the
+table; white space collapses outside ``pre``. Formulas of MathML are inline text without their annotations; of a
+drawing in SVG each text element gives a line.
 
 Edge cases: null html gives null text, an empty or invisible page the empty text; text outside any tag is
 visible; unclosed tags end with the page; elements may be nested to any depth; list items deeper than
@@ -31,7 +33,8 @@ MAX_PAD = 60
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
 INVISIBLE = set(
-    "head title meta link script style template noscript iframe noembed noframes object audio video canvas svg math datalist rp".split()
+    "head title meta link script style template noscript iframe noembed noframes object audio video canvas datalist rp "
+    "annotation annotation-xml mphantom defs desc metadata symbol clippath mask pattern marker".split()
 )
 SPACED = set("p h1 h2 h3 h4 h5 h6 blockquote figure dl pre fieldset hr ul ol menu table".split())
 BLOCK = SPACED | set(
@@ -55,6 +58,14 @@ IMPLIED = {
 #: start tags that end an open paragraph
 ENDS_PARAGRAPH = BLOCK - {"html", "body", "option", "optgroup", "td", "th", "tr", "thead", "tbody", "tfoot", "caption", "legend"}
 PARTS = {"thead", "tbody", "tfoot"}
+#: elements whose tags may close themselves, the places within them where HTML goes on, and the HTML tags that end them
+FOREIGN = {"svg", "math"}
+HTML_POINTS = {"foreignobject", "desc", "annotation-xml", "mi", "mo", "mn", "ms", "mtext"}
+ENDS_FOREIGN = set(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p "
+    "pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+DRAWN = {"svg", "g", "text", "tspan", "textpath", "switch", "foreignobject"}
 CELLS = {"td", "th", "caption"}
 TABLE_PARTS = PARTS | CELLS | {"tr"}
 
@@ -62,6 +73,7 @@ _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>?""", re.S
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_CLOSED = re.compile(r"(?:^|[\s\"']|^[^=]*|\s[^\s=]*)/\Z")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
@@ -105,10 +117,13 @@ def parse(page: str) -> Node:
         if tag == "table" or last(CELLS) <= depth:
             cut(depth)
 
-    def start(tag: str, attributes: dict | None = None) -> None:
+    def foreign() -> bool:
+        return any(depths.get(t) for t in FOREIGN) and last(FOREIGN) > last(HTML_POINTS)
+
+    def start(tag: str, attributes: dict | None = None, closed: bool = False) -> None:
         node = Node(tag, attributes)
         open_[-1].children.append(node)
-        if tag not in VOID:
+        if tag not in VOID and not closed:
             depths.setdefault(tag, []).append(len(open_))
             open_.append(node)
 
@@ -129,6 +144,9 @@ def parse(page: str) -> Node:
             elif depths.get(tag):
                 close({tag}, {"table"}) if tag in TABLE_PARTS else end(tag)
             continue
+        if tag in ENDS_FOREIGN and foreign():
+            close(FOREIGN, HTML_POINTS)
+        closed = rest.endswith("/") and (tag in FOREIGN or foreign()) and bool(_CLOSED.search(rest))
         if tag in IMPLIED:
             close(*IMPLIED[tag])
         if tag in ENDS_PARAGRAPH:
@@ -137,8 +155,8 @@ def parse(page: str) -> Node:
             start("tbody")
         if tag in ("td", "th") and open_[-1].tag in PARTS:
             start("tr")
-        start(tag, _attributes(rest))
-        if tag in RAW:
+        start(tag, _attributes(rest), closed)
+        if tag in RAW and not closed:
             closing = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             body = page[at : closing.start() if closing else len(page)]
             open_[-1].children.append(html.unescape(body) if tag in ("title", "textarea") else body)
@@ -157,6 +175,8 @@ def visible(node: Node) -> bool:
         return False
     if node.tag == "input" and given.get("type", "").lower() == "hidden":
         return False
+    if node.tag in DRAWN and (given.get("display") == "none" or given.get("visibility") in ("hidden", "collapse")):
+        return False
     return not _UNSEEN.search(given.get("style", ""))
 
 
@@ -243,6 +263,14 @@ def _element(node: Node, flow: Flow, keep: bool, nested: bool) -> Steps:
             if isinstance(child, Node) and child.tag == "summary" and visible(child):
                 yield lay_out(child, flow, keep)
         flow.block(0)
+    elif tag == "svg":
+        yield _drawing(node, flow)
+    elif tag in ("mfrac", "mtr"):  # parts that stand apart
+        for child in node.children:
+            if isinstance(child, Node) and visible(child):
+                flow.text(" ", False)
+                yield _element(child, flow, False, nested)
+        flow.text(" ", False)
     elif tag in BLOCK:
         gap = 1 if tag in SPACED else 0
         flow.block(gap)
@@ -252,6 +280,21 @@ def _element(node: Node, flow: Flow, keep: bool, nested: bool) -> Steps:
         yield lay_out(node, flow, keep, nested)
 
 
+def _drawing(node: Node, flow: Flow) -> Steps:
+    """The text elements of an SVG drawing and the HTML in it; strings elsewhere are not drawn."""
+    waiting = node.children[::-1]
+    while waiting:
+        child = waiting.pop()
+        if isinstance(child, str) or not visible(child):
+            continue
+        if child.tag in ("text", "foreignobject"):
+            flow.block(0)
+            yield lay_out(child, flow)
+            flow.block(0)
+        else:
+            waiting.extend(reversed(child.children))
+
+
 def _number(text: str | None, default: int) -> int:
     return int(text) if text and re.fullmatch(r"-?\d{1,9}", text) else default
 
@@ -275,23 +318,50 @@ def _list(node: Node, flow: Flow) -> Steps:
             yield _element(child, flow, False, True)
 
 
+def _holders(row: Node) -> set[int]:
+    """Ids of the elements between a row and its cells."""
+    found: set[int] = set()
+    waiting: list[tuple[Node, tuple]] = [(row, ())]  # an element and (its parent, that one's parents)
+    while waiting:
+        node, above = waiting.pop()
+        for child in node.children:
+            if isinstance(child, str) or not visible(child):
+                continue
+            if child.tag in ("td", "th"):
+                at, rest = node, above
+                while at is not row and id(at) not in found:
+                    found.add(id(at))
+                    at, rest = rest
+            elif child.tag != "table":
+                waiting.append((child, (node, above)))
+    return found
+
+
 def _table(node: Node, flow: Flow) -> Steps:
     captions, rows = Flow(), []
 
-    def gather(parent: Node) -> Steps:
-        for child in parent.children:
-            if isinstance(child, str):
-                captions.text(child, False)
-            elif not visible(child):
-                continue
-            elif child.tag == "tr":
-                rows.append([c for c in child.children if isinstance(c, Node) and c.tag in ("td", "th") and visible(c)])
-            elif child.tag in PARTS:
-                yield gather(child)
-            elif child.tag not in ("col", "colgroup"):  # captions and what doesn't belong in a table stand before it
-                yield _element(child, captions, False, False)
-
-    yield gather(node)
+    # each with the cells of the row it stands in and the elements of that row that hold cells
+    waiting: list[tuple] = [(c, None, None) for c in reversed(node.children)]
+    while waiting:
+        child, cells, holders = waiting.pop()
+        if isinstance(child, str):
+            captions.text(child, False)
+        elif not visible(child):
+            continue
+        elif cells is not None and child.tag in ("td", "th"):
+            cells.append(child)
+        elif cells is not None and id(child) in holders:
+            waiting.extend((c, cells, holders) for c in reversed(child.children))
+        elif cells is None and child.tag == "tr":
+            captions.block(0)
+            rows.append([])
+            holders = _holders(child)
+            waiting.extend((c, rows[-1], holders) for c in reversed(child.children))
+        elif cells is None and child.tag in PARTS:
+            waiting.extend((c, None, None) for c in reversed(child.children))
+        elif child.tag not in ("col", "colgroup"):  # captions and what doesn't belong in a table stand before it
+            yield _element(child, captions, False, False)
+
     grid: list[dict[int, list[str]]] = [{} for _ in rows]
     taken: dict[int, int] = {}  # column -> rows still covered from above
     for r, cells in enumerate(rows):

@@ -36,6 +36,20 @@ CASES = [
 ]
 
 
+CASES += [
+    ("<table><tr>Total<td>5</table>", "Total\n5"),
+    ("<table><tr><b>x</b></tr></table>", "x"),
+    ("<table><tr><form>Ask<td>Name</td><td>Age</td></form></tr><tr><td>n<td>a</table>", "Ask\nName  Age\nn     a"),
+    ("<table><tr>one<td>1</td></tr><tr><i>two</i><td>2</table>", "one\ntwo\n1\n2"),
+    ("<table><tr><b hidden>no<td>never</td></b><td>y</table>", "y"),
+    ("so <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>x=1/2</annotation></math> holds", "so x= 1 2 holds"),
+    ("a<svg><title>t</title><defs><text>d</text></defs><rect/><desc/>z<g><text x=1>b <tspan>c</tspan></text></g></svg>e", "a\nb c\ne"),
+    ("<svg><text display=none>no</text><foreignObject><p>html</p></foreignObject></svg>", "html"),
+    ("<svg><path d='m0'><p>after an unclosed drawing", "after an unclosed drawing"),
+    ("<svg/>a<math/>b", "ab"),
+]
+
+
 @pytest.mark.parametrize(("page", "want"), CASES)
 def test_render(page, want):
     assert render(page)[1].strip("\n") == want.strip("\n")
