@@ -32,6 +32,8 @@ MAX_PIVOT_VALUES = 8_000_000
 TILE_BYTES = 64 * 2**20  # of one side of a tile, in double precision
 # Scores are ranked after rounding, so a bound may miss by half a unit of the last decimal.
 _SLACK = 10.0 ** -SCORE_DECIMALS
+#: recall that ``knn_ann`` aims at and the number of queries it is measured on
+RECALL, RECALL_SAMPLE = 0.95, 200
 
 HITS = "query_id long, item_id long, score double"
 
@@ -344,17 +346,46 @@ def knn_exact(
     return _search(queries, vectors, k, None, n_cells, block_rows, chunk_rows, seed)
 
 
+def choose_nprobe(
+    queries: DataFrame, index: CellIndex, k: int, recall: float = RECALL, sample: int = RECALL_SAMPLE, seed: int = 42
+) -> int:
+    """The least number of closest cells that hold the share ``recall`` of the exact top ``k`` of ``sample`` queries.
+
+    The queries are those of smallest seeded hash; only they are searched exactly.
+    """
+    asks = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vec").cast("array<float>").alias("vec"))
+    asks = asks.orderBy(F.xxhash64(F.lit(seed), "query_id"), "query_id").limit(sample)
+    exact = _search(asks, index, k, None, None, None, None, seed).select("query_id", "item_id")
+    found = exact.join(index.assigned.select("item_id", "cell"), "item_id").select("query_id", "cell").collect()
+    vectors = {r.query_id: r.vec for r in asks.collect()}
+    if not found:
+        return 1
+    place = {q: i for i, q in enumerate(vectors)}
+    unit = _unit(np.array(list(vectors.values()), dtype=np.float64))[0]
+    angles = np.where(index.cells.count > 0, _angles(unit, index.cells.pivots), np.inf)
+    ranks = np.argsort(np.argsort(angles, axis=1, kind="stable"), axis=1, kind="stable")
+    needed = np.sort(ranks[[place[r.query_id] for r in found], [r.cell for r in found]]) + 1
+    return int(needed[max(0, int(np.ceil(recall * len(needed))) - 1)])
+
+
 def knn_ann(
     queries: DataFrame,
     vectors: DataFrame | CellIndex,
     k: int,
-    nprobe: int = 8,
+    nprobe: int | None = None,
     n_cells: int | None = None,
     block_rows: int | None = None,
     chunk_rows: int | None = None,
     seed: int = 42,
+    recall: float = RECALL,
 ) -> DataFrame:
-    """Approximate top ``k``: only the ``nprobe`` closest cells are visited. Measure it with
-    ``metrics.recall_at_k`` against ``knn_exact``; by default there are about ``sqrt(n)`` cells, at most
+    """Approximate top ``k``: only the ``nprobe`` closest cells are visited, by default as many as reach ``recall``
+    on a sample (see ``choose_nprobe``). Measure it with ``metrics.recall_at_k`` against ``knn_exact``; by default there are about ``sqrt(n)`` cells, at most
     ``most_cells(width)``."""
+    if nprobe is None:
+        if k <= 0 or queries.isEmpty() or (not isinstance(vectors, CellIndex) and vectors.isEmpty()):
+            return queries.sparkSession.createDataFrame([], HITS)
+        if not isinstance(vectors, CellIndex):
+            vectors, n_cells = build_cells(vectors, n_cells, seed), None
+        nprobe = choose_nprobe(queries, vectors, k, recall, seed=seed)
     return _search(queries, vectors, k, nprobe, n_cells, block_rows, chunk_rows, seed)

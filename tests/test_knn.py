@@ -68,6 +68,17 @@ def test_partitioning_does_not_matter(spark):
     assert runs[0] == runs[1]
 
 
+def test_ann_reaches_recall_by_default(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(0, 1, (1600, 16)))]  # no clusters
+    x = spark.createDataFrame(rows, "item_id long, vec array<float>")
+    q = spark.createDataFrame(rows[::4], "query_id long, vec array<float>")
+    recall = recall_at_k(knn_ann(q, x, 10), knn_exact(q, x, 10)).agg(F.avg("recall")).first()[0]
+    eight = recall_at_k(knn_ann(q, x, 10, nprobe=8), knn_exact(q, x, 10)).agg(F.avg("recall")).first()[0]
+    assert eight < 0.9 <= recall
+    assert knn_ann(q.filter("false"), x, 10).count() == 0 and knn_ann(q, x.filter("false"), 10).count() == 0
+
+
 def test_ann_recall(spark):
     rng = np.random.default_rng(11)
     items, queries = list(enumerate(unit(rng, 400, 8))), list(enumerate(unit(rng, 30, 8)))
