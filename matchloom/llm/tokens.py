@@ -57,13 +57,14 @@ class TextEncoder:
         self.words: dict[str, bytes] = {}  # ids of the pattern's pieces
         self.pieces, self.lower = _known(path)
         added = [t for t in self.library.get_added_tokens_decoder().values() if t.content]
-        # the library looks for some of them in normalised text; letters of either case are found in any case
-        self.added = re.compile("|".join(re.escape(t.content) for t in added), re.I) if added else None
+        self.added = [t.content for t in added]
+        if self.lower and any(t.normalized for t in added):  # those are looked for in lower-case text
+            self.pieces = None
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.pieces is None or not _PLAIN.fullmatch(text) or (self.added and self.added.search(text)):
+        if self.pieces is None or not _PLAIN.fullmatch(text) or any(t in text for t in self.added):
             return self._by_library(text)
         return b"".join([self._slice(part) for part in _slices(text)])
 
