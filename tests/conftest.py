@@ -39,8 +39,3 @@ def one(spark):
         return row.select(expression.alias("x")).first().x
 
     return evaluate
-
-
-def rows(df):
-    """Rows of a DataFrame as a sorted list of tuples."""
-    return sorted((tuple(r) for r in df.collect()), key=repr)

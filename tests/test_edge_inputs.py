@@ -8,7 +8,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from matchloom.functions.text import highlight_parts, nfkc
 from matchloom.operators.encoding import encode_incremental, model_encoder
 from matchloom.operators.idf import build_idf

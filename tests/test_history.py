@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from matchloom.operators.feedback import feedback_actions, feedback_state, votes_of_run
 from matchloom.operators.filters import live_sessions, purge_sessions
 from matchloom.operators.lists import erase_users, list_summary, merge_with_quota

@@ -7,7 +7,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from matchloom.functions.skills import Skill
 from matchloom.operators.filters import apply_filters, effective_k, request_problems, validate_requests
 from matchloom.operators.idf import build_idf

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from matchloom.operators.idf import build_idf
 from matchloom.operators.latency import latency_windows
 from matchloom.operators.metrics import (

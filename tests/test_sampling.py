@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from matchloom.functions.taxonomy import FAMILIES
 from matchloom.operators.ranking import keep_first, keep_newest, page_of, quota_overflow, with_dense_id, with_hash_position, with_ingest_order
 from matchloom.operators.sampling import (

@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from matchloom.operators.idf import build_idf
 from matchloom.plans.corpus import build_vectors, build_weights, clean_postings, demo_corpus, prepare_corpus
 from matchloom.sources.csv import POSTING_ALIASES, read_aliased_csv, resolve_columns
