@@ -16,7 +16,10 @@ from matchloom.llm.language_id import fit as fit_language, predict_language
 from matchloom.llm.license_scan import license_scan
 from matchloom.llm.minhash_dedup import near_dedup
 from matchloom.llm.mixing import mix
+from matchloom.llm.negatives import hard_negatives, whole_vectors
 from matchloom.llm.packing import pack_documents
+from matchloom.llm.phrases import collocations
+from matchloom.llm.pii import find_personal_data, fit as fit_personal_data
 from matchloom.llm.quality import fit as fit_quality, sample_of, score as score_quality
 from matchloom.llm.token_store import read_token_store, write_token_store
 from matchloom.llm.tokens import tokenizer_path
@@ -223,3 +226,80 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_license_scan")
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
+
+
+@query(
+    "op11_collocations",
+    r"""
+WITH p AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), w AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), g AS (
+    SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i : i + size - 1], ' '))) AS gram
+    FROM w, (SELECT unnest([1, 2, 3]) AS size)
+), f AS (
+    SELECT lang, size, gram, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 10
+), words AS (
+    SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang
+), c AS (
+    SELECT lang, size, gram, n AS a, string_split(gram, ' ') AS w FROM f WHERE size > 1
+), parts AS (
+    SELECT *, unnest(range(1, size)) AS k FROM c
+), cuts AS (
+    SELECT p.lang, p.gram, p.a, p.k, x.n AS l, y.n AS r,
+           ((1000000::HUGEINT * p.a * p.a) // (x.n::HUGEINT * y.n))::BIGINT AS score
+    FROM parts p
+    JOIN f x ON x.lang = p.lang AND x.gram = array_to_string(p.w[1 : p.k], ' ')
+    JOIN f y ON y.lang = p.lang AND y.gram = array_to_string(p.w[p.k + 1 : p.size], ' ')
+), weakest AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) = 1
+), inside AS (
+    SELECT lang, gram, max(a) AS within FROM (
+        SELECT lang, a, unnest([array_to_string(w[1 : 2], ' '), array_to_string(w[2 : 3], ' ')]) AS gram FROM c WHERE size = 3
+    ) GROUP BY ALL
+), ranked AS (
+    SELECT weakest.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, gram) AS rank
+    FROM weakest LEFT JOIN inside USING (lang, gram) WHERE within IS NULL OR 100 * within < 50 * a
+)
+SELECT lang, rank, gram AS phrase, a, l, r, words.n, score FROM ranked JOIN words USING (lang) WHERE rank <= 2000
+""",
+)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir).select("lang", "text"), longest=3, least=10, covered=50, first=2000)
+
+
+@query(
+    "op12_hard_negatives",
+    """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
+    FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id AND len(a.v) = len(c.v)
+), p AS (
+    SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), n AS (
+    SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+           row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+""",
+)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved), every=100, positives=5, negatives=10, low=30, high=90)
+
+
+@query("op13_personal_data")
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return find_personal_data(docs, fit_personal_data(docs))

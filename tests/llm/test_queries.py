@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES) and [len(s) for s in corpus_pipeline.STAGES] == [2] * 5
 
 
@@ -23,7 +23,7 @@ def test_against_sql(spark, name):
     assert compare(QUERIES[name](spark, SF), duck(SF), ORACLES[name]) is None
 
 
-@pytest.mark.parametrize("name", ["op1_quality_classifier", "op2_token_store", "op6_packing", "op9_language_id"])
+@pytest.mark.parametrize("name", ["op1_quality_classifier", "op2_token_store", "op6_packing", "op9_language_id", "op13_personal_data"])
 def test_every_document_is_there(spark, name):
     got = QUERIES[name](spark, SF).select("doc_id").distinct().count()
     assert got == spark.read.parquet(f"{SF}/documents.parquet").count()
