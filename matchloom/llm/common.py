@@ -13,6 +13,7 @@ from matchloom.sources.tables import shared_folder
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
+ARROW_ROWS = 1000
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -27,6 +28,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session hands texts to Python in batches of at most ``ARROW_ROWS`` rows, unless it asks for fewer."""
+    conf = df.sparkSession.conf
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(rows, "10000")) <= ARROW_ROWS:
+        conf.set(rows, str(ARROW_ROWS))
+    return df
+
+
 def crc_bucket(doc_id: str, buckets: int) -> Column:
     """``crc32(doc_id as text) mod buckets``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(buckets)
@@ -64,3 +74,4 @@ def small_batches(source: Iterator[pa.RecordBatch], column: str, max_bytes: int
                 n //= 2
             yield batch.slice(at, n)
             at += n
+    pa.default_memory_pool().release_unused()  # the worker stays, what it took for the pass should not

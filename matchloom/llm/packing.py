@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from matchloom.llm.common import batches, small_batches, stored
+from matchloom.llm.common import batches, bound_batches, small_batches, stored
 from matchloom.llm.tokens import encoder
 
 END = 1
@@ -36,7 +36,7 @@ _DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """The pieces of every row of ``docs(doc_id, text)``: ``doc_id, start, length, ids_crc32, doc_tokens``
     (and ``ids``)."""
-    schema = pa.schema(_FIELDS + [("ids", pa.list_(pa.uint32()))] * with_ids)
+    schema = pa.schema(_FIELDS + [("ids", pa.list_(pa.int64()))] * with_ids)
 
     def run(source):
         encode = encoder(tokenizer).encode
@@ -52,10 +52,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with
                     out["ids_crc32"].append(zlib.crc32(part))
                     out["doc_tokens"].append(len(data) // 4)
                     if with_ids:
-                        out["ids"].append(np.frombuffer(part, "<u4"))
+                        out["ids"].append(np.frombuffer(part, "<u4").astype(np.int64))
             yield batches(out, schema)
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
+    return bound_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
         run, _DDL + (", ids array<long>" if with_ids else "")
     )
 

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from matchloom.llm.common import stored
+from matchloom.llm.common import bound_batches, stored
 from matchloom.llm.shingles import mix
 
 BITS_PER_GRAM, MIN_BITS, MAX_BITS = 32, 1 << 16, 1 << 28
@@ -174,7 +174,7 @@ def gram_weights(docs: DataFrame, longest: int = 3, least: int = 10) -> DataFram
     Grams of ``longest`` words are the graph's edges, shorter ones the corrections at piece ends and before pairs
     that can't be frequent; size 0 has the number of all words of a language.
     """
-    texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+    texts = bound_batches(docs).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     bitmap = docs.sparkSession.sparkContext.broadcast(frequent_bitmap(texts, least))
     grams = texts.mapInArrow(_longest_grams(bitmap, longest), "lang string, size byte, gram string, n long")
     return stored(grams.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")), "grams")

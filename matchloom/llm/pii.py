@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from matchloom.llm.common import hash_sample, small_batches, stored
+from matchloom.llm.common import bound_batches, hash_sample, small_batches, stored
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
@@ -353,7 +353,7 @@ def _voted(source):
 
 def fit(docs: DataFrame, sample: int = SAMPLE_SPANS) -> SpanModel | None:
     """Learn from all candidates in ``docs(text)``; None when there are none."""
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    texts = bound_batches(docs).select(F.coalesce("text", F.lit("")).alias("text"))
     voted = stored(texts.mapInArrow(_voted, "key long, kind int, votes int, slots array<int>"), "voted")
     labelers, total = {}, 0
     # at most 4 x 3^8 combinations

@@ -22,9 +22,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructType
 
-from matchloom.llm.common import hash_sample, small_batches
+from matchloom.llm.common import bound_batches, hash_sample, small_batches
 from matchloom.llm.shingles import word_hashes
 
 WORD_SLOTS = 1 << 14
@@ -199,19 +198,23 @@ def sample_of(labels: DataFrame, label: str, sample: int = SAMPLE_ROWS) -> DataF
 
 
 def score(docs: DataFrame, model: FactorisationMachine | None, metadata: tuple = ()) -> DataFrame:
-    """``docs`` with ``score`` added (a column of that name is replaced)."""
+    """``docs`` with ``score`` added (a column of that name is replaced). Only text and metadata go to Python, only
+    the score comes back."""
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*[c for c in docs.columns if c.lower() != "score"])
-    schema = StructType([*source.schema.fields]).add("score", "double")
-
-    def run(batches):
-        machine = broadcast.value
-        for batch in small_batches(batches, "text", 4 << 20):
-            rows = list(_records(batch, metadata))
+    names = ["text", *metadata]
+
+    @F.arrow_udf("double")
+    def scored(*columns: pa.Array) -> pa.Array:
+        machine, batch = broadcast.value, pa.RecordBatch.from_arrays(list(columns), names)
+        out = [np.zeros(0)]
+        for part in small_batches([batch], "text", 4 << 20):
+            rows = list(_records(part, metadata))
             result = np.full(len(rows), 0.5)
             if machine is not None and rows:
                 starts = np.concatenate([[0], np.cumsum([len(s) for s, _ in rows])[:-1]]).astype(int)
                 result = machine.score(np.concatenate([s for s, _ in rows]), np.concatenate([v for _, v in rows]).astype(float), starts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(result)], [*batch.schema.names, "score"])
+            out.append(result)
+        return pa.array(np.concatenate(out), pa.float64())
 
-    return source.mapInArrow(run, schema)
+    source = bound_batches(docs.select(*[c for c in docs.columns if c.lower() != "score"]))
+    return source.withColumn("score", scored(*names))

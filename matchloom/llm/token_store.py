@@ -12,6 +12,11 @@ File format: a folder with two tables.
   block, blocks within a shard, shards by number. ``first_id`` and ``last_id`` let a reader skip blocks.
 
 A document ends with the id ``END``. A block holds at most ``BLOCK_BYTES`` of frames or a single document.
+
+Edge cases: a null or empty text is a document of one id; rows with a null doc_id come first and are read back with
+the others, but can't be fetched; repeated rows are documents of their own, ``fetch`` gives all of an id, none of an
+id that isn't there; a text longer than a block is a block of its own; an empty table gives a store without
+documents; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -144,7 +149,7 @@ def _decoded(dictionary: bytes, with_ids: bool):
     import zlib
 
     fields = [("shard", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
-    schema = pa.schema(fields + [("ids", pa.list_(pa.uint32()))] * with_ids)
+    schema = pa.schema(fields + [("ids", pa.list_(pa.int64()))] * with_ids)
 
     def run(source):
         name = dictionary_hash(dictionary)
@@ -166,7 +171,7 @@ def _decoded(dictionary: bytes, with_ids: bool):
                     out["n_tokens"].append(count)
                     out["ids_crc32"].append(zlib.crc32(data))
                     if with_ids:
-                        out["ids"].append(np.frombuffer(data, "<u4"))
+                        out["ids"].append(np.frombuffer(data, "<u4").astype(np.int64))
                 yield batches(out, schema)
 
     return run, "shard int, doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
@@ -190,15 +195,18 @@ def read_token_store(spark: SparkSession, path: str, with_ids: bool = False) ->
 
 
 def fetch(spark: SparkSession, path: str, doc_id: int) -> DataFrame:
-    """The ids of one document, from the blocks whose id range holds it."""
+    """The ids of one document, one row for each stored row of that id: only the blocks whose id range holds it are
+    read, and only its own frames are decompressed."""
     blocks = spark.read.schema(_BLOCKS_DDL).parquet(posixpath.join(path, "blocks"))
     blocks = blocks.filter((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
-    at = F.array_position("doc_ids", doc_id).cast("int")
-    one = blocks.filter(at > 0).select(
+    places = F.filter(F.sequence(F.lit(1), F.size("doc_ids")), lambda i: F.element_at("doc_ids", i).eqNullSafe(F.lit(doc_id)))
+    at = blocks.withColumn("at", F.explode(places))
+    begin, end = F.element_at("offsets", F.col("at")), F.element_at("offsets", F.col("at") + 1)
+    one = at.select(
         "shard", "block", "dictionary_hash", "first_id", "last_id",
-        *[F.slice(c, at, 1).alias(c) for c in ("doc_ids", "starts", "n_tokens")],
-        F.array(F.lit(0), F.element_at("offsets", at + 1) - F.element_at("offsets", at)).cast("array<long>").alias("offsets"),
-        F.expr("substring(payload, cast(element_at(offsets, cast(array_position(doc_ids, %d) as int)) as int) + 1)" % doc_id).alias("payload"),
+        *[F.slice(c, F.col("at"), 1).alias(c) for c in ("doc_ids", "starts", "n_tokens")],
+        F.array(F.lit(0).cast("long"), end - begin).alias("offsets"),
+        F.substring("payload", (begin + 1).cast("int"), (end - begin).cast("int")).alias("payload"),
     )
     run, ddl = _decoded(_dictionary(spark, path), True)
     return one.mapInArrow(run, ddl).select("doc_id", "n_tokens", "ids")

@@ -6,9 +6,9 @@ vocabulary, such as ``<|endoftext|>``, is that token wherever it stands in a tex
 
 Running the library's normaliser and pattern matcher over every text takes most of its time, although
 most words have been seen before. So a text in plain Latin letters is cut at the pattern's own borders,
-each new piece is encoded once by the library's model, and a bounded table remembers it. Any other text,
-also one that holds the string of an added token, goes through the library as a whole; so does every text when the vocabulary's file asks for steps this
-module doesn't know.
+each new piece is encoded once by the library's model, and a table of at most ``_REMEMBER`` bytes remembers it.
+Any other text, also one that holds the string of an added token, goes through the library as a whole; so does
+every text when the vocabulary's file asks for steps this module doesn't know.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ import numpy as np
 #: characters whose class, case and normal form Python and the library agree on, without blanks but space and newline
 _PLAIN = re.compile("[\n\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įĲ-ňŊ-ž]*")
 _SLICE = 1 << 18
-_REMEMBER = 500_000
+#: bytes a table of remembered ids may take, with what Python needs for an entry
+_REMEMBER, _ENTRY = 128 << 20, 190
 
 #: pieces of the two known patterns, over plain characters: (pattern of pieces, lower-case first)
 _BYTE_LEVEL = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -45,6 +46,25 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class Remembered:
+    """A table that is emptied when it has taken ``most`` bytes."""
+
+    def __init__(self, most: int):
+        self.most, self.size = most, 0
+        self.ids: dict[str, bytes] = {}  # a plain one: sets are compared with it fast
+
+    def make_room(self) -> dict[str, bytes]:
+        if self.size > self.most:
+            self.ids.clear()
+            self.size = 0
+        return self.ids
+
+    def add(self, key: str, ids: bytes) -> bytes:
+        self.ids[key] = ids
+        self.size += len(key) + len(ids) + _ENTRY
+        return ids
+
+
 class TextEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core already
@@ -53,8 +73,8 @@ class TextEncoder:
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.letters = _byte_letters()
-        self.seen: dict[str, bytes] = {}  # ids of chunks between blanks
-        self.words: dict[str, bytes] = {}  # ids of the pattern's pieces
+        self.seen = Remembered(_REMEMBER)  # ids of chunks between blanks
+        self.words = Remembered(_REMEMBER)  # ids of the pattern's pieces
         self.pieces, self.lower = _known(path)
         added = [t for t in self.library.get_added_tokens_decoder().values() if t.content]
         self.added = [t.content for t in added]
@@ -82,26 +102,24 @@ class TextEncoder:
     def _chunks(self, chunks: list[str], before: str) -> bytes:
         """Ids of chunks that each follow ``before``; a border of the pattern lies between any two."""
         seen = self.seen
-        if len(seen) > _REMEMBER:
-            seen.clear()
-        for chunk in set(chunks).difference(seen):
-            seen[chunk] = self._pieces(before + chunk)
-        return b"".join([seen[c] for c in chunks])
+        known = seen.make_room()
+        for chunk in set(chunks).difference(known):
+            seen.add(chunk, self._pieces(before + chunk))
+        return b"".join([known[c] for c in chunks])
 
     def _pieces(self, text: str) -> bytes:
         words, tokenize = self.words, self.model.tokenize
-        if len(words) > _REMEMBER:
-            words.clear()
+        known = words.make_room()
         out = []
         for piece in self.pieces.findall(text):
-            ids = words.get(piece)
+            ids = known.get(piece)
             if ids is None:
                 if piece.isascii() and piece.isprintable():  # only the space has a stand-in there
                     word = piece.replace(" ", self.letters[32])
                 else:
                     word = piece.encode("utf-8").decode("latin-1").translate(self.letters)
                 found = [t.id for t in tokenize(word)]
-                ids = words[piece] = struct.pack(f"<{len(found)}I", *found)
+                ids = words.add(piece, struct.pack(f"<{len(found)}I", *found))
             out.append(ids)
         return b"".join(out)
 
