@@ -1,15 +1,16 @@
 """License scans by conditional compression.
 
-Texts with a licence keyword give candidate blocks: the words within ``CONTEXT`` words of a keyword, runs that
-touch taken together. A block is compressed by zstandard once alone and once with each template as a raw
-dictionary; templates are ranked by the bytes that saves, as a share of the template's own compressed size.
-The best ones are then compared word by word with the text around the block: a template is confirmed when its
-words stand there in order with at most ``TOLERANCE`` of them missing or added and none of its telling words
-(names and numbers) missing. The confirmed template that covers most words wins; what is left of the text
-before and after it is scanned on.
+Every licence keyword gives a candidate block, the words within ``CONTEXT`` words of it, so blocks are small however
+long the text. A block is compressed by zstandard once alone and once with each template as a raw dictionary;
+templates are ranked by the bytes that saves. All that save any are then compared word by word with the text around
+the keyword, as far as the template reaches: a template is confirmed when its words stand there in order, the
+keyword among them, with at most ``TOLERANCE`` of them missing or added and none of its telling words (names and
+numbers) missing. The confirmed template that covers most words wins; keywords inside it are done. So the work is in
+proportion to the number of keywords.
 
 One row per finding: ``doc_id, license, first_word, last_word, saved_bytes, missing, added``. A block in which
-no template is confirmed gives one row with a null licence and the best template's saving, for review.
+no template is confirmed gives one row with a null licence and the best template's saving, for review; such blocks
+that touch are one.
 
 Edge cases: null, empty and keyword-free texts give no rows; repeated rows give repeated findings; ties in
 saving go to the earlier template; whole texts are read however long; an empty table gives an empty table.
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 import functools
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -32,7 +32,6 @@ from matchloom.llm.license_texts import TEMPLATES
 
 CONTEXT = 12
 TOLERANCE = 0.1
-BEST = 8
 LEVEL = 19  # blocks are short; lower levels miss matches with the shortest templates
 KEYWORD = (
     r"licen[sc]e|copyright|creative\s+commons|rights\s+reserved|permission\s+(?:is\s+hereby|to\s+use)|redistribution"
@@ -67,14 +66,21 @@ class Template:
         self.license = license_
         self.words = words_of(wording)
         self.telling = [w in TELLING or w[0].isdigit() for w in self.words]
+        self.must = {w for w, telling in zip(self.words, self.telling) if telling}
         content = zstandard.ZstdCompressionDict(" ".join(self.words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=content, write_content_size=False)
         self.size = len(zstandard.ZstdCompressor(level=LEVEL, write_content_size=False).compress(" ".join(self.words).encode()))
 
-    def differences(self, block: list[str]) -> tuple[int, int, list[str], list[str]] | None:
-        """``(first, last, missing, added)`` where the template stands in the block; None when it doesn't."""
+    def differences(self, block: list[str], at: int) -> tuple[int, int, list[str], list[str]] | None:
+        """``(first, last, missing, added)`` where the template stands in the block, around the word number ``at``; None
+        when it doesn't."""
         size = len(self.words)
-        whole = SequenceMatcher(None, self.words, block, autojunk=False).find_longest_match()
+        matcher = SequenceMatcher(None, self.words, block, autojunk=False)
+        # the longest common run; where a template stands several times in the block, that of the one around the word
+        whole = max(matcher.get_matching_blocks(), key=lambda m: m.size)
+        near = SequenceMatcher(None, self.words, block[max(0, at - size) : at + size], autojunk=False).find_longest_match()
+        if near.size >= whole.size:
+            whole = near._replace(b=near.b + max(0, at - size))
         if not whole.size:
             return None
         slack = int(size * TOLERANCE) + 1
@@ -115,44 +121,56 @@ def marked_words(text: str) -> tuple[list[str], list[int]]:
 def findings(text: str) -> list[tuple]:
     """``(license, first, last, saved_bytes, missing, added)`` in the order of the text; last is exclusive."""
     words, marked = marked_words(text)
-    out, ranges = [], [(0, len(words))]
-    while ranges:
-        low, high = ranges.pop()
-        at = bisect_left(marked, low)
-        if at == len(marked) or marked[at] >= high:
+    out, free = [], 0  # words before `free` belong to a finding
+    for at, mark in enumerate(marked):
+        if mark < free:
             continue
-        begin, end = max(low, marked[at] - CONTEXT), marked[at] + CONTEXT + 1
-        while at + 1 < len(marked) and marked[at + 1] < min(end, high):
-            at += 1
-            end = marked[at] + CONTEXT + 1
-        end = min(end, high)
-        license_, first, last, *rest = _best(words, low, begin, end, high)
-        out.append((license_, first, last, *rest))
-        ranges.append((last, high))
-        if license_ is not None:
-            ranges.append((low, first))
-    return sorted(out, key=lambda f: f[1])
-
-
-def _best(words: list[str], low: int, begin: int, end: int, high: int) -> tuple:
-    """The winning template near the block ``words[begin:end]``, not reaching out of ``low`` and ``high``."""
+        begin, end = max(free, mark - CONTEXT), min(len(words), mark + CONTEXT + 1)
+        found = _best(words, free, begin, mark, end)
+        if found[0] is not None:
+            # windows without a licence reach up to it, no further
+            while out and out[-1][0] is None and out[-1][2] > found[1]:
+                earlier = out.pop()
+                if earlier[1] < found[1]:
+                    out.append((*earlier[:2], found[1], *earlier[3:]))
+                    break
+            free = found[2]
+            out.append(found)
+        elif out and out[-1][0] is None and out[-1][2] >= begin:
+            out[-1] = (None, out[-1][1], end, max(out[-1][3], found[3]), [], [])
+        else:
+            out.append(found)
+    return out
+
+
+def _best(words: list[str], low: int, begin: int, mark: int, end: int) -> tuple:
+    """The winning template at the keyword ``words[mark]``, not reaching below ``low``.
+
+    All templates that save bytes on the window ``words[begin:end]`` are compared, the largest saving first; one that
+    could not cover more words than the best confirmed so far is passed over.
+    """
     known, alone = templates()
     content = " ".join(words[begin:end]).encode()
     size = len(alone.compress(content))
     saved = [size - len(t.compressor.compress(content)) for t in known]
-    ranked = sorted(range(len(known)), key=lambda i: -saved[i] / known[i].size)[:BEST]
-    confirmed = []
-    for place, i in enumerate(ranked):
-        start = max(low, begin - len(known[i].words))
-        if saved[i] > 0 and (found := known[i].differences(words[start : min(high, end + len(known[i].words))])):
+    best, won = 0, None
+    for i in sorted(range(len(known)), key=lambda i: -saved[i]):
+        template = known[i]
+        if saved[i] <= 0:
+            break
+        if len(template.words) * (1 + TOLERANCE) <= best:
+            continue
+        reach = int(len(template.words) * (1 + TOLERANCE)) + 2
+        start = max(low, mark - reach)
+        region = words[start : mark + reach]
+        if not template.must.issubset(region):
+            continue
+        if found := template.differences(region, mark - start):
             first, last, missing, added = found
-            if start + first < end and start + last > begin:
-                covered = last - first - 2 * (len(missing) + len(added))
-                confirmed.append((-covered, place, i, start + first, start + last, missing, added))
-    if not confirmed:
-        return None, begin, end, max(0, saved[ranked[0]]), [], []
-    _, _, i, first, last, missing, added = min(confirmed)
-    return known[i].license, first, last, saved[i], missing, added
+            covered = last - first - 2 * (len(missing) + len(added))
+            if start + first <= mark < start + last and covered > best:
+                best, won = covered, (template.license, start + first, start + last, saved[i], missing, added)
+    return won or (None, begin, end, max(0, *saved), [], [])
 
 
 def _scan(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

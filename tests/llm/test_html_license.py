@@ -105,3 +105,25 @@ def test_license_scan(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS license")
     assert sorted((r.doc_id, r.license) for r in license_scan(frame).collect()) == [(4, "CC-BY-NC-4.0")] * 2 + [(5, "MIT")]
     assert license_scan(frame.filter("false")).count() == 0
+
+
+@pytest.mark.parametrize("notices", [20, 250, 1000])
+def test_findings_grow_with_the_text(notices):
+    text = "\n".join(f"file {i} copyright 20{i % 90 + 10} someone all rights reserved" for i in range(notices))
+    found = findings(f"{text} {TEMPLATES[0][1]} {text}")
+    names = [f[0] for f in found]
+    assert names.count("proprietary") == 2 * notices and names.count("MIT") == 1
+    assert all(a[2] <= b[1] for a, b in zip(found, found[1:]))
+
+
+def test_every_template_is_compared():
+    """Each text of two templates side by side gives what comparing all templates at all places gives."""
+    for i, (name, wording) in enumerate(TEMPLATES):
+        other, more = TEMPLATES[(i * 5 + 3) % len(TEMPLATES)]
+        text = f"{PROSE}{wording} {PROSE} {more} {PROSE}"
+        words, exact = words_of(text), []
+        for license_, template in TEMPLATES:
+            t = words_of(template)
+            exact += [(a, a + len(t), license_) for a in range(len(words) - len(t) + 1) if words[a : a + len(t)] == t]
+        longest = [e for e in exact if not any(f[0] <= e[0] and e[1] <= f[1] and f[1] - f[0] > e[1] - e[0] for f in exact)]
+        assert {(f[1], f[2], f[0]) for f in findings(text) if f[0]} == set(longest)
