@@ -11,9 +11,13 @@ groups are the connected components of the links.
 3. Edges are confirmed on the full sets. The parity maps first rule out edges that cannot hold: the
    number of bits in which two maps differ is never more than the number of shingles in which the sets
    differ, so nothing that links is lost.
-4. A star can miss a link between two members of which one is not linked to the centre. Where a bucket
-   still holds several components, its members outside its largest component meet all members of other
-   components, in salted pieces and behind the same exact bound; what passes is confirmed as before.
+4. A star can miss a link between two members of which one is not linked to the centre. The members of buckets
+   that still hold several components are joined once more, exactly, on the rarest shingles of their sets: of two sets
+   that link, each has one of the other's among its ``n - ceil(s n) + 1`` rarest, for any order of shingles that is the
+   same for all. The order comes from counts in a bounded sample (``ORDER_DOCS`` sets, the ``ORDER_SHINGLES`` most
+   frequent shingles), so that boilerplate comes last and texts that share only that never meet. Where a shingle's
+   group holds several components, its members outside its largest component meet the members of other components,
+   in salted pieces and behind the bound of 3; what passes is confirmed as before.
    After that every pair which shares a bucket is either in one component or known not to link.
 
 With 24 bands of 5 bins a pair at similarity 0.85 shares no bucket with a probability below 1e-6.
@@ -33,13 +37,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from matchloom.llm.common import batches, small_batches, stored
+from matchloom.llm.common import batches, bound_batches, hash_sample, small_batches, stored
 from matchloom.llm.components import components
-from matchloom.llm.shingles import OnePermutation, overlap, shingle_set, similar
+from matchloom.llm.shingles import OnePermutation, mix, overlap, shingle_set, similar
 
 MAP_WORDS = 8
 PIECE = 2048
-BITMAP_WORDS = 1 << 18  # 2 MB of bits
+MIN_BITMAP_WORDS, MAX_BITMAP_WORDS = 1 << 12, 1 << 22  # 32 KB to 32 MB of bits
+ORDER_DOCS, ORDER_SHINGLES = 20_000, 1 << 18
 _MAP = [f"m{i}" for i in range(MAP_WORDS)]
 _SKETCH = pa.schema(
     [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))]
@@ -80,16 +85,17 @@ def _sketches(bands: int, rows: int, shingle: int):
 
 def sketch(docs: DataFrame, bands: int = 24, rows: int = 5, shingle: int = 5) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: set size, set digest, band keys, parity map."""
-    return docs.select("doc_id", "text").mapInArrow(_sketches(bands, rows, shingle), _SKETCH_DDL)
+    return bound_batches(docs).select("doc_id", "text").mapInArrow(_sketches(bands, rows, shingle), _SKETCH_DDL)
 
 
 def _possible(docs: DataFrame, members: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id falls on a bit that some member's id has set.
 
-    The bitmap has a fixed size, so it can be broadcast, and texts of other documents are never shuffled.
-    It only lets some rows through in vain, the more the fuller it gets; an exact join follows.
+    The bitmap has 64 bits a member and at most ``MAX_BITMAP_WORDS`` words, so it can be broadcast, and texts of
+    other documents are hardly ever shuffled. It only lets some rows through in vain; an exact join follows.
     """
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * BITMAP_WORDS))
+    words = min(MAX_BITMAP_WORDS, max(MIN_BITMAP_WORDS, 1 << members.count().bit_length()))
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * words))
     at = members.select(bit("node").alias("bit"))
     bitmap = at.groupBy(F.expr("bit div 64").alias("__word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("__mask")
@@ -143,6 +149,71 @@ def can_link(left: str, right: str, percent: int) -> Column:
     return (100 + percent) * least <= (100 - percent) * (n_left + n_right)
 
 
+def _shingle_order(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the shingles that are frequent in a sample of ``sets``."""
+
+    def run(source):
+        for batch in small_batches(source, "hashes"):
+            found = [np.frombuffer(x, np.uint64) for x in batch.column("hashes").to_pylist()]
+            hashes, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"hash": hashes.view(np.int64), "n": n})
+
+    sample = hash_sample(sets.select("node", "hashes"), ["node"], ORDER_DOCS).select("hashes")
+    counted = sample.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1")
+    top = counted.orderBy(F.desc("n"), "hash").limit(ORDER_SHINGLES).toArrow()
+    hashes, n = top.column("hash").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def _rarest(broadcast, percent: int):
+    schema = pa.schema([("node", pa.int64()), ("key", pa.int64())])
+
+    def run(source):
+        known, counts = broadcast.value
+        for batch in small_batches(source, "hashes"):
+            nodes, keys = [], []
+            for node, data in zip(*(c.to_pylist() for c in batch.columns)):
+                hashes = np.frombuffer(data, np.uint64)
+                seen = np.zeros(len(hashes), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                    seen = np.where(known[at] == hashes, counts[at], 0)
+                first = len(hashes) - -(-percent * len(hashes) // 100) + 1
+                keys.append(hashes[np.lexsort((mix(hashes), seen))[:first]].view(np.int64))
+                nodes.append(np.full(len(keys[-1]), node))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(keys))], schema=schema)
+
+    return run
+
+
+def _rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of ``nodes(node, component, n_shingles, *maps)`` of different components that may link, all that
+    do among them."""
+    sets = stored(sets.join(nodes.select("node"), "node", "left_semi").select("node", "hashes"), "unsettled_sets")
+    order = sets.sparkSession.sparkContext.broadcast(_shingle_order(sets))
+    rare = sets.mapInArrow(_rarest(order, percent), "node long, key long")
+    placed = rare.join(nodes.select("node", "component"), "node")
+    main = (
+        placed.groupBy("key", "component").count().groupBy("key")
+        .agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("kinds"), F.sum("count").alias("members"))
+        .filter("kinds > 1")
+    )
+    open_ = stored(rare.join(main, "key").join(nodes, "node"), "rare")
+    open_ = open_.withColumn("pieces", F.floor(F.col("members") / PIECE).cast("int") + 1)
+    few = open_.filter("component <> main").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    all_ = open_.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+    x, y = few.alias("x"), all_.alias("y")
+    return x.join(
+        y,
+        (F.col("x.key") == F.col("y.key"))
+        & (F.col("x.piece") == F.col("y.piece"))
+        & (F.col("x.component") != F.col("y.component"))
+        & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+        & can_link("x", "y", percent),
+    ).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+
 def near_groups(
     docs: DataFrame, percent: int = 85, shingle: int = 5, bands: int = 24, rows: int = 5
 ) -> tuple[DataFrame, DataFrame]:
@@ -185,25 +256,10 @@ def near_groups(
 
     # buckets that still hold several components
     named = F.coalesce("component", "node").alias("component")
-    rest = buckets.select("key", "node", "members").join(placed, "node", "left").select("key", "node", "members", named)
-    rest = stored(rest.join(members, "node"), "rest")
-    main = (
-        rest.groupBy("key", "component").count().groupBy("key")
-        .agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("kinds"))
-        .filter("kinds > 1")
-    )
-    open_ = rest.join(main, "key").withColumn("pieces", F.floor(F.col("members") / PIECE).cast("int") + 1)
-    few = open_.filter("component <> main").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    all_ = open_.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
-    x, y = few.alias("x"), all_.alias("y")
-    more = x.join(
-        y,
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.piece") == F.col("y.piece"))
-        & (F.col("x.component") != F.col("y.component"))
-        & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-        & can_link("x", "y", percent),
-    ).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    in_buckets = buckets.select("key", "node").join(placed, "node", "left").select("key", "node", named)
+    several = in_buckets.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
+    unsettled = stored(in_buckets.join(several.select("key"), "key", "left_semi").select("node", "component").distinct(), "unsettled")
+    more = _rare_pairs(unsettled.join(members, "node"), sets, percent)
     late = stored(confirmed(more.distinct(), sets, percent), "links")
     placed = _joined_up(placed, late)
     links = links.unionByName(late)
@@ -237,6 +293,7 @@ def near_dedup(docs: DataFrame, **options) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, with all their columns, of the documents that ``near_dedup`` keeps."""
+    """The rows of ``docs``, with all their columns, of the documents that ``near_dedup`` keeps. Rows without a doc_id stay:
+    they can't be told apart, and none of them is ever another's representative."""
     gone = near_dedup(docs, **options).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")

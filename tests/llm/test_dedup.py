@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 import re
 
 import numpy as np
@@ -158,3 +159,44 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90, 200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_boilerplate_that_does_not_link(spark, docs_of):
+    """Texts that share most words but not enough: found apart, without comparing all with all; true copies among them
+    are still found."""
+    rng = random.Random(6)
+    common = " ".join(f"legal{i}" for i in range(170))
+    rows = [(i, f"{common} " + " ".join(f"own{rng.randrange(10**6)}" for _ in range(30))) for i in range(3000)]
+    rows += [(10_000 + i, rows[i * 7][1] + f" tail{i}") for i in range(100)]
+    began = time.time()
+    got = {r.doc_id: r.component_id for r in near_dedup(docs_of(rows)).collect()}
+    assert time.time() - began < 120
+    assert all(got[10_000 + i] == i * 7 for i in range(100)) and all(got[i] == i for i in range(3000))
+
+
+def test_rare_pairs_lose_no_link(spark, monkeypatch):
+    """With the smallest of everything, each link between sets of different components is among the pairs."""
+    from pyspark.sql import functions as F
+
+    from matchloom.llm import minhash_dedup
+    from matchloom.llm.shingles import overlap, shingle_set, similar
+
+    monkeypatch.setattr(minhash_dedup, "PIECE", 7)
+    monkeypatch.setattr(minhash_dedup, "ORDER_SHINGLES", 50)
+    rng = random.Random(9)
+    base = [[f"w{rng.randrange(40)}" for _ in range(60)] for _ in range(4)]
+    sets = []
+    for _ in range(150):
+        words = list(rng.choice(base))
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(30)}"
+        sets.append(shingle_set(" ".join(words)))
+    nodes = [(i, i % 60, len(s), *parity_map(s).tolist()) for i, s in enumerate(sets)]
+    ddl = "node long, component long, n_shingles long, " + ", ".join(f"m{i} long" for i in range(8))
+    hashes = spark.createDataFrame([(i, len(s), bytearray(s.tobytes())) for i, s in enumerate(sets)], "node long, n long, hashes binary")
+    found = minhash_dedup._rare_pairs(spark.createDataFrame(nodes, ddl), hashes, 85).select(F.col("a"), F.col("b")).distinct()
+    pairs = {(r.a, r.b) for r in found.collect()}
+    links = [(i, j) for i in range(150) for j in range(i) if similar(len(sets[i]), len(sets[j]), overlap(sets[i], sets[j]), 85)]
+    assert links
+    for i, j in links:
+        assert i % 60 == j % 60 or (j, i) in pairs
