@@ -8,10 +8,10 @@ pivot. For a query q and a cell with pivot p, radius r and a member x,
 
 so the summaries alone give, per query, a score that its k-th neighbour reaches at least (enough cells hold
 k vectors above it), and a cell whose best possible score is below that is not visited. Queries of one cell
-share the list of cells that any of them needs; vectors go only to the query groups whose lists name their
-cell. There are as many groups as it takes to hold ``CHUNK_ROWS`` queries each, at most one per pivot; larger
-groups are cut into chunks, cells into blocks of bounded size. Each (block, chunk) is solved by itself and
-hands on its best k per query, and a last ranking merges them.
+share the list of cells that any of them needs, and meet no other; a cell's vectors go only to the queries whose lists
+name it. Small query cells are put together for scheduling, each with its own list; more than ``CHUNK_ROWS`` queries
+are cut into chunks, each cell into as many blocks as its own size asks for. Each (chunk, block) is solved by itself
+and hands on its best k per query, and a last ranking merges them.
 
 Vectors of different widths are searched within their width. A vector that is null or holds a null, NaN or
 infinite component takes no part; a null id neither. Ties in score go to the smaller id; repeated rows are
@@ -21,14 +21,15 @@ separate candidates, but a query's own id is no candidate. An empty table gives
 from __future__ import annotations
 
 from functools import reduce
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from matchloom.llm.common import hash_sample, stored
 
-PIVOTS = 64
+MIN_PIVOTS, MAX_PIVOTS = 64, 512
 BLOCK_ROWS = 8192
 CHUNK_ROWS = 8192
 _ROWS = 256
@@ -136,40 +137,63 @@ def _solve(k: int):
     return run
 
 
-def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 5, pivots: int = PIVOTS) -> DataFrame:
+def _bundles(sizes: dict[int, int]) -> dict[int, int]:
+    """Query cells put together, in order, until ``CHUNK_ROWS`` queries are reached: cell -> bundle."""
+    out, bundle, held = {}, 0, 0
+    for cell in sorted(sizes):
+        if held and held + sizes[cell] > CHUNK_ROWS:
+            bundle, held = bundle + 1, 0
+        out[cell] = bundle
+        held += sizes[cell]
+    return out
+
+
+def _by_number(values: dict[int, int], number: str) -> Column:
+    """A small table of numbers, one per pivot at most, as an expression."""
+    return F.element_at(F.create_map(*[F.lit(int(x)) for pair in values.items() for x in pair]), F.col(number))
+
+
+def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 5, pivots: int | None = None) -> DataFrame:
     """The ``k`` vectors of largest inner product for every query: ``query_id, rank, vec_id, score``.
 
-    Both tables have ``vec_id, vec array<long>`` and one width per call; use ``top_k`` for raw tables.
+    Both tables have ``vec_id, vec array<long>`` and one width per call; use ``top_k`` for raw tables. ``pivots``: by
+    default the square root of the vectors' number, from ``MIN_PIVOTS`` to ``MAX_PIVOTS`` and within ``SUMMARY_BYTES``.
     """
     spark = vectors.sparkSession
-    sample = hash_sample(vectors, ["vec_id"], pivots).select("vec").collect()
-    if not sample:
+    first, total = vectors.select("vec").first(), vectors.count()
+    if first is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    points = np.array([r.vec for r in sample], np.int64)
-    if points.nbytes > SUMMARY_BYTES:
-        raise ValueError(f"{pivots} pivots of {points.shape[1]} numbers exceed {SUMMARY_BYTES} bytes: use fewer")
+    bytes_each = 8 * max(1, len(first.vec))
+    if pivots is None:
+        pivots = max(1, min(max(MIN_PIVOTS, isqrt(total)), MAX_PIVOTS, SUMMARY_BYTES // bytes_each))
+    elif pivots * bytes_each > SUMMARY_BYTES:
+        raise ValueError(f"{pivots} pivots of {bytes_each} bytes exceed {SUMMARY_BYTES} bytes: use fewer")
+    points = np.array([r.vec for r in hash_sample(vectors, ["vec_id"], pivots, total).select("vec").collect()], np.int64)
 
     ddl = "vec_id long, vec array<long>, cell int, distance double"
     celled = stored(vectors.select("vec_id", "vec").mapInArrow(_with_cell(points), ddl), "cells")
-    # queries have cells of their own, about CHUNK_ROWS to a cell
-    groups = min(len(points), -(-queries.count() // CHUNK_ROWS)) or 1
-    asked = stored(queries.select("vec_id", "vec").mapInArrow(_with_cell(points[:groups]), ddl), "queries")
+    asked = stored(queries.select("vec_id", "vec").mapInArrow(_with_cell(points), ddl), "queries")
     counts, radii = np.zeros(len(points), np.int64), np.zeros(len(points))
     for r in celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("distance").alias("r")).collect():
         counts[r.cell], radii[r.cell] = r.n, r.r
-
-    visits = asked.mapInArrow(_needed(points, counts, radii, k), "group int, cell int").distinct()  # at most pivots^2 rows
-    sizes = {r.cell: r.n for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    chunks = spark.createDataFrame([(c, -(-n // CHUNK_ROWS)) for c, n in sizes.items()] or [(0, 1)], "group int, chunks int")
-    blocks = F.lit(int(max(counts)) // BLOCK_ROWS + 1)
-    block = F.pmod(F.xxhash64("vec_id", F.lit(1)), blocks).cast("int")
-    data = celled.withColumn("block", block).join(F.broadcast(visits.join(chunks, "group")), "cell")
+    sizes = {r.cell: r.n for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()} or {0: 0}
+    bundle_of, held = _bundles(sizes), {}
+    for cell, bundle in bundle_of.items():
+        held[bundle] = held.get(bundle, 0) + sizes[cell]
+    chunks = {bundle: max(1, -(-n // CHUNK_ROWS)) for bundle, n in held.items()}
+    blocks = {cell: n // BLOCK_ROWS + 1 for cell, n in enumerate(counts.tolist())}
+
+    visits = stored(visited(asked, points, counts, radii, k), "visits")
+    visits = visits.withColumn("bundle", _by_number(bundle_of, "group")).withColumn("chunks", _by_number(chunks, "bundle"))
+    blocked = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("blocks")).cast("int")
+    needed = visits.select(*[F.col(c).alias(c) for c in ("bundle", "chunks", "cell")]).distinct()  # at most pivots^2 rows
+    data = celled.withColumn("blocks", _by_number(blocks, "cell")).withColumn("block", blocked).join(F.broadcast(needed), "cell")
     data = data.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    # a query group meets the blocks of each of its cells
-    chunk = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("chunks")).cast("int")
-    placed = asked.withColumnRenamed("cell", "group").join(F.broadcast(chunks), "group").withColumn("chunk", chunk)
-    placed = placed.join(F.broadcast(visits), "group").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    where = ["group", "chunk", "cell", "block"]
+    # a query meets the blocks of the cells on its own cell's list
+    placed = asked.withColumnRenamed("cell", "group").join(F.broadcast(visits), "group")
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("chunks")).cast("int"))
+    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), _by_number(blocks, "cell") - 1)))
+    where = ["bundle", "chunk", "cell", "block"]
     left = placed.select(*where, F.col("vec_id").alias("query_id"), "vec")
     found = left.groupBy(*where).cogroup(data.select(*where, "vec_id", "vec").groupBy(*where)).applyInArrow(
         _solve(k), "query_id long, vec_id long, score long"
@@ -177,6 +201,11 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 5, pivots: int = P
     return ranked(found, k)
 
 
+def visited(asked: DataFrame, points: np.ndarray, counts: np.ndarray, radii: np.ndarray, k: int) -> DataFrame:
+    """``(group, cell)``: the cells that the queries of a cell (``group``) have to visit, at most pivots^2 rows."""
+    return asked.mapInArrow(_needed(points, counts, radii, k), "group int, cell int").distinct()
+
+
 def ranked(found: DataFrame, k: int) -> DataFrame:
     """The best ``k`` of each query's candidates."""
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
@@ -184,7 +213,7 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return rows.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def top_k(table: DataFrame, k: int = 5, every: int = 50, pivots: int = PIVOTS) -> DataFrame:
+def top_k(table: DataFrame, k: int = 5, every: int = 50, pivots: int | None = None) -> DataFrame:
     """The search over ``table(vec_id, embedding)`` with the rows whose id ``every`` divides as queries."""
     vectors = stored(quantized(table), "vectors")
     widths = [r.width for r in vectors.select(F.size("vec").alias("width")).distinct().collect()]

@@ -160,3 +160,25 @@ def test_mix_edges(spark):
     blank = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert sorted(tuple(r)[1:] for r in mix(blank)[0].collect()) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
     assert mixed(blank).count() == 0
+
+
+def test_queries_meet_only_the_cells_of_their_group(spark):
+    """Each query cell visits a list of its own, and far from all cells where the vectors are clustered."""
+    import numpy as np
+
+    from matchloom.llm.knn_join import _bundles, _with_cell, visited
+
+    rng = np.random.default_rng(2)
+    points = rng.integers(-900, 900, (16, 8))
+    rows = [(i, (points[i % 16] + rng.integers(-3, 4, 8)).tolist()) for i in range(1600)]
+    frame = spark.createDataFrame(rows, "vec_id long, vec array<long>")
+    celled = frame.mapInArrow(_with_cell(points), "vec_id long, vec array<long>, cell int, distance double")
+    counts, radii = np.zeros(16, np.int64), np.zeros(16)
+    for r in celled.collect():
+        counts[r.cell] += 1
+        radii[r.cell] = max(radii[r.cell], r.distance)
+    lists = {}
+    for r in visited(celled.filter("vec_id % 10 < 5"), points, counts, radii, 5).collect():
+        lists.setdefault(r.group, set()).add(r.cell)
+    assert len(lists) == 16 and sum(map(len, lists.values())) <= 40
+    assert _bundles({3: 5000, 1: 5000, 2: 100, 7: 20_000}) == {1: 0, 2: 0, 3: 1, 7: 2}
