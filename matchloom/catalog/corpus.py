@@ -13,6 +13,7 @@ from matchloom.functions.taxonomy import derive_family
 from matchloom.functions.text import normalize_text
 from matchloom.operators.metrics import corpus_summary
 from matchloom.operators.layout import checkpointed
+from matchloom.operators.phrase_match import find_categories
 from matchloom.operators.ranking import keep_first, with_dense_id
 from matchloom.operators.sampling import (
     build_pairs, category_matches, group_sides, holdout_groups, holdout_rows, sample_sizes, strata_sizes, stratified_sample,
@@ -224,3 +225,14 @@ def corpus_summary_parts(spark, sf):
     )
     summary = corpus_summary(jobs, _resumes(spark, sf), checkpointed(_pairs(spark, sf)))
     return summary.withColumn("family_coverage", r6("family_coverage")).withColumn("positive_rate", r6("positive_rate"))
+
+
+@query(
+    "category_phrases",
+    """SELECT DISTINCT p.p_partkey AS job_id, c.category FROM part p
+JOIN (SELECT DISTINCT p_brand AS category, lower(p_name) AS keyword FROM part) c
+  ON contains(' ' || lower(p.p_name) || ' ', ' ' || c.keyword || ' ')""",
+)
+def category_phrases(spark, sf):
+    categories = table(spark, sf, "part").select(F.col("p_brand").alias("category"), F.col("p_name").alias("keyword"))
+    return find_categories(_titles(spark, sf), categories, unicode=False).select("job_id", "category")

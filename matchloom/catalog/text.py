@@ -19,6 +19,7 @@ from matchloom.functions.text import (
 from matchloom.operators.idf import build_idf
 from matchloom.operators.lists import duplicate_emails
 from matchloom.operators.metrics import family_facet
+from matchloom.operators.phrase_match import find_skills
 from matchloom.sources.files import guard_extracted
 
 # Test taxonomies for ``part``; declaration order decides ("red ring" is a RING).
@@ -281,3 +282,20 @@ def extraction_guard(spark, sf):
     files = texts(spark, sf, "documents").select("doc_id", "n_chars", F.col("text").alias("raw_text"))
     guarded = guard_extracted(files, length="n_chars", max_bytes=30_000)
     return guarded.select("doc_id", "status", "text", "char_count", "truncated")
+
+
+def _long_words(spark, sf):
+    """A lexicon of tens of thousands of rows: every token of seven or more letters that the documents hold."""
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9+#]+"), 0)
+    words = texts(spark, sf, "documents").select(F.explode(tokens).alias("canonical")).filter("length(canonical) >= 7").distinct()
+    return words.select("canonical", F.lit("words").alias("domain"), F.array("canonical").alias("aliases"))
+
+
+@query(
+    "skills_lexicon",
+    """SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9+#]+'),
+  lambda t: length(t) >= 7))), '|') AS skills FROM documents""",
+)
+def skills_lexicon(spark, sf):
+    found = find_skills(texts(spark, sf, "documents").select("doc_id", "text"), _long_words(spark, sf), "doc_id")
+    return found.select("doc_id", join_text("skills").alias("skills"))
