@@ -54,9 +54,24 @@ def latency_by_type(spark, sf):
     return found.select("event_type", *[r6(p).alias(p) for p in ("p50", "p95", "p99")])
 
 
-@query("latency_sketch")
+_GAMMA = "(1.01::DOUBLE / 0.99::DOUBLE)"
+
+
+def _sql_bucket_points(keys: str, source: str) -> str:
+    """p50, p95 and p99 by ``keys`` from counts in logarithmic buckets of ``v``, in ``source``."""
+    found = ", ".join(
+        f"round(min(CASE WHEN seen > floor({p}::DOUBLE * (total - 1)) THEN CASE WHEN b IS NULL THEN 0 ELSE 2 * pow({_GAMMA}, b) / ({_GAMMA} + 1) END END), 6) AS {n}"
+        for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))
+    )
+    return f"""SELECT {keys}, {found} FROM (
+  SELECT {keys}, b, sum(n) OVER (PARTITION BY {keys} ORDER BY b NULLS FIRST) AS seen, sum(n) OVER (PARTITION BY {keys}) AS total FROM (
+    SELECT {keys}, CASE WHEN v > 0 THEN ceil(ln(v) / ln({_GAMMA})) END AS b, count(*) AS n FROM ({source}) WHERE v IS NOT NULL GROUP BY ALL)) GROUP BY ALL"""
+
+
+@query("latency_sketch", _sql_bucket_points("event_type", "SELECT event_type, value::DOUBLE AS v FROM events"))
 def latency_by_type_sketch(spark, sf):
-    return latency_percentiles(table(spark, sf, "events"), "value", ["event_type"], exact=False)
+    found = latency_percentiles(table(spark, sf, "events"), "value", ["event_type"], exact=False)
+    return found.select("event_type", *[r6(p).alias(p) for p in ("p50", "p95", "p99")])
 
 
 def _log(events):
@@ -112,6 +127,30 @@ def rate_limit_keys(spark, sf):
     return callers(table(spark, sf, "events"), token, F.col("event_type")).select("event_id", "bucket_key", "capacity")
 
 
+_LIMIT_WINDOW_S = 7_776_000
+_SQL_LIMITED = f"""RECURSIVE k AS (SELECT event_id, ts, CASE WHEN user_id % 2 = 0 THEN concat('ratelimit:v1:tok:', substring(sha256(user_id::VARCHAR), 1, 16))
+  ELSE concat('ratelimit:v1:', event_type, user_id % 40) END AS bucket_key, CASE WHEN user_id % 2 = 0 THEN 120 ELSE 30 END AS capacity FROM events),
+e AS (SELECT event_id, bucket_key, capacity, epoch_us(ts) * capacity AS tick, row_number() OVER (PARTITION BY bucket_key ORDER BY ts, event_id) AS n FROM k),
+f AS (SELECT *, true AS allowed, tick + {_LIMIT_WINDOW_S}000000 AS full_at FROM e WHERE n = 1
+  UNION ALL SELECT e.event_id, e.bucket_key, e.capacity, e.tick, e.n, greatest(f.full_at, e.tick) - e.tick <= (e.capacity - 1) * {_LIMIT_WINDOW_S}000000,
+  CASE WHEN greatest(f.full_at, e.tick) - e.tick <= (e.capacity - 1) * {_LIMIT_WINDOW_S}000000 THEN greatest(f.full_at, e.tick) + {_LIMIT_WINDOW_S}000000 ELSE f.full_at END
+  FROM f JOIN e ON e.bucket_key = f.bucket_key AND e.n = f.n + 1)
+SELECT event_id, bucket_key, allowed, round(capacity::DOUBLE - (full_at - tick) / {_LIMIT_WINDOW_S}000000.0::DOUBLE, 6) AS tokens FROM f"""
+
+
+def _called(events):
+    """Requests with their caller's bucket; a long window lets the sparse test events run buckets dry."""
+    token = F.when(F.col("user_id") % 2 == 0, F.col("user_id").cast("string"))
+    return callers(events, token, F.concat("event_type", (F.col("user_id") % 40).cast("string")))
+
+
+@query("rate_limited_callers", f"WITH {_SQL_LIMITED}")
+def rate_limited_callers(spark, sf):
+    called = _called(table(spark, sf, "events")).select("event_id", "ts", "bucket_key", "capacity")
+    limited = token_bucket(called, "bucket_key", capacity="capacity", window_s=_LIMIT_WINDOW_S)
+    return limited.select("event_id", "bucket_key", "allowed", r6("tokens").alias("tokens"))
+
+
 # Streams -----------------------------------------------------------------------------------------
 # Each stream reads the event table as a file source, then a file of later markers that moves the watermark
 # past all events, runs until the input is used up and is then read back.
@@ -151,16 +190,23 @@ def _drain(stream):
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+_SQL_START = "date_trunc('day', ts) + INTERVAL 6 HOUR * (hour(ts) // 6) AS start, event_type AS path"
+
+
 @query(
     "stream_latency",
-    f"""SELECT CAST(start AS VARCHAR) AS start, path, requests, errors FROM (SELECT {_SQL_WINDOWS} FROM events GROUP BY 1, 2)""",
+    f"""WITH c AS (SELECT {_SQL_WINDOWS} FROM events GROUP BY 1, 2), p AS ({_sql_bucket_points("start, path", f"SELECT {_SQL_START}, value::DOUBLE AS v FROM events")})
+SELECT CAST(start AS VARCHAR) AS start, path, requests, errors, p50, p95, p99 FROM c JOIN p USING (start, path)""",
 )
 def stream_latency(spark, sf):
     log = _log(_stream(spark, sf))
     closed = _drain(latency_stream(log, "6 hours", _DELAY))
     last = table(spark, sf, "events").agg(F.max("ts").cast("timestamp").alias("ts")).first().ts
     closed = closed.filter(F.col("start") <= F.lit(last))  # the markers' windows are later
-    return closed.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "path", "requests", "errors")
+    return closed.select(
+        F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "path", "requests", "errors",
+        *[r6(p).alias(p) for p in ("p50", "p95", "p99")],
+    )
 
 
 @query("stream_token_bucket", f"WITH {_SQL_BUCKET} SELECT event_id, allowed, {_SQL_TOKENS} AS tokens FROM f")
@@ -177,3 +223,10 @@ def stream_token_bucket(spark, sf):
 def stream_feedback(spark, sf):
     out = _drain(feedback_stream(signals(_stream(spark, sf)), _DELAY))
     return out.filter(F.col("event_id") != _MARKER).select("event_id", "signal", "action", "run_id")
+
+
+@query("stream_rate_limited_callers", f"WITH {_SQL_LIMITED}")
+def stream_rate_limited_callers(spark, sf):
+    called = _called(_stream(spark, sf)).select("event_id", "ts", "bucket_key", "capacity")
+    out = _drain(token_bucket_stream(called, "bucket_key", _DELAY, "capacity", _LIMIT_WINDOW_S))
+    return out.filter(F.col("event_id") != _MARKER).select("event_id", "bucket_key", "allowed", r6("tokens").alias("tokens"))

@@ -109,16 +109,58 @@ def exact_percentiles(df: DataFrame, value: str, by: Sequence[str], points: Mapp
     return found.select(*by, *[between(n, p) for n, p in points.items()])
 
 
+#: a value and its bucket's middle differ by at most this share of the value
+RELATIVE_ERROR = 0.01
+
+
+def log_bucket(value: Column | str, error: float = RELATIVE_ERROR) -> Column:
+    """Number of the logarithmic bucket of a positive value: bucket i ends at ``gamma^i`` with ``gamma = (1 + error) / (1 -
+    error)``. Zero and less have the bucket below all others; null has none."""
+    value = (F.col(value) if isinstance(value, str) else value).cast("double")
+    gamma = (1 + error) / (1 - error)
+    return F.when(value > 0, F.ceil(F.log(value) / F.lit(math.log(gamma))).cast("int")).when(value <= 0, F.lit(LOWEST_BUCKET))
+
+
+LOWEST_BUCKET = -(1 << 20)
+
+
+def bucket_value(bucket: Column, error: float = RELATIVE_ERROR) -> Column:
+    """The value that stands for a bucket: within ``error`` of all its values."""
+    gamma = (1 + error) / (1 - error)
+    return F.when(bucket == LOWEST_BUCKET, F.lit(0.0)).otherwise(F.lit(2.0) * F.pow(F.lit(gamma), bucket) / F.lit(gamma + 1))
+
+
+def histogram_points(histogram: Column, points: Mapping[str, float] = POINTS) -> list[Column]:
+    """Percentiles of a histogram, an array of ``(bucket, n)`` sorted by bucket: the bucket of the value of rank
+    ``floor(point * (total - 1))``. Histograms merge by adding up, so they do over partitions, windows and batches."""
+    total = F.aggregate(histogram, F.lit(0).cast("long"), lambda s, b: s + b["n"])
+
+    def at(point: float) -> Column:
+        rank = F.floor(F.lit(point) * (total - 1))
+        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("bucket"))
+        found = F.aggregate(
+            histogram,
+            start,
+            lambda s, b: F.struct(
+                (s["seen"] + b["n"]).alias("seen"),
+                F.when(s["bucket"].isNull() & (s["seen"] + b["n"] > rank), b["bucket"]).otherwise(s["bucket"]).alias("bucket"),
+            ),
+        )
+        return bucket_value(found["bucket"])
+
+    return [at(p).alias(name) for name, p in points.items()]
+
+
 def latency_percentiles(
-    df: DataFrame, value: str = "took_ms", by: Sequence[str] = (), exact: bool = True, accuracy: int = 10_000
+    df: DataFrame, value: str = "took_ms", by: Sequence[str] = (), exact: bool = True, error: float = RELATIVE_ERROR
 ) -> DataFrame:
-    """p50, p95, p99. ``exact`` interpolates linearly; otherwise the mergeable sketch, whose state does
-    not grow with the rows of a group."""
+    """p50, p95, p99. ``exact`` interpolates linearly; otherwise they come from a mergeable histogram of logarithmic
+    buckets: two counts, of a few thousand buckets a group at most, and a relative error of ``error``."""
     if exact:
         return exact_percentiles(df, value, by, POINTS)
-    sketch = F.percentile_approx(F.col(value).cast("double"), list(POINTS.values()), accuracy)
-    grouped = df.groupBy(*by).agg(sketch.alias("_p"))
-    return grouped.select(*by, *[F.col("_p")[i].alias(n) for i, n in enumerate(POINTS)])
+    counts = df.groupBy(*by, log_bucket(value, error).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).filter("bucket IS NOT NULL")
+    grouped = counts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("_h"))
+    return grouped.select(*by, *histogram_points(F.col("_h")))
 
 
 def candidate_counts(candidates: DataFrame, by: str = "query_id", survived: str = "survived") -> DataFrame:

@@ -8,5 +8,5 @@ from matchloom.operators.latency import latency_windows
 
 
 def latency_stream(log: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Windows close when the watermark passes them; percentiles are the bounded-size sketch."""
+    """Windows close when the watermark passes them; percentiles come from logarithmic buckets."""
     return latency_windows(log.withWatermark("ts", delay), width, exact=False)

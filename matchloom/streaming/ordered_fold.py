@@ -1,8 +1,12 @@
 """Fold the events of a key in event-time order.
 
-Rows wait in list state until the watermark has passed them and are then folded in (time, id) order;
-rows behind the watermark are dropped by Spark and show up in its dropped-rows metric. A fold is a
-small function ``(rows sorted by time, state) -> (output rows, new state)`` whose state is one tuple.
+Rows wait in a map state keyed by (time, id, copy) until the watermark has passed them and are then folded in
+(time, id) order. A row is written once and removed once; a timer at the time of the earliest waiting row releases all
+that are due, so a batch that only adds rows reads none of the waiting ones. A fold is a small function
+``(rows sorted by time, state) -> (output rows, new state)`` whose state is one tuple; a state that ``expires`` gives a
+time for is removed by a timer once the watermark has passed that time and nothing waits.
+
+Rows behind the watermark are left out by Spark, which counts them: ``late_rows`` adds them up.
 """
 
 from __future__ import annotations
@@ -12,61 +16,93 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 Fold = Callable[[pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple]]
+Expires = Callable[[tuple], int]
 
 
 class OrderedFold(StatefulProcessor):
-    """``columns`` are the buffered columns (the first is the time in microseconds, the second the id)."""
+    """``columns`` are the buffered columns (the first is the time in microseconds, the second the id, a long)."""
 
-    def __init__(self, fold: Fold, columns: list[str], buffer_schema: str, state_schema: str, keys: list[str]):
-        self._fold, self._columns, self._keys = fold, columns, keys
+    def __init__(
+        self, fold: Fold, columns: list[str], buffer_schema: str, state_schema: str, keys: list[str], expires: Expires | None
+    ):
+        self._fold, self._columns, self._keys, self._expires = fold, columns, keys, expires
         self._buffer_schema, self._state_schema = buffer_schema, state_schema
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._waiting = handle.getListState("waiting", self._buffer_schema)
+        self._waiting = handle.getMapState("waiting", "us long, id long, copy int", self._buffer_schema)
         self._state = handle.getValueState("state", self._state_schema)
 
-    def _release(self, key: Any, waiting: list[tuple], watermark_ms: int) -> Iterator[pd.DataFrame]:
-        ready = sorted(r for r in waiting if r[0] <= watermark_ms * 1000)
-        later = [r for r in waiting if r[0] > watermark_ms * 1000]
-        if later:
-            self._waiting.put(later)
-            self._handle.registerTimer(min(r[0] for r in later) // 1000 + 1)
-        else:
-            self._waiting.clear()
-        if ready:
-            before = self._state.get() if self._state.exists() else None
-            out, after = self._fold(pd.DataFrame(ready, columns=self._columns), before)
-            self._state.update(after)
-            for name, value in zip(self._keys, key):
-                out[name] = value
-            yield out
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        waiting = [tuple(r) for r in self._waiting.get()] if self._waiting.exists() else []
+        first = None
         for frame in rows:
-            waiting.extend(tuple(v.item() if hasattr(v, "item") else v for v in r)
-                           for r in frame[self._columns].itertuples(index=False, name=None))
-        yield from self._release(key, waiting, timerValues.getCurrentWatermarkInMs())
+            for row in frame[self._columns].itertuples(index=False, name=None):
+                row = tuple(v.item() if hasattr(v, "item") else v for v in row)
+                copy = 0
+                while self._waiting.containsKey((row[0], row[1], copy)):
+                    copy += 1
+                self._waiting.updateValue((row[0], row[1], copy), row)
+                first = row[0] if first is None else min(first, row[0])
+        if first is not None:
+            self._handle.registerTimer(first // 1000 + 1)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        waiting = [tuple(r) for r in self._waiting.get()] if self._waiting.exists() else []
-        yield from self._release(key, waiting, timerValues.getCurrentWatermarkInMs())
+        watermark = timerValues.getCurrentWatermarkInMs()
+        due, later = [], None
+        for place in self._waiting.keys():
+            place = tuple(place)
+            if place[0] <= watermark * 1000:
+                due.append(place)
+            else:
+                later = place[0] if later is None else min(later, place[0])
+        state = tuple(self._state.get()) if self._state.exists() else None
+        if due:
+            due.sort()
+            ready = [tuple(self._waiting.getValue(place)) for place in due]
+            for place in due:
+                self._waiting.removeKey(place)
+            out, state = self._fold(pd.DataFrame(ready, columns=self._columns), state)
+            self._state.update(state)
+            for name, value in zip(self._keys, key):
+                out[name] = value
+            yield out
+        if later is not None:
+            self._handle.registerTimer(later // 1000 + 1)
+        elif state is not None and self._expires is not None:
+            end = self._expires(state)
+            if end <= watermark:
+                self._state.clear()
+            else:
+                self._handle.registerTimer(end)
 
     def close(self) -> None:
         pass
 
 
 def fold_stream(
-    stream: DataFrame, keys: list[str], fold: Fold, columns: list[str], buffer_schema: str, state_schema: str, output: str
-) -> DataFrame:
-    """Apply ``fold`` per key. ``stream`` already has its watermark."""
+    stream: DataFrame, keys: list[str], fold: Fold, columns: list[str], buffer_schema: str, state_schema: str, output: str,
+    expires: Expires | None = None,
+) -> DataFrame:
+    """Apply ``fold`` per key. ``stream`` already has its watermark. ``expires`` gives for a state the time in
+    milliseconds from which on it is as good as none; without it states stay."""
     return stream.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=OrderedFold(fold, columns, buffer_schema, state_schema, keys),
+        statefulProcessor=OrderedFold(fold, columns, buffer_schema, state_schema, keys, expires),
         outputStructType=output,
         outputMode="Append",
         timeMode="EventTime",
     )
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """How many rows came behind the watermark, over the batches that the query's progress still shows."""
+    return sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
+
+
+def state_rows(query: StreamingQuery) -> int:
+    """Rows of state the last batch left."""
+    last = query.lastProgress
+    return sum(s.numRowsTotal for s in last.stateOperators) if last else 0

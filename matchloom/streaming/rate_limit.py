@@ -9,29 +9,36 @@ from pyspark.sql import DataFrame, functions as F
 from matchloom.operators.rate_limit import CAPACITY, WINDOW_S, fold_bucket
 from matchloom.streaming.ordered_fold import fold_stream
 
+#: windows after a key's last event after which its state goes
+IDLE_WINDOWS = 2
+
 
 def token_bucket_stream(
-    events: DataFrame, key: str, delay: str = "10 minutes", capacity: int = CAPACITY, window_s: int = WINDOW_S
+    events: DataFrame, key: str, delay: str = "10 minutes", capacity: int | str = CAPACITY, window_s: int = WINDOW_S
 ) -> DataFrame:
     """``us, event_id, allowed, tokens, <key>`` for every event; ``events(event_id, ts, <key>)``, a key of any type.
 
-    The state of a key is one number. A bucket that is full again behaves like a new one, so the
-    state may be forgotten any time after it refilled.
+    ``capacity`` is a number or the name of a column that holds one number per key, as ``callers`` gives it. The
+    state of a key is one number and its last time. A bucket is full again after one window at most, and a full
+    one behaves like a new one: the state goes ``IDLE_WINDOWS`` windows after the last event.
     """
     window_us = window_s * 1_000_000
 
     def fold(rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
-        ticks = rows["us"].to_numpy(dtype=np.int64) * capacity
-        allowed, tokens, full_at = fold_bucket(ticks, state[0] if state else None, capacity, window_us)
-        return rows.assign(allowed=allowed, tokens=tokens), (int(full_at),)
+        tokens_of = int(rows["capacity"].iloc[0])
+        times = rows["us"].to_numpy(dtype=np.int64)
+        allowed, tokens, full_at = fold_bucket(times * tokens_of, state[0] if state else None, tokens_of, window_us)
+        return rows.drop(columns="capacity").assign(allowed=allowed, tokens=tokens), (int(full_at), int(times[-1]))
 
-    timed = events.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
+    tokens_of = F.col(capacity) if isinstance(capacity, str) else F.lit(capacity)
+    timed = events.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts")).withColumn("capacity", tokens_of.cast("long"))
     return fold_stream(
         timed,
         [key],
         fold,
-        ["us", "event_id"],
-        "us long, event_id long",
-        "full_at long",
+        ["us", "event_id", "capacity"],
+        "us long, event_id long, capacity long",
+        "full_at long, last_us long",
         f"us long, event_id long, allowed boolean, tokens double, `{key}` {events.schema[key].dataType.simpleString()}",
+        expires=lambda state: (state[1] + IDLE_WINDOWS * window_us) // 1000 + 1,
     )

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -16,6 +17,7 @@ from matchloom.operators.rate_limit import token_bucket
 from matchloom.plans.evaluation import compare_systems
 from matchloom.streaming.feedback import feedback_stream
 from matchloom.streaming.latency import latency_stream
+from matchloom.streaming.ordered_fold import late_rows, state_rows
 from matchloom.streaming.rate_limit import token_bucket_stream
 from test_history import SCHEMA, events, simulate
 
@@ -197,3 +199,49 @@ def test_latency_stream_equals_batch(spark, tmp_path):
     assert rows(out.select(*cols)) == rows(batch.select(*cols))
     both = out.alias("s").join(batch.alias("b"), ["start", "path"])
     assert both.filter(F.abs(F.col("s.p50") - F.col("b.p50")) > 15).count() == 0
+    sketch = latency_windows(df.filter("path <> '/end'"), "1 hour", exact=False)
+    points = [*cols, "p50", "p95", "p99"]
+    assert rows(out.select(*points)) == rows(sketch.select(*points))
+
+
+def test_log_buckets_keep_the_relative_error(spark):
+    rng = random.Random(7)
+    values = [rng.lognormvariate(0, 4) for _ in range(5000)] + [0.0, -1.0, 1e-9, 1e12, None]
+    df = spark.createDataFrame([(v,) for v in values], "took_ms double")
+    known = sorted(max(0.0, v) for v in values if v is not None)
+    got = latency_percentiles(df, exact=False).first()
+    for name, point in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
+        want = known[int(point * (len(known) - 1))]
+        assert abs(got[name] - want) <= 0.0101 * want
+
+
+def test_late_rows_are_counted_and_idle_state_goes(spark, tmp_path):
+    at = lambda minutes: T0 + timedelta(minutes=minutes)
+    batches = [
+        [(1, at(0), 1, 2), (2, at(0), 1, 2), (2, at(0), 1, 2), (3, at(1), 2, 1), (4, at(1), 2, 1)],
+        [(5, at(200), 3, 5)],  # moves the watermark past keys 1 and 2
+        [(8, at(201), 3, 5)],  # Spark leaves out what was late a batch ago
+        [(6, at(1), 1, 2), (7, at(3), 2, 1)],  # late
+        [(9, at(900), 9, 5)],
+        [(10, at(901), 9, 5)],
+        [(11, at(902), 9, 5)],
+    ]
+    schema = "event_id long, ts timestamp, who long, tokens_of long"
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are read in order of their times
+    frame = spark.createDataFrame([], schema)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = token_bucket_stream(source(spark, frame, str(tmp_path / "in")), "who", "10 minutes", "tokens_of", 60)
+    run = (
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ckpt"))
+        .trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    out = spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
+    found = sorted((r.event_id, r.allowed) for r in out.collect())
+    assert [f for f in found if f[0] < 9] == [(1, True), (2, False), (2, True), (3, True), (4, False), (5, True), (8, True)]
+    assert late_rows(run) == 2
+    # keys 1, 2 and 3 left nothing: what remains belongs to key 9
+    keys = spark.read.format("statestore").option("stateVarName", "state").load(str(tmp_path / "ckpt"))
+    assert {r.key.who for r in keys.collect()} <= {9} and state_rows(run) > 0
