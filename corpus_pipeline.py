@@ -3,6 +3,12 @@
 Every stage takes ``(spark, docs, sf_dir)``, works on all that the stage before kept, and returns a table with
 the columns of ``documents``; the last returns the packed pieces (see ``matchloom.llm.packing``). Between two
 stages the rows are written as Parquet and read again.
+
+Edge cases: a null or empty text is scored like any other; the empty texts that stay are one group of copies. Of equal or
+near texts the rule of the operator names the one that stays; rows without a doc_id are never dropped as near
+copies, and a row that repeats another is a copy of it. A null source is a source of its own. Columns beyond those of
+``documents`` are handed on by the stages; names that begin with ``__`` are the stages' own. An empty table goes
+through all stages and gives no pieces.
 """
 
 from __future__ import annotations
