@@ -53,3 +53,26 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, docs.limit(0), SF).columns == docs.columns
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows, ties and a further column."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    schema = docs.schema
+    odd = [
+        (None, "a text without an id " * 9, None, None, None), (900_001, None, "en", None, 0), (900_002, "", None, "s", None),
+        (900_003, "one and the same text of some length " * 8, "en", "s", 296), (900_003, "one and the same text of some length " * 8, "en", "s", 296),
+        (900_004, "one and the same text of some length " * 8, "en", None, 296),
+    ]
+    order = ["doc_id", "text", "lang", "source", "n_chars"]
+    odd = spark.createDataFrame(odd, ", ".join(f"{c} {schema[c].dataType.simpleString()}" for c in order))
+    now = docs.select(order).unionByName(odd)
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES[1:4]):
+        path = f"{tmp_path}/{number}"
+        stage(spark, now, SF).write.parquet(path)
+        now = spark.read.parquet(path)
+        assert now.columns == order
+    kept = [r.doc_id for r in now.collect()]
+    assert 900_004 not in kept and kept
+    packed = corpus_pipeline.STAGES[4][1](spark, odd, SF).collect()
+    assert len(packed) == 6 and sum(r.length == 1 for r in packed) == 2
