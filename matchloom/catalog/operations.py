@@ -54,6 +54,14 @@ def latency_by_type(spark, sf):
     return found.select("event_type", *[r6(p).alias(p) for p in ("p50", "p95", "p99")])
 
 
+@query("latency_long_tail", f"SELECT event_type, {_sql_points('exp(value::DOUBLE / 100)')} FROM events GROUP BY event_type")
+def latency_long_tail(spark, sf):
+    """Values whose range is mostly tail: buckets of equal width would hold nearly all of them in one."""
+    events = table(spark, sf, "events").select("event_type", F.exp(F.col("value") / 100).alias("v"))
+    found = latency_percentiles(events, "v", ["event_type"])
+    return found.select("event_type", *[r6(p).alias(p) for p in ("p50", "p95", "p99")])
+
+
 _GAMMA = "(1.01::DOUBLE / 0.99::DOUBLE)"
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from matchloom.functions.taxonomy import OTHER
 from matchloom.functions.text import family_label
+from matchloom.operators.layout import checkpointed
 from matchloom.operators.ranking import top_n
 
 
@@ -45,52 +46,78 @@ def corpus_summary(jobs: DataFrame, resumes: DataFrame, pairs: DataFrame) -> Dat
 POINTS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 
-def exact_percentiles(df: DataFrame, value: str, by: Sequence[str], points: Mapping[str, float], buckets: int = 1024) -> DataFrame:
-    """Exact, linearly interpolated percentiles without holding a group in one task.
-
-    The range of each group is joined on the group and a salt, so a group with most values is split.
-    Equal values are merged map-side. Each group is cut into equal-width buckets; bucket sizes tell
-    which buckets hold the two ranks next to each point, and only the distinct values of those buckets
-    are put in order. Groups without a value are left out.
-    """
-    value_col = F.col(value).cast("double")
-    salts = 16
-    counts = (
-        df.filter(value_col.isNotNull()).groupBy(*by, value_col.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    ).withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(salts)).cast("int"))
-    ends = counts.groupBy(*by).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_total"))
-    for column in by:
-        ends = ends.withColumnRenamed(column, f"_e_{column}")
+def _key_join(by: Sequence[str], prefix: str) -> Column:
     same = F.lit(True)
     for column in by:
-        same = same & F.col(column).eqNullSafe(F.col(f"_e_{column}"))
-    span = F.col("_high") - F.col("_low")
-    bucket = F.when(span > 0, F.floor((F.col("_v") - F.col("_low")) / span * (buckets - 1))).otherwise(F.lit(0))
-    ends = ends.withColumn("_e_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    placed = (
-        counts.join(ends, same & (F.col("_salt") == F.col("_e_salt")))
-        .drop("_salt", "_e_salt", *[f"_e_{c}" for c in by])
-        .withColumn("_bucket", bucket)
-    )
+        same = same & F.col(column).eqNullSafe(F.col(f"{prefix}{column}"))
+    return same
+
+
+def _ranks(points: Mapping[str, float]) -> Column:
+    edges = [edge(F.lit(p) * (F.col("_total") - 1)).cast("long") for p in points.values() for edge in (F.floor, F.ceil)]
+    return F.array_distinct(F.array(*edges))
+
 
-    def ranks(total: Column) -> Column:
-        edges = [edge(F.lit(p) * (total - 1)).cast("long") for p in points.values() for edge in (F.floor, F.ceil)]
-        return F.array_distinct(F.array(*edges))
-
-    sizes = placed.groupBy(*by, "_bucket", "_total").agg(F.sum("_n").alias("_size"))
-    earlier = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("_size").over(earlier), F.lit(0))
-    wanted = (
-        sizes.withColumn("_start", start)
-        .filter(F.exists(ranks(F.col("_total")), lambda r: (F.col("_start") <= r) & (r < F.col("_start") + F.col("_size"))))
-        .select(*[F.col(c).alias(f"_e_{c}") for c in by], F.col("_bucket").alias("_b"), "_start")
+def quantile_buckets(items: DataFrame, keys: Sequence[str], buckets: int, salts: int = 16) -> DataFrame:
+    """``items`` with ``_bucket``: the number of quantile boundaries of its group (``keys``) at or below ``_v``.
+
+    Boundaries are approximate quantiles of the group's rows, a mergeable sketch of fixed size, so a bucket holds a
+    like share of the rows whatever the distribution; equal values share one. A sketch depends on the order it is merged
+    in, so the boundaries, one array per group, are checkpointed: every later step sees the same ones. They are joined
+    on the group and a salt, so a group with most rows is split.
+    """
+    inner = [i / buckets for i in range(1, buckets)]
+    bounds = items.groupBy(*[F.col(k).alias(f"_q_{k}") for k in keys]).agg(
+        F.percentile_approx("_v", inner, 20 * buckets).alias("_bounds")
     )
-    inside = W.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
-    ordered = (
-        placed.join(wanted, same & (F.col("_bucket") == F.col("_b")))
-        .withColumn("_from", F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-        .withColumn("_to", F.col("_from") + F.col("_n"))
+    bounds = checkpointed(bounds).withColumn("_q_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = items.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(salts)).cast("int"))
+    placed = salted.join(bounds, _key_join(keys, "_q_") & (F.col("_salt") == F.col("_q_salt")))
+    below = F.size(F.filter("_bounds", lambda bound: bound <= F.col("_v")))
+    return placed.withColumn("_bucket", below).drop("_bounds", "_salt", "_q_salt", *[f"_q_{k}" for k in keys])
+
+
+def _narrowed(items: DataFrame, keys: Sequence[str], points: Mapping[str, float], buckets: int) -> DataFrame:
+    """The items of the buckets that hold a wanted rank; ``_start`` becomes the number of values before the bucket."""
+    placed = quantile_buckets(items, keys, buckets)
+    sizes = placed.groupBy(*keys, "_bucket").agg(
+        F.sum("_n").alias("_size"), F.first("_start").alias("_start"), F.first("_total").alias("_total")
     )
+    earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    start = F.col("_start") + F.coalesce(F.sum("_size").over(earlier), F.lit(0))
+    holds = F.exists(_ranks(points), lambda r: (F.col("_first") <= r) & (r < F.col("_first") + F.col("_size")))
+    wanted = sizes.withColumn("_first", start).filter(holds)
+    wanted = wanted.select(*[F.col(k).alias(f"_w_{k}") for k in (*keys, "_bucket")], "_first")
+    kept = placed.join(wanted, _key_join([*keys, "_bucket"], "_w_"))
+    return kept.withColumn("_start", F.col("_first")).drop("_first", *[f"_w_{k}" for k in (*keys, "_bucket")])
+
+
+def exact_percentiles(
+    df: DataFrame, value: str, by: Sequence[str], points: Mapping[str, float], buckets: int = 256, rounds: int = 2
+) -> DataFrame:
+    """Exact, linearly interpolated percentiles by distributed selection, without holding a group in one task.
+
+    Equal values are merged map-side. Each round cuts what is left of a group at its own quantiles, counts the pieces and
+    keeps those that hold the two ranks next to each point, so a long tail is cut as finely as the middle. After
+    ``rounds`` a piece holds about ``buckets ** -rounds`` of a group's distinct values, and only the pieces left are put in
+    order. The boundaries only steer the work: the result does not depend on them. Nulls don't count; groups without a
+    value are left out; NaN is the largest value.
+    """
+    value_col = F.col(value).cast("double")
+    counts = df.filter(value_col.isNotNull()).groupBy(*by, value_col.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    totals = counts.groupBy(*[F.col(c).alias(f"_t_{c}") for c in by]).agg(F.sum("_n").alias("_total"))
+    salts = 16
+    totals = totals.withColumn("_t_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = counts.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(salts)).cast("int"))
+    items = salted.join(totals, _key_join(by, "_t_") & (F.col("_salt") == F.col("_t_salt")))
+    items = items.drop("_salt", "_t_salt", *[f"_t_{c}" for c in by]).withColumn("_start", F.lit(0).cast("long"))
+    keys = list(by)
+    for number in range(rounds):
+        items = checkpointed(_narrowed(items, keys, points, buckets).withColumnRenamed("_bucket", f"_piece{number}"))
+        keys.append(f"_piece{number}")
+    inside = W.partitionBy(*keys).orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
+    ordered = items.withColumn("_from", F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    ordered = ordered.withColumn("_to", F.col("_from") + F.col("_n"))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_to")), F.col("_v")))

@@ -11,7 +11,7 @@ from helpers import rows
 from matchloom.operators.idf import build_idf
 from matchloom.operators.latency import latency_windows
 from matchloom.operators.metrics import (
-    attach_truth, candidate_counts, corpus_summary, exact_percentiles, family_facet, latency_percentiles, mean_ndcg, ndcg,
+    attach_truth, candidate_counts, corpus_summary, exact_percentiles, family_facet, quantile_buckets, latency_percentiles, mean_ndcg, ndcg,
 )
 from matchloom.operators.rate_limit import token_bucket
 from matchloom.plans.evaluation import compare_systems
@@ -80,6 +80,21 @@ def test_percentiles_equal_numpy(spark):
     assert abs(sketch["a"] - got["a"][0]) < 0.05
 
 
+def test_quantile_buckets_cut_long_tails(spark):
+    """Log-normal values, one group a third of the rows: no bucket holds over 2 % of a group; NaN counts as the largest."""
+    rng = np.random.default_rng(2)
+    values = {"a": np.exp(3 * rng.normal(size=6000)), "b": np.exp(8 * rng.normal(size=3000))}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs], "g string, _v double").repartition(6)
+    for g, n in quantile_buckets(df, ["g"], 256).groupBy("g", "_bucket").count().groupBy("g").agg(F.max("count")).collect():
+        assert n <= 0.02 * len(values[g])
+    points = {"p0": 0.0, "p37": 0.37, "p999": 0.999, "p100": 1.0}
+    for got in exact_percentiles(df, "_v", ["g"], points, buckets=8, rounds=3).collect():
+        assert np.allclose(got[1:], np.percentile(values[got.g], [0, 37, 99.9, 100]), rtol=1e-12)
+    odd = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),), (None,)], "v double")
+    top = exact_percentiles(odd, "v", [], {"mid": 0.5, "top": 1.0}).first()
+    assert top.mid == 2.0 and np.isnan(top.top)
+
+
 def test_reports(spark):
     jobs = spark.createDataFrame([("SALES", "X"), ("OTHER", "Y"), ("OTHER", "Z"), ("HR", "X")], "job_family string, job_category string")
     assert [tuple(r) for r in family_facet(jobs).collect()] == [("HR", "Hr", 1), ("SALES", "Sales", 1), ("OTHER", "Other", 2)]
