@@ -1,7 +1,6 @@
 """Skill extraction with a lexicon that is a parameter.
 
-A lexicon is a list of ``Skill(canonical, domain, aliases)``. The small ``STARTER`` lexicon covers
-the symbol-heavy technology names; a full lexicon is read from a file with ``read_lexicon``.
+A lexicon is a list of ``Skill(canonical, domain, aliases)``, read from a file with ``read_lexicon``. None is built in.
 """
 
 from __future__ import annotations
@@ -19,29 +18,6 @@ class Skill(NamedTuple):
     aliases: tuple[str, ...]
 
 
-# A starter lexicon (canonical, domain, aliases).
-STARTER: tuple[Skill, ...] = (
-    Skill("python", "programming", ("python",)),
-    Skill("java", "programming", ("java",)),
-    Skill("javascript", "programming", ("javascript", "js")),
-    Skill("c++", "programming", ("c++",)),
-    Skill("c#", "programming", ("c#",)),
-    Skill("node.js", "programming", ("node.js", "nodejs", "node js")),
-    Skill(".net", "programming", (".net", "dotnet", "dot net")),
-    Skill("machine learning", "data_ml", ("machine learning", "ml")),
-    Skill("apache spark", "data_ml", ("apache spark", "spark")),
-    Skill("ci/cd", "cloud_devops", ("ci/cd", "continuous integration", "continuous deployment")),
-    Skill("docker", "cloud_devops", ("docker", "containerization")),
-    Skill("kubernetes", "cloud_devops", ("kubernetes", "k8s")),
-    Skill("asp.net", "web", ("asp.net", "aspnet")),
-    Skill("sql", "databases", ("sql",)),
-    Skill("sql server", "databases", ("sql server", "microsoft sql server", "mssql")),
-    Skill("patient care", "healthcare_clinical", ("patient care",)),
-    Skill("registered nurse", "healthcare_clinical", ("registered nurse", "rn", "r.n.")),
-    Skill("excel", "finance_accounting", ("excel", "microsoft excel", "ms excel")),
-    Skill("project management", "soft_professional", ("project management", "pmp", "project manager")),
-)
-
 # Fixed value: characters that belong to a token. The dot is left out so that a sentence may end
 # right after a skill.
 TOKEN_CHARS = "[a-z0-9+#]"
@@ -79,7 +55,7 @@ def alias_pattern(lexicon: Sequence[Skill]) -> str:
     return f"(?i)(?<!{TOKEN_CHARS})(?:{'|'.join(groups)})(?!{TOKEN_CHARS})"
 
 
-def extract_skills(text: Column | str, lexicon: Sequence[Skill] = STARTER) -> Column:
+def extract_skills(text: Column | str, lexicon: Sequence[Skill]) -> Column:
     """Sorted distinct canonical skills whose aliases stand in the raw text."""
     text = F.col(text) if isinstance(text, str) else text
     if not lexicon:
@@ -93,7 +69,7 @@ def extract_skills(text: Column | str, lexicon: Sequence[Skill] = STARTER) -> Co
     return F.array_sort(found)
 
 
-def skill_domains(df: DataFrame, lexicon: Sequence[Skill] = STARTER, skill: str = "skill") -> DataFrame:
+def skill_domains(df: DataFrame, lexicon: Sequence[Skill], skill: str = "skill") -> DataFrame:
     """Attach the sorted ``domains`` of each skill (empty when unknown)."""
     pairs = sorted({(s.canonical, s.domain) for s in lexicon})
     spark = df.sparkSession

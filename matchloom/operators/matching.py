@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from matchloom.functions.scores import rounded, sigmoid
-from matchloom.functions.skills import STARTER, Skill, extract_skills
+from matchloom.functions.skills import Skill, extract_skills
 from matchloom.functions.taxonomy import OTHER
 from matchloom.functions.text import (
     RESULT_DESCRIPTION_CHARS,
@@ -114,7 +114,7 @@ def explain(
     queries: DataFrame,
     postings: DataFrame,
     idf: DataFrame,
-    lexicon: Sequence[Skill] = STARTER,
+    lexicon: Sequence[Skill] = (),
     max_terms: int = MAX_TERMS_SHOWN,
     min_idf: float = MIN_IDF,
 ) -> DataFrame:

@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from matchloom.functions.keys import filters_digest, request_key, text_digest
-from matchloom.functions.skills import STARTER, Skill
+from matchloom.functions.skills import Skill
 from matchloom.functions.text import is_blank, squeeze
 from matchloom.operators.encoding import Encoder, hashing_encoder
 from matchloom.operators.filters import (
@@ -92,7 +92,7 @@ def match(
     encoder: Encoder | None = None,
     scorer: Scorer | None = None,
     search: Search = knn_exact,
-    lexicon: Sequence[Skill] = STARTER,
+    lexicon: Sequence[Skill] = (),
 ) -> Matches:
     """Over-fetch, family filter, rerank, score filter, cut, explain the survivors.
 

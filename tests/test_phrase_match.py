@@ -4,12 +4,12 @@ import random
 
 from pyspark.sql import functions as F
 
-from helpers import rows
-from matchloom.functions.skills import STARTER, Skill, extract_skills
+from helpers import SKILLS, rows
+from matchloom.functions.skills import Skill, extract_skills
 from matchloom.operators.phrase_match import find_categories, find_phrases, find_skills, read_lexicon_table
 from matchloom.operators.sampling import category_matches
 
-LEXICON = (*STARTER, Skill("deep learning", "ml", ("deep learning", "machine learning basics")), Skill("c", "programming", ("c",)))
+LEXICON = (*(Skill(*entry) for entry in SKILLS), Skill("deep learning", "ml", ("deep learning", "machine learning basics")), Skill("c", "programming", ("c",)))
 
 
 def lexicon_rows(spark, lexicon):

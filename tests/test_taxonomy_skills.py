@@ -2,7 +2,8 @@ import json
 
 import pytest
 
-from matchloom.functions.skills import STARTER, Skill, extract_skills, read_lexicon, skill_domains, word_lexicon
+from helpers import SKILLS
+from matchloom.functions.skills import Skill, extract_skills, read_lexicon, skill_domains, word_lexicon
 from matchloom.functions.taxonomy import FAMILIES, derive_family, label_relevance, matched_categories
 
 
@@ -23,6 +24,8 @@ from matchloom.functions.taxonomy import FAMILIES, derive_family, label_relevanc
 def test_derive_family(one, title, family):
     assert one(derive_family("t"), t=title) == family
 
+LEXICON = tuple(Skill(*entry) for entry in SKILLS)
+
 
 def test_family_table():
     assert len(FAMILIES) == 24 and list(FAMILIES)[0] == "ACCOUNTANT" and list(FAMILIES)[-1] == "TEACHER"
@@ -49,11 +52,11 @@ def test_matched_categories(one):
 
 
 def test_symbol_skills(one):
-    assert set(one(extract_skills("t"), t="C++, C#, .NET, and Node.js")) == {"c++", "c#", ".net", "node.js"}
-    assert one(extract_skills("t"), t="I write ASP.NET.") == ["asp.net"]
-    assert one(extract_skills("t"), t="javascript, JS and NodeJS!") == ["javascript", "node.js"]
-    assert one(extract_skills("t"), t="sqlite mysqlx spark+") == []
-    assert one(extract_skills("t"), t=None) == []
+    assert set(one(extract_skills("t", LEXICON), t="C++, C#, .NET, and Node.js")) == {"c++", "c#", ".net", "node.js"}
+    assert one(extract_skills("t", LEXICON), t="I write ASP.NET.") == ["asp.net"]
+    assert one(extract_skills("t", LEXICON), t="javascript, JS and NodeJS!") == ["javascript", "node.js"]
+    assert one(extract_skills("t", LEXICON), t="sqlite mysqlx spark+") == []
+    assert one(extract_skills("t", LEXICON), t=None) == []
 
 
 def test_longest_alias_wins(one):
@@ -64,10 +67,10 @@ def test_longest_alias_wins(one):
 
 def test_lexicon_file_and_domains(spark, tmp_path):
     path = tmp_path / "lexicon.json"
-    path.write_text("\n".join(json.dumps({"canonical": s.canonical, "domain": s.domain, "aliases": list(s.aliases)}) for s in STARTER))
-    assert sorted(read_lexicon(spark, str(path))) == sorted(STARTER)
+    path.write_text("\n".join(json.dumps({"canonical": s.canonical, "domain": s.domain, "aliases": list(s.aliases)}) for s in LEXICON))
+    assert sorted(read_lexicon(spark, str(path))) == sorted(LEXICON)
     df = spark.createDataFrame([("python",), ("unknown",)], "skill string")
-    got = {r.skill: r.domains for r in skill_domains(df).collect()}
+    got = {r.skill: r.domains for r in skill_domains(df, LEXICON).collect()}
     assert got == {"python": ["programming"], "unknown": []}
     assert word_lexicon(["a"])[0].aliases == ("a",)
 
@@ -76,7 +79,7 @@ def test_pattern_equals_python_re(spark):
     """Same hits as one flat longest-first alternation in Python."""
     import re
 
-    aliases = sorted({a.lower(): s.canonical for s in STARTER for a in s.aliases}.items(), key=lambda p: -len(p[0]))
+    aliases = sorted({a.lower(): s.canonical for s in LEXICON for a in s.aliases}.items(), key=lambda p: -len(p[0]))
     flat = re.compile(r"(?<![a-z0-9+#])(?:" + "|".join(re.escape(a) for a, _ in aliases) + r")(?![a-z0-9+#])", re.I)
     texts = [
         "Java/JavaScript; sql server SQL, MS Excel.", "c++11 C# c## .net dot net", "R.N. rn, registered nurse; PMP",
@@ -84,5 +87,5 @@ def test_pattern_equals_python_re(spark):
     ]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     names = dict(aliases)
-    for row in df.select("t", extract_skills("t").alias("s")).collect():
+    for row in df.select("t", extract_skills("t", LEXICON).alias("s")).collect():
         assert row.s == sorted({names[h.lower()] for h in flat.findall(row.t)})
