@@ -5,7 +5,9 @@ Parts stand in for postings (short titles) and customers for resumes (a segment
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
+
+from pyspark.sql import Window as W, functions as F
 
 from matchloom.catalog.registry import query, r6, sql_normalize, table, texts
 from matchloom.catalog.text import PART_FAMILIES, PART_SQL_FAMILY, PART_SQL_NAMES
@@ -19,6 +21,7 @@ from matchloom.operators.sampling import (
     build_pairs, category_matches, group_sides, holdout_groups, holdout_rows, sample_sizes, strata_sizes, stratified_sample,
 )
 from matchloom.plans.corpus import clean_postings, clean_resumes, demo_corpus
+from matchloom.sources.tables import shared_folder
 
 # Test taxonomy: customer segments as categories, words of part names as their keywords.
 SEGMENTS = {
@@ -67,6 +70,41 @@ def dense_ids(spark, sf):
     return with_dense_id(table(spark, sf, "part").select("p_partkey"), "id")
 
 
+@query("dense_ids_files", "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey % 5, l_orderkey, l_linenumber) AS id FROM lineitem")
+def dense_ids_files(spark, sf):
+    """Five files, the last key's the smallest: ids follow the paths and the rows in each file."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") % 5).alias("piece"))
+    path = shared_folder(spark, f"pieces-{uuid.uuid4().hex}")
+    ordered = lines.repartitionByRange(5, "piece").sortWithinPartitions("piece", "l_orderkey", "l_linenumber")
+    ordered.write.partitionBy("piece").parquet(path)
+    return with_dense_id(spark.read.parquet(path), "id").select("l_orderkey", "l_linenumber", "id")
+
+
+@query(
+    "pair_counts_categories",
+    """WITH c AS (SELECT p_partkey, upper(w) AS category FROM (SELECT p_partkey, unnest(list_distinct(string_split(lower(p_name), ' '))) AS w FROM part)),
+s AS (SELECT category, count(*) AS hits FROM c GROUP BY category),
+r AS (SELECT s.category, hits, (SELECT count(*) FROM part) - hits AS misses FROM s)
+SELECT category, CAST(sum(n_pos) AS BIGINT) AS positives, CAST(sum(n_neg) AS BIGINT) AS negatives FROM (
+  SELECT category, least(hits, 2) AS n_pos, least(misses, 3 * least(hits, 2)) AS n_neg FROM r JOIN (SELECT c_custkey FROM customer) ON true
+  WHERE c_custkey % (SELECT count(*) FROM s) = (SELECT count(*) FROM s t WHERE t.category < r.category)) GROUP BY category""",
+)
+def pair_counts_categories(spark, sf):
+    """Every word of the titles is a category of its own; no taxonomy of patterns."""
+    titles = table(spark, sf, "part").select(F.col("p_partkey").alias("job_id"), F.lower("p_name").alias("job_title"))
+    words = titles.select(F.explode(F.split("job_title", " ")).alias("keyword")).distinct()
+    names = words.select("keyword", F.upper("keyword").alias("category")).withColumn(
+        "rank", F.row_number().over(W.orderBy("category")).cast("long") - 1  # words of a fixed vocabulary
+    )
+    n = names.agg(F.count(F.lit(1)).alias("n")).scalar()
+    people = table(spark, sf, "customer").select(F.col("c_custkey").alias("resume_id"), F.pmod("c_custkey", n).alias("rank"))
+    people = people.join(names, "rank").select("resume_id", F.col("category").alias("resume_category"))
+    pairs = build_pairs(people, titles, {}, 3, 2, unicode=False, categories=names.select("category", "keyword"))
+    return pairs.groupBy(F.col("resume_category").alias("category")).agg(
+        F.sum("relevance").alias("positives"), F.sum(1 - F.col("relevance")).alias("negatives")
+    )
+
+
 @query(
     "clean_postings",
     f"""WITH d AS (SELECT doc_id // 2 AS job_id, doc_id, source, lang, text, trim(concat_ws(' ', {sql_normalize('source')},

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 _RANK = "_rank_in_group"
@@ -122,27 +123,45 @@ def with_hash_position(
     )
 
 
+# Columns a source may add to say where a row was read: file, and the first byte of its block.
+FILE_PLACE = ("_file", "_block")
+
+
+def with_file_place(df: DataFrame) -> DataFrame:
+    """Add ``_file, _block`` to a plain scan of files (read, select, filter); other frames stay as they are."""
+    if set(FILE_PLACE) <= set(df.columns) or "_metadata" in df.columns:
+        return df
+    path, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    try:
+        return df.select("*", path.alias(FILE_PLACE[0]), block.alias(FILE_PLACE[1]))
+    except AnalysisException:  # not a scan of files
+        return df
+
+
 def with_ingest_order(df: DataFrame, name: str = "ingest_ord") -> DataFrame:
-    """Dense 1-based ids in file order, JVM-side and without a single-task window.
+    """Dense 1-based ids in file order, JVM-side and without a single-task window over rows.
 
-    ``df`` must be a plain scan (read, select, filter). The id is the row's place inside its input
-    partition plus the sizes of the earlier partitions; only those sizes are windowed.
+    Files count in the order of their paths, rows in their order in the file, whatever the splits Spark packs into a
+    task. The id is the row's place in its block plus the rows of the earlier blocks; only the table of blocks (file,
+    first byte, rows) is windowed. ``df`` is a plain scan (read, select, filter) or carries ``_file, _block``, which
+    are dropped; any other frame counts in the order of its partitions.
     """
-    marked = df.withColumn("_mono", F.monotonically_increasing_id())
-    part = F.shiftright("_mono", 33)
-    inside = F.col("_mono") - F.shiftleft(part, 33)
-    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        marked.groupBy(part.alias("_part"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
+    placed = with_file_place(df)
+    marked = placed.withColumn("_mono", F.monotonically_increasing_id())
+    if not set(FILE_PLACE) <= set(placed.columns):
+        part = F.shiftright("_mono", 33)
+        marked = marked.withColumn("_file", F.lit("")).withColumn("_block", part)
+    earlier = W.orderBy("_in", "_at").rowsBetween(W.unboundedPreceding, -1)
+    blocks = (
+        marked.groupBy(F.col("_file").alias("_in"), F.col("_block").alias("_at"))
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min("_mono").alias("_first"))
         .withColumn("_offset", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
         .drop("_rows")
     )
     return (
-        marked.withColumn("_part", part)
-        .join(offsets, "_part")
-        .withColumn(name, F.col("_offset") + inside + 1)
-        .drop("_mono", "_part", "_offset")
+        marked.join(blocks, (F.col("_file") == F.col("_in")) & (F.col("_block") == F.col("_at")))
+        .withColumn(name, F.col("_offset") + F.col("_mono") - F.col("_first") + 1)
+        .drop("_mono", "_file", "_block", "_in", "_at", "_first", "_offset")
     )
 
 

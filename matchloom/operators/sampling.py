@@ -2,28 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from matchloom.functions.taxonomy import FAMILIES, Taxonomy, matched_categories
-from matchloom.operators.ranking import with_hash_position
+from matchloom.operators.layout import checkpointed
+from matchloom.operators.phrase_match import find_categories
+from matchloom.operators.ranking import hash_order, with_hash_position
 
-MAX_EXTRA_CATEGORIES = 1000
+# Strata whose thresholds are sent to every task; more of them are joined by a shuffle.
+BROADCAST_STRATA = 10_000
 
 
-def extend_taxonomy(resumes: DataFrame, taxonomy: Taxonomy = FAMILIES, category: str = "resume_category") -> Taxonomy:
-    """Add each resume category the taxonomy lacks, with its own words as its only keyword.
+def extra_categories(resumes: DataFrame, taxonomy: Taxonomy = FAMILIES, category: str = "resume_category") -> DataFrame:
+    """``category, keyword``: each resume category the taxonomy lacks, with its own words as its only keyword.
 
-    Categories become patterns, so their number is bounded; more than that is an input error.
+    The rows are for ``build_pairs`` and ``find_categories``, which join them; their number is not bounded.
     """
-    unknown = (
-        resumes.select(category).filter(~F.col(category).isin(*taxonomy)).filter(F.col(category) != "").distinct()
-    )
-    rows = unknown.limit(MAX_EXTRA_CATEGORIES + 1).collect()
-    if len(rows) > MAX_EXTRA_CATEGORIES:
-        raise ValueError(f"more than {MAX_EXTRA_CATEGORIES} categories outside the taxonomy")
-    return {**taxonomy, **{r[0]: (r[0].replace("-", " "),) for r in sorted(rows)}}
+    unknown = resumes.select(F.col(category).alias("category")).filter(~F.col("category").isin(*taxonomy)).distinct()
+    return unknown.filter("category <> ''").withColumn("keyword", F.replace("category", F.lit("-"), F.lit(" ")))
 
 
 def category_matches(
@@ -34,24 +33,57 @@ def category_matches(
     return postings.withColumn("category", F.explode(matched_categories(title, taxonomy, unicode)))
 
 
-def _signatures(postings: DataFrame, taxonomy: Taxonomy, title: str, unicode: bool) -> DataFrame:
-    return postings.withColumn("signature", F.array_join(matched_categories(title, taxonomy, unicode), "|"))
-
-
-def _category_ranges(signatures: DataFrame, taxonomy: Taxonomy) -> DataFrame:
-    """``category, hit, total, ranges``: for each category the postings that match it (hit) and those
-    that do not, as consecutive ranges over signatures. Rows: 2 x categories."""
-    sizes = signatures.groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
-    flagged = sizes.select(
-        "signature", "n", F.explode(F.array(*[F.lit(c) for c in taxonomy])).alias("category")
-    ).withColumn("hit", F.array_contains(F.split("signature", r"\|"), F.col("category")))
-    order = W.partitionBy("category", "hit").orderBy("signature")
-    start = F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return (
-        flagged.withColumn("start", start)
-        .groupBy("category", "hit")
-        .agg(F.sum("n").alias("total"), F.collect_list(F.struct("start", "n", "signature")).alias("ranges"))
+def _signatures(
+    postings: DataFrame, taxonomy: Taxonomy, title: str, unicode: bool, categories: DataFrame | None
+) -> DataFrame:
+    """``job_id, signature``: the sorted categories of each posting, by pattern and by equi join."""
+    by_pattern = postings.select("job_id", title, matched_categories(title, taxonomy, unicode).alias("signature"))
+    if categories is None:
+        return by_pattern.select("job_id", F.array_sort("signature").alias("signature"))
+    # the categories of one title, at most one for each run of its words and phrase
+    found = find_categories(postings.select(title).distinct(), categories, title, unicode)
+    found = found.groupBy(F.col(title).alias("_titled")).agg(F.collect_set("category").alias("_more"))
+    both = by_pattern.join(found, F.col(title) == F.col("_titled"), "left")
+    more = F.coalesce("_more", F.array().cast("array<string>"))
+    return both.select("job_id", F.array_sort(F.array_union("signature", more)).alias("signature"))
+
+
+def _with_starts(sizes: DataFrame, seed: int, bits: int = 10) -> DataFrame:
+    """``signature, n, start``: signatures laid end to end in hash order; each hash bucket is summed by itself."""
+    hashed = sizes.withColumn("_hash", hash_order(["signature"], seed)).withColumn("_bucket", F.shiftright("_hash", 64 - bits))
+    before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = hashed.groupBy("_bucket").agg(F.sum("n").alias("_rows"))
+    offsets = offsets.select(F.col("_bucket").alias("_b"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    inside = W.partitionBy("_bucket").orderBy("_hash", "signature").rowsBetween(W.unboundedPreceding, -1)
+    start = F.col("_offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    return hashed.join(offsets, F.col("_bucket") == F.col("_b")).select("signature", "n", start.alias("start"))
+
+
+def _category_ranges(placed: DataFrame, everything: Column) -> DataFrame:
+    """``category, relevance, low, n, place``: the postings that match a category (relevance 1) and those that don't
+    (0), numbered from 0 each, as ranges ``[low, low + n)`` over the places of all postings.
+
+    Signatures that hold the category are its hit ranges; the gaps between them are its miss ranges, so a category has
+    at most two ranges for each signature it stands in and one more.
+    """
+    order = W.partitionBy("category").orderBy("start")
+    hits = placed.select(F.explode("signature").alias("category"), "start", "n")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    hits = hits.select(
+        "*", before.alias("before"), F.lag(F.col("start") + F.col("n"), 1, 0).over(order).alias("gap"),
+        F.lead("start").over(order).isNull().alias("last"),
+    )
+    end = F.col("start") + F.col("n")
+
+    def part(relevance: int, low: Column, n: Column, place: Column) -> Column:
+        return F.struct(F.lit(relevance).alias("relevance"), low.alias("low"), n.alias("n"), place.alias("place"))
+
+    parts = F.array(
+        part(1, F.col("before"), F.col("n"), F.col("start")),
+        part(0, F.col("gap") - F.col("before"), F.col("start") - F.col("gap"), F.col("gap")),
+        part(0, end - F.col("before") - F.col("n"), F.when(F.col("last"), everything - end).otherwise(F.lit(0)), end),
     )
+    return hits.select("category", F.inline(parts)).filter("n > 0")
 
 
 def _primes(count: int, above: int) -> list[int]:
@@ -99,28 +131,39 @@ def build_pairs(
     seed: int = 42,
     title: str = "job_title",
     unicode: bool = True,
+    categories: DataFrame | None = None,
 ) -> DataFrame:
     """``resume_id, resume_category, job_id, relevance``: sampled relevance pairs.
 
     Each resume draws ``positives`` postings that match its category and ``negative_ratio`` times as
-    many that do not (fewer when there are fewer); a resume without a match is skipped. Resumes and
-    postings are never multiplied: a posting belongs to exactly one *signature* (the set of
-    categories it matches) and holds a dense position in it; a draw is mapped to (signature, position)
-    through the small range table and joined on that pair.
+    many that do not (fewer when there are fewer); a resume without a match is skipped. ``categories`` are further
+    ``(category, keyword)`` rows beside the taxonomy, any number of them.
+
+    Resumes and postings are never multiplied: postings are numbered so that those with the same set of categories lie
+    together, and a category is a set of ranges of these numbers. Ranges are cut into as many equal bins as a category
+    has ranges, so a draw meets two of them on average; it is joined on its bin, then with the posting on the number.
     """
-    signed = _signatures(postings.select("job_id", title), taxonomy, title, unicode)
-    indexed = with_hash_position(signed.select("job_id", "signature"), ["job_id"], ["signature"], seed, "slot")
-    ranges = _category_ranges(signed, taxonomy)
+    signed = checkpointed(_signatures(postings.select("job_id", title), taxonomy, title, unicode, categories))
+    sizes = signed.groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
+    placed = checkpointed(_with_starts(sizes, seed))
+    everything = placed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
+    slots = with_hash_position(signed, ["job_id"], ["signature"], seed, "_slot")
+    numbered = slots.join(placed.select("signature", "start"), "signature").select(
+        "job_id", (F.col("start") + F.col("_slot") - 1).alias("_place")
+    )
+    ranges = _category_ranges(placed, everything)
+    totals = ranges.groupBy("category", "relevance").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("ranges"))
+    totals = totals.withColumn("width", F.ceil(F.col("total") / F.col("ranges")))
 
-    def side(hit: bool, name: str) -> DataFrame:
-        return ranges.filter(F.col("hit") == hit).select(
+    def side(relevance: int, name: str) -> DataFrame:
+        return totals.filter(F.col("relevance") == relevance).select(
             "category",
             F.col("total").alias(f"n_{name}"),
-            F.col("ranges").alias(f"{name}_ranges"),
+            F.col("width").alias(f"{name}_width"),
             _usable_strides(F.col("total")).alias(f"{name}_strides"),
         )
 
-    offers = side(True, "hit").join(side(False, "miss"), "category", "left")
+    offers = side(1, "hit").join(side(0, "miss"), "category", "left")
     n_pos = F.least(F.col("n_hit"), F.lit(positives))
     n_neg = F.least(
         F.coalesce("n_miss", F.lit(0)), F.greatest(n_pos, F.lit(1)) * F.greatest(F.lit(negative_ratio), F.lit(1))
@@ -131,36 +174,31 @@ def build_pairs(
         places = _draws(total, wanted, F.col(f"{name}_strides"), F.lit(seed), F.lit(label), F.col("resume_id"), F.col("resume_category"))
 
         def locate(place: Column) -> Column:
-            home = F.filter(f"{name}_ranges", lambda r: (r["start"] <= place) & (place < r["start"] + r["n"]))[0]
-            return F.struct(
-                F.lit(label).alias("relevance"),
-                home["signature"].alias("signature"),
-                (place - home["start"] + 1).alias("slot"),
-            )
+            bin_ = F.floor(place / F.col(f"{name}_width"))
+            return F.struct(F.lit(label).alias("relevance"), bin_.alias("bin"), place.alias("drawn"))
 
         return F.transform(places, locate)
 
+    none = F.array().cast("array<struct<relevance:int,bin:bigint,drawn:bigint>>")
     draws = (
         resumes.select("resume_id", "resume_category")
         .join(offers, F.col("resume_category") == F.col("category"))
         .select(
-            "resume_id",
-            "resume_category",
-            F.explode(
-                F.concat(
-                    drawn("hit", n_pos, 1),
-                    F.coalesce(
-                        drawn("miss", n_neg, 0),
-                        F.array().cast("array<struct<relevance:int,signature:string,slot:bigint>>"),
-                    ),
-                )
-            ).alias("draw"),
-        )
-        .select("resume_id", "resume_category", "draw.*")
+            "resume_id", "resume_category",
+            F.inline(F.concat(drawn("hit", n_pos, 1), F.coalesce(drawn("miss", n_neg, 0), none))),
+        )
     )
+    bins = ranges.join(totals.select("category", "relevance", "width"), ["category", "relevance"]).select(
+        F.col("category").alias("resume_category"), "relevance", "low", "n", "place",
+        F.explode(
+            F.sequence(F.floor(F.col("low") / F.col("width")), F.floor((F.col("low") + F.col("n") - 1) / F.col("width")))
+        ).alias("bin"),
+    )
+    inside = (F.col("low") <= F.col("drawn")) & (F.col("drawn") < F.col("low") + F.col("n"))
+    found = draws.join(bins, ["resume_category", "relevance", "bin"]).filter(inside)
     return (
-        draws.join(indexed, ["signature", "slot"])
-        .select("resume_id", "resume_category", "job_id", "relevance")
+        found.withColumn("_place", F.col("place") + F.col("drawn") - F.col("low"))
+        .join(numbered, "_place")
         .groupBy("resume_id", "job_id")
         # an id may stand for resumes of several categories: category and label come from one draw
         .agg(F.min(F.struct("resume_category", "relevance")).alias("_draw"))
@@ -177,20 +215,82 @@ def attach_texts(pairs: DataFrame, resumes: DataFrame, postings: DataFrame) -> D
     )
 
 
+def _hash_key(keys: Sequence[str], seed: int) -> Column:
+    return F.struct(hash_order(keys, seed).alias("hash"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+
+
+def _hash_cuts(
+    rows: DataFrame, keys: Sequence[str], by: Sequence[str], wanted: Callable[[DataFrame], DataFrame], seed: int, bits: int = 10
+) -> DataFrame:
+    """``_c_<by>, _cut, _take, _copies``: the last key, in the seeded order of (hash, keys), among the first
+    ``_wanted`` rows of each stratum, how many rows with that key are taken and how many there are.
+
+    ``wanted`` adds ``_wanted`` to a table of strata. Counts of hash buckets name the one bucket a cut lies in; earlier
+    ones are taken whole, later ones not at all, so only the keys of that bucket are put in order. A stratum that
+    wants no row has no cut. The cuts, one row a stratum, are checkpointed.
+    """
+    narrow = rows.select(*by, _hash_key(keys, seed).alias("_cut")).withColumn(
+        "_bucket", F.shiftright("_cut.hash", 64 - bits)
+    )
+    counts = narrow.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    held = wanted(counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))))
+    held = held.filter((F.col("_before") < F.col("_wanted")) & (F.col("_wanted") <= F.col("_before") + F.col("_n")))
+    where = [*by, "_bucket"]
+    held = held.select(*[F.col(c).alias(f"_c_{c}") for c in where], (F.col("_wanted") - F.col("_before")).alias("_need"))
+    near = narrow.join(held, _same(where)).groupBy(*[f"_c_{c}" for c in by], "_cut", "_need").agg(F.count(F.lit(1)).alias("_copies"))
+    order = W.partitionBy(*[f"_c_{c}" for c in by]).orderBy("_cut").rowsBetween(W.unboundedPreceding, -1)
+    cuts = near.withColumn("_take", F.col("_need") - F.coalesce(F.sum("_copies").over(order), F.lit(0)))
+    return checkpointed(cuts.filter((F.col("_take") > 0) & (F.col("_take") <= F.col("_copies"))).drop("_need"))
+
+
+def _same(columns: Sequence[str]) -> Column:
+    return reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"_c_{c}")), columns, F.lit(True))
+
+
+def take_by_hash(
+    df: DataFrame, keys: Sequence[str], by: str, sizes: DataFrame, wanted: str, seed: int = 42, name: str = "_taken"
+) -> DataFrame:
+    """``df`` with a flag: whether the row is among the first ``wanted`` of its stratum in seeded order of ``keys``.
+
+    ``sizes(by, wanted)`` has one row a stratum; null is a stratum. Rows are compared with the cut of their stratum where
+    they are; none is shuffled. Beyond ``BROADCAST_STRATA`` strata the cuts are joined by a shuffle. Rows with the
+    same keys as the cut are ranked among themselves, in any order, so sizes stay exact.
+    """
+    asked = sizes.select(F.col(by).alias(f"_c_{by}"), F.col(wanted).alias("_wanted"))
+    cuts = _hash_cuts(df, keys, [by], lambda t: t.join(asked, _same([by])).drop(f"_c_{by}"), seed)
+    few = cuts.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA
+    tied = not cuts.filter("_take < _copies").isEmpty()
+    joined = df.withColumn("_key", _hash_key(keys, seed)).join(F.broadcast(cuts) if few else cuts, _same([by]), "left")
+    extra = ["_key", "_cut", "_take", "_copies", f"_c_{by}"]
+    flag = F.coalesce(F.col("_key") <= F.col("_cut"), F.lit(False))
+    if not tied:
+        return joined.withColumn(name, flag).drop(*extra)
+    open_ = F.coalesce((F.col("_key") == F.col("_cut")) & (F.col("_take") < F.col("_copies")), F.lit(False))
+    rank = F.row_number().over(W.partitionBy(f"_c_{by}").orderBy("_key"))
+    copies = joined.filter(open_).withColumn(name, rank <= F.col("_take"))
+    return joined.filter(~open_).withColumn(name, flag).unionByName(copies).drop(*extra)
+
+
+def _held_groups(pairs: DataFrame, group: str, fraction: float, seed: int) -> Column:
+    """Whether a row's group is held out, by comparison with one cut; nothing is joined or shuffled."""
+    groups = pairs.select(group).distinct()
+    n = groups.agg(F.count(F.lit(1)).alias("n")).scalar()
+    cuts = _hash_cuts(groups, [group], (), lambda t: t.withColumn("_wanted", F.ceil(F.lit(fraction) * n)), seed)
+    return F.coalesce(_hash_key([group], seed) <= cuts.select("_cut").scalar(), F.lit(False))
+
+
 def group_sides(pairs: DataFrame, group: str, fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """``group, is_eval``: exactly ceil(fraction x groups) groups are held out; null is a group."""
-    ranked = with_hash_position(pairs.select(group).distinct(), [group], (), seed)
-    n = pairs.select(group).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
-    return ranked.select(group, (F.col("position") <= F.ceil(F.lit(fraction) * n)).alias("is_eval"))
+    return pairs.select(group).distinct().select(group, _held_groups(pairs, group, fraction, seed).alias("is_eval"))
 
 
 def holdout_groups(
     pairs: DataFrame, fraction: float = 0.2, group: str = "resume_id", seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
     """(train, eval) with every group wholly on one side."""
-    sides = group_sides(pairs, group, fraction, seed).withColumnRenamed(group, "_side_of")
-    sided = pairs.join(sides, F.col(group).eqNullSafe(F.col("_side_of"))).drop("_side_of")
-    return sided.filter("not is_eval").drop("is_eval"), sided.filter("is_eval").drop("is_eval")
+    held = _held_groups(pairs, group, fraction, seed)
+    return pairs.filter(~held), pairs.filter(held)
 
 
 def strata_sizes(rows: DataFrame, strata: str, fraction: float = 0.2) -> DataFrame:
@@ -215,15 +315,9 @@ def holdout_rows(
     rows: DataFrame, keys: Sequence[str], strata: str = "relevance", fraction: float = 0.2, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
     """(train, eval) by rows, each stratum in proportion; for input with a single group."""
-    sizes = strata_sizes(rows, strata, fraction).select(F.col(strata).alias("_s"), "n_eval")
-    ranked = with_hash_position(rows, keys, [strata], seed, "_position").join(
-        sizes, F.col(strata).eqNullSafe(F.col("_s"))
-    )
-    held = F.col("_position") <= F.col("n_eval")
-    return (
-        ranked.filter(~held).drop("_position", "_s", "n_eval"),
-        ranked.filter(held).drop("_position", "_s", "n_eval"),
-    )
+    sizes = strata_sizes(rows, strata, fraction).select(strata, "n_eval")
+    flagged = take_by_hash(rows, keys, strata, sizes, "n_eval", seed)
+    return flagged.filter("not _taken").drop("_taken"), flagged.filter("_taken").drop("_taken")
 
 
 def holdout(
@@ -255,10 +349,5 @@ def stratified_sample(
     df: DataFrame, by: str, target: int, floor: int = 200, seed: int = 42, key: str = "job_id"
 ) -> DataFrame:
     """Sample each stratum to its ``sample_sizes``; ids stay, and the floor may exceed the target."""
-    sizes = sample_sizes(df, by, target, floor).select(F.col(by).alias("_s"), "n_sample")
-    ranked = with_hash_position(df, [key], [by], seed, "_position")
-    return (
-        ranked.join(sizes, F.col(by).eqNullSafe(F.col("_s")))
-        .filter(F.col("_position") <= F.col("n_sample"))
-        .drop("_position", "_s", "n_sample")
-    )
+    sizes = sample_sizes(df, by, target, floor).select(by, "n_sample")
+    return take_by_hash(df, [key], by, sizes, "n_sample", seed).filter("_taken").drop("_taken")

@@ -13,7 +13,7 @@ from matchloom.operators.encoding import HASHING_MODEL, Encoder, check_vectors,
 from matchloom.operators.idf import build_idf
 from matchloom.operators.layout import spread
 from matchloom.operators.ranking import keep_first, with_ingest_order
-from matchloom.operators.sampling import attach_texts, build_pairs, extend_taxonomy, holdout, stratified_sample
+from matchloom.operators.sampling import attach_texts, build_pairs, extra_categories, holdout, stratified_sample
 from matchloom.sources.csv import POSTING_ALIASES, RESUME_ALIASES, read_aliased_csv
 from matchloom.sources.tables import read_table, write_idf, write_table
 
@@ -105,8 +105,8 @@ def prepare_corpus(
         write_table(df, f"{out}/{name}")
         return read_table(spark, f"{out}/{name}")
 
-    raw_postings = read_aliased_csv(spark, jobs_path, POSTING_ALIASES, multi_line)
-    raw_resumes = read_aliased_csv(spark, resumes_path, RESUME_ALIASES, multi_line)
+    raw_postings = read_aliased_csv(spark, jobs_path, POSTING_ALIASES, multi_line, placed=True)
+    raw_resumes = read_aliased_csv(spark, resumes_path, RESUME_ALIASES, multi_line, placed=True)
     postings = stored(clean_postings(raw_postings, taxonomy), "postings")
     resumes = stored(clean_resumes(raw_resumes), "resumes")
     bad = [
@@ -114,7 +114,8 @@ def prepare_corpus(
         for raw, name, source in ((raw_postings, "job_id", "postings"), (raw_resumes, "resume_id", "resumes"))
     ]
     rejected = stored(bad[0].unionByName(bad[1]), "rejected")
-    drawn = build_pairs(resumes, postings, extend_taxonomy(resumes, taxonomy), negative_ratio, positives, seed)
+    extra = extra_categories(resumes, taxonomy)
+    drawn = build_pairs(resumes, postings, taxonomy, negative_ratio, positives, seed, categories=extra)
     pairs = stored(attach_texts(drawn, resumes, postings) if with_texts else drawn, "pairs")
     train, held = holdout(pairs, fraction, seed=seed)
     return {
@@ -173,6 +174,6 @@ def demo_corpus(
     demo = sample.withColumn("description", F.substring("description", 1, max_chars)).withColumn(
         "text", join_parts(*parts)
     )
-    if sample.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).collect():
+    if sample.select("job_id").groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).collect():
         raise ValueError("duplicate job_id in the sample")
     return demo

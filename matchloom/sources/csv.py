@@ -43,14 +43,15 @@ def resolve_columns(header: Sequence[str], aliases: Aliases) -> dict[str, int]:
 
 
 def read_aliased_csv(
-    spark: SparkSession, path: str, aliases: Aliases, multi_line: bool = True
+    spark: SparkSession, path: str, aliases: Aliases, multi_line: bool = True, placed: bool = False
 ) -> DataFrame:
     """Read only the columns named by ``aliases``, as strings under their target names.
 
     Every file's own header counts: files are grouped by header, each group is read with its columns
     bound by position (so unused ones are pruned by the CSV reader), and the groups are put together;
     a column that a group lacks is null there. Files without an expected column are refused.
-    ``multi_line=False`` keeps files splittable; use it for corpora whose cells hold no line breaks.
+    ``multi_line=False`` keeps files splittable; use it for corpora whose cells hold no line breaks. ``placed`` adds
+    ``_file, _block``, by which ``with_ingest_order`` numbers rows over all files.
     """
     groups = _headers(spark, path)
     frames = []
@@ -63,7 +64,8 @@ def read_aliased_csv(
         rows = reader.schema(schema).option("header", True).option("enforceSchema", True).csv(files)
         frames.append(
             rows.select(
-                *[F.when(~F.col(f"c{i}").isin(*MISSING), F.col(f"c{i}")).alias(t) for t, i in resolved.items()]
+                *[F.when(~F.col(f"c{i}").isin(*MISSING), F.col(f"c{i}")).alias(t) for t, i in resolved.items()],
+                *([F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")] if placed else []),
             )
         )
     if not frames:

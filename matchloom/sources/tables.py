@@ -5,7 +5,7 @@ from __future__ import annotations
 import posixpath
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -20,10 +20,14 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 def write_corpus(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     """Write a cleaned corpus; ``partition_by='job_family'`` lets a family filter prune directories.
 
-    Rows are not shuffled by the partition column, so a family holding most rows is still written
-    by every task.
+    Rows are rebalanced by the partition column first: small families share tasks and get one file each, a family that
+    holds most rows is cut into tasks of the advisory size, so there are about size / target files and not tasks x
+    families.
     """
-    write_table(df, path, [partition_by] if partition_by else None)
+    if partition_by is None:
+        write_table(df, path)
+    else:
+        write_table(df.hint("rebalance", F.col(partition_by)), path, [partition_by])
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:

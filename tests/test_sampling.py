@@ -8,7 +8,7 @@ from helpers import rows
 from matchloom.functions.taxonomy import FAMILIES
 from matchloom.operators.ranking import keep_first, keep_newest, page_of, quota_overflow, with_dense_id, with_hash_position, with_ingest_order
 from matchloom.operators.sampling import (
-    build_pairs, extend_taxonomy, holdout, holdout_rows, sample_sizes, strata_sizes, stratified_sample,
+    build_pairs, extra_categories, holdout, holdout_rows, sample_sizes, strata_sizes, stratified_sample,
 )
 
 TITLES = ["registered nurse", "software engineer", "sales manager", "sales engineer", "pastry chef", "clown"]
@@ -48,12 +48,23 @@ def test_ingest_order(spark, tmp_path):
     scan = spark.read.text(str(text))
     assert {r.value: r.id for r in with_dense_id(scan, "id").collect()} == {f"row {i}": i + 1 for i in range(200)}
     assert with_dense_id(spark.range(3), "id").columns == ["id"]
+    for i, n in enumerate((5, 4000, 1, 900, 60)):  # splits are packed by size, ids follow the paths
+        (tmp_path / "many").mkdir(exist_ok=True)
+        (tmp_path / "many" / f"{i}.txt").write_text("".join(f"{i} {j:05}\n" for j in range(n)))
+    scan = spark.read.text(str(tmp_path / "many")).filter("value <> '1 00007'")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+    try:
+        got = with_ingest_order(scan).orderBy("ingest_ord").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.value for r in got] == sorted(r.value for r in got) and [r.ingest_ord for r in got] == list(range(1, 4966))
+    assert got[0].asDict().keys() == {"value", "ingest_ord"}
 
 
 def test_build_pairs(spark):
-    taxonomy = extend_taxonomy(resumes(spark), FAMILIES)
-    assert set(taxonomy) - set(FAMILIES) == {"CLOWN", "ASTRONAUT"}
-    pairs = build_pairs(resumes(spark), postings(spark), taxonomy, negative_ratio=3, positives=2)
+    extra = extra_categories(resumes(spark), FAMILIES)
+    assert rows(extra) == [("ASTRONAUT", "ASTRONAUT"), ("CLOWN", "CLOWN")]
+    pairs = build_pairs(resumes(spark), postings(spark), FAMILIES, negative_ratio=3, positives=2, categories=extra)
     matches = {
         "HEALTHCARE": {"registered nurse"}, "SALES": {"sales manager", "sales engineer"},
         "ENGINEERING": {"software engineer", "sales engineer"}, "CHEF": {"pastry chef"}, "CLOWN": {"clown"},
@@ -66,9 +77,9 @@ def test_build_pairs(spark):
     for drawn in by_resume.values():
         assert Counter(label for label, _ in drawn) == {1: 2, 0: 6}
         assert len({job for _, job in drawn}) == 8
-    again = build_pairs(resumes(spark, 1), postings(spark, parts=8), taxonomy, 3, 2)
+    again = build_pairs(resumes(spark, 1), postings(spark, parts=8), FAMILIES, 3, 2, categories=extra)
     assert rows(pairs) == rows(again)
-    assert rows(pairs) != rows(build_pairs(resumes(spark), postings(spark), taxonomy, 3, 2, seed=1))
+    assert rows(pairs) != rows(build_pairs(resumes(spark), postings(spark), FAMILIES, 3, 2, seed=1, categories=extra))
     spread = {job for drawn in by_resume.values() for _, job in drawn}
     assert len(spread) > 45  # draws reach most of the 60 postings
 
@@ -81,6 +92,44 @@ def test_build_pairs_without_negatives(spark):
     assert build_pairs(one.filter("false"), only).count() == 0
 
 
+def test_build_pairs_many_categories(spark):
+    """3,000 categories, each title in two of them: more than any pattern would take."""
+    n = 3000
+    jobs = spark.range(2 * n).select(
+        F.col("id").alias("job_id"), F.format_string("maker of w%d and w%d", F.col("id") % n, (F.col("id") * 7 + 1) % n).alias("job_title")
+    )
+    people = spark.range(n).select(F.col("id").alias("resume_id"), F.format_string("W%d", "id").alias("resume_category"))
+    found = build_pairs(people, jobs, {}, 3, 2, categories=extra_categories(people, {}))
+    titles = {r.job_id: set(r.job_title.split()) for r in jobs.collect()}
+    drawn = defaultdict(list)
+    for r in found.collect():
+        assert (r.resume_category.lower() in titles[r.job_id]) == bool(r.relevance)
+        drawn[r.resume_id].append((r.relevance, r.job_id))
+    assert len(drawn) == n
+    assert all(len(set(d)) == 8 and Counter(x for x, _ in d) == {1: 2, 0: 6} for d in drawn.values())
+    again = build_pairs(people.repartition(5), jobs.repartition(3), {}, 3, 2, categories=extra_categories(people, {}))
+    assert rows(again) == rows(found)
+
+
+def test_samples_move_no_text(spark):
+    """A split compares each row with its stratum's cut where it is: no text in any exchange, ties exact."""
+    df = spark.range(3000).select(
+        F.lit(1).alias("resume_id"), F.col("id").alias("job_id"), (F.col("id") % 3).alias("relevance"), F.repeat(F.lit("x"), 10).alias("body")
+    )
+    for side in (*holdout_rows(df, ["job_id"], "relevance"), *holdout(df.withColumn("resume_id", F.col("job_id") % 9))):
+        assert side.count() > 0
+        plan = side._jdf.queryExecution().executedPlan().toString()
+        assert not any("Exchange hash" in line or "Exchange range" in line for line in plan.splitlines())
+    copies = df.withColumn("job_id", F.lit(5))
+    train, held = holdout_rows(copies, ["job_id"], "relevance", 0.2)
+    assert (train.count(), held.count()) == (2400, 600)
+    nothing = df.withColumn("relevance", F.lit(None).cast("long"))
+    train, held = holdout_rows(nothing, ["job_id"], "relevance", 0.2)
+    assert (train.count(), held.count()) == (2400, 600)
+    ranked = with_hash_position(df.select("job_id", "relevance"), ["job_id"], ["relevance"]).filter("position <= 200")
+    assert {r.job_id for r in holdout_rows(df, ["job_id"], "relevance")[1].collect()} == {r.job_id for r in ranked.collect()}
+
+
 @pytest.mark.parametrize("groups", [2, 7, 50])
 def test_group_holdout(spark, groups):
     df = spark.range(200).select((F.col("id") % groups).alias("resume_id"), F.col("id").alias("job_id"), F.lit(1).alias("relevance"))

@@ -86,6 +86,10 @@ def test_tables_round_trip(spark, tmp_path):
     write_corpus(df, str(tmp_path / "c"), "job_family")
     plan = read_corpus(spark, str(tmp_path / "c")).filter("job_family = 'SALES'")
     assert rows(plan) == [(1, "SALES")] and "PartitionFilters: [isnotnull" in plan._jdf.queryExecution().toString()
+    wide = spark.range(20000).repartition(16).select(F.when(F.col("id") % 3 > 0, "BIG").otherwise(F.concat(F.lit("F"), F.col("id") % 7)).alias("f"), "id")
+    write_corpus(wide, str(tmp_path / "r"), "f")
+    files = [f.name for f in (tmp_path / "r").rglob("*.parquet")]
+    assert len(files) == 8 and read_corpus(spark, str(tmp_path / "r")).count() == 20000  # one per family, not 16 x 8
     texts = spark.createDataFrame([("alpha beta",), ("alpha",), ("",)], "text string")
     write_idf(build_idf(texts), str(tmp_path / "idf"))
     assert [(r.term, r.df) for r in read_idf(spark, str(tmp_path / "idf")).orderBy("term").collect()] == [("alpha", 2), ("beta", 1)]
