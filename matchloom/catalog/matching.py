@@ -269,7 +269,15 @@ def filter_scores(spark, sf):
 
 @query(
     "lexical_score",
-    f"WITH {_SQL_MATCH} SELECT query_id, item_id AS job_id, cross_score AS score FROM scored",
+    f"""WITH {_SQL_RANKED}, {_SQL_POSTINGS}, {_SQL_IDF},
+wanted AS MATERIALIZED (SELECT query_id, item_id FROM ranked WHERE retrieval_rank <= CASE WHEN q_label % 2 = 0 THEN 60 ELSE 20 END
+  AND (q_label % 2 = 1 OR v_label IN (q_label, (q_label + 1) % 10))),
+eligible AS MATERIALIZED (SELECT w.* FROM wanted w SEMI JOIN postings q ON q.doc_id = w.query_id SEMI JOIN postings j ON j.doc_id = w.item_id),
+asked AS MATERIALIZED (SELECT doc_id, unnest(list_distinct({sql_tokens('text')})) AS term FROM postings),
+offered AS MATERIALIZED (SELECT doc_id, unnest(list_distinct({sql_tokens(f"substring({sql_squeeze('text')}, 1, 1200)")})) AS term FROM postings),
+sums AS MATERIALIZED (SELECT e.query_id, e.item_id, sum(i.idf) AS s FROM eligible e JOIN asked a ON a.doc_id = e.query_id
+  JOIN offered o ON o.doc_id = e.item_id AND o.term = a.term JOIN idf i ON i.term = a.term GROUP BY 1, 2)
+SELECT e.query_id, e.item_id AS job_id, round(coalesce(s.s, 0.0), 6) AS score FROM eligible e LEFT JOIN sums s USING (query_id, item_id)""",
 )
 def lexical_score(spark, sf):
     """The default pair score of every candidate that passes the family filter."""
@@ -415,16 +423,21 @@ def markdown_table(spark, sf):
 
 @query(
     "match_distinct",
-    f"""WITH {_SQL_RANKED}, c AS (SELECT conv_id, turn, 1000000 * turn + conv_id AS query_id, conv_id % 50 AS vec_id FROM conversations)
-SELECT c.query_id, r.item_id AS job_id, r.score AS bi_encoder_score, r.retrieval_rank FROM c
-JOIN ranked r ON r.query_id = c.vec_id AND r.retrieval_rank <= 5 SEMI JOIN documents d ON d.doc_id = r.item_id""",
+    f"""WITH {_SQL_RANKED}, c AS (SELECT 1000000 * turn + conv_id AS query_id,
+  (conv_id + turn * 7919) % (SELECT count(*) FROM embeddings) AS vec_id FROM conversations),
+keyed AS (SELECT c.query_id, first_value(c.vec_id) OVER (PARTITION BY {sql_digest('d.text')} ORDER BY c.query_id) AS vec_id
+  FROM c JOIN documents d ON d.doc_id = c.vec_id)
+SELECT k.query_id, r.item_id AS job_id, r.score AS bi_encoder_score, r.retrieval_rank FROM keyed k
+JOIN ranked r ON r.query_id = k.vec_id AND r.retrieval_rank <= 5 SEMI JOIN documents d ON d.doc_id = r.item_id""",
 )
 def match_distinct_requests(spark, sf):
-    """Fifty texts asked by all conversation turns: matched once each, handed to every asker."""
+    """Every turn asks one of all the texts with a vector: each distinct one is matched once, for every asker."""
     documents = texts(spark, sf, "documents").select(F.col("doc_id").alias("_d"), F.col("text").alias("query_text"))
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("_d"), F.col("embedding").alias("vec"))
+    many = vectors.agg(F.count(F.lit(1))).scalar()
     turns = table(spark, sf, "conversations").select(
-        (F.lit(1000000) * F.col("turn") + F.col("conv_id")).alias("query_id"), (F.col("conv_id") % 50).alias("_d")
+        (F.lit(1000000) * F.col("turn") + F.col("conv_id")).alias("query_id"),
+        ((F.col("conv_id") + F.col("turn") * 7919) % many).alias("_d"),
     )
     asked = turns.join(documents, "_d").join(vectors, "_d").drop("_d").withColumn("top_k", F.lit(5))
     postings, items = _postings(spark, sf), _vectors(spark, sf)

@@ -20,6 +20,8 @@ from matchloom.functions.text import (
     squeeze,
     tokens,
 )
+from matchloom.operators.key_filter import possible_rows
+from matchloom.operators.layout import checkpointed
 
 # Highlighted terms per match and the least IDF of a highlighted term.
 MAX_TERMS_SHOWN = 12
@@ -31,8 +33,13 @@ Scorer = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
 
 
 def hydrate(hits: DataFrame, postings: DataFrame) -> DataFrame:
-    """Hits with their posting. A hit without a posting goes, but its retrieval rank stays used up."""
-    return hits.join(postings, "job_id")
+    """Hits with their posting. A hit without a posting goes, but its retrieval rank stays used up.
+
+    Other postings are dropped where they are read, so only the hits' own are shuffled. The hits, which name the
+    wanted postings and are joined with them, are checkpointed.
+    """
+    hits = checkpointed(hits)
+    return hits.join(possible_rows(postings, hits, "job_id"), "job_id")
 
 
 def posting_texts(postings: DataFrame, kind: str) -> DataFrame:
@@ -47,9 +54,10 @@ def posting_texts(postings: DataFrame, kind: str) -> DataFrame:
 
 
 def wanted_texts(pairs: DataFrame, postings: DataFrame, kind: str) -> DataFrame:
-    """``posting_texts`` of the postings that stand in ``pairs``; the others are dropped before any text
-    work, so neither their tokens nor their texts are computed or shuffled."""
-    needed = postings.join(pairs.select("job_id").distinct(), "job_id", "left_semi")
+    """``posting_texts`` of the postings that stand in ``pairs``; the others are dropped where they are read,
+    so neither their tokens nor their texts are computed or shuffled. ``pairs`` should be cheap to read."""
+    wanted = pairs.select("job_id").distinct()
+    needed = possible_rows(postings, wanted, "job_id").join(wanted, "job_id", "left_semi")
     return posting_texts(needed, kind)
 
 

@@ -24,7 +24,7 @@ from matchloom.operators.filters import (
 )
 from matchloom.operators.knn import knn_exact
 from matchloom.operators.layout import checkpointed
-from matchloom.operators.matching import PAIR, Scorer, assemble, explain, lexical_scorer, rerank
+from matchloom.operators.matching import PAIR, Scorer, assemble, explain, hydrate, lexical_scorer, rerank
 from matchloom.operators.ranking import keep_first
 from matchloom.sources.schemas import EXPLANATION
 
@@ -131,7 +131,7 @@ def match(
 
 def nested_results(matches: DataFrame, postings: DataFrame) -> DataFrame:
     """``query_id, match``: results hydrated and assembled into the nested row."""
-    return assemble(matches.join(postings, "job_id"))
+    return assemble(hydrate(matches, postings))
 
 
 def retrieve_results(

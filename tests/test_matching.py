@@ -11,7 +11,8 @@ from helpers import rows
 from matchloom.functions.skills import Skill
 from matchloom.operators.filters import apply_filters, effective_k, request_problems, validate_requests
 from matchloom.operators.idf import build_idf
-from matchloom.operators.matching import assemble, explain, hydrate, lexical_scorer, model_scorer, rerank
+from matchloom.operators.key_filter import possible_rows
+from matchloom.operators.matching import assemble, explain, hydrate, lexical_scorer, model_scorer, rerank, wanted_texts
 from matchloom.operators.ranking import rank_delta, sort_results
 from matchloom.operators.runs import skill_gap
 from matchloom.plans.matching import match, match_distinct, nested_results, retrieve, retrieve_results
@@ -132,6 +133,48 @@ def test_missing_posting_keeps_ranks(spark, corpus):
     assert [r.job_id for r in hydrate(pair, postings).collect()] == [5]
 
 
+def test_possible_rows(spark):
+    """Every asked row passes, few others do; repeated and null keys and other column types change nothing."""
+    rows_ = spark.range(20_000).select(F.col("id").alias("job_id"), F.lit(7).alias("_other"))
+    rows_ = rows_.union(spark.createDataFrame([(None, 7)], "job_id long, _other int"))
+    keys = spark.range(0, 20_000, 40).select(F.col("id").cast("int").alias("job_id"))
+    keys = keys.union(keys).union(spark.createDataFrame([(None,)], "job_id int"))
+    got = possible_rows(rows_, keys, "job_id")
+    assert got.columns == rows_.columns
+    ids = [r.job_id for r in got.collect()]
+    assert set(range(0, 20_000, 40)) <= set(ids) and len(ids) == len(set(ids)) < 1_000 and None not in ids
+    assert possible_rows(rows_, keys.limit(0), "job_id").count() == 0
+    assert possible_rows(rows_.limit(0), keys, "job_id").count() == 0
+
+
+def test_other_postings_are_not_exchanged(spark, tmp_path):
+    """Above the scan of the postings the bitmap is tested before the first exchange by id."""
+    spark.range(500).select(F.col("id").alias("job_id"), F.concat(F.lit("text "), "id").alias("text")).write.parquet(str(tmp_path / "p"))
+    postings = spark.read.parquet(str(tmp_path / "p"))
+    pairs = spark.createDataFrame([(1, 5), (1, 7), (2, 5)], "query_id long, job_id long")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for df in (hydrate(pairs, postings), wanted_texts(pairs, postings, "score")):
+            lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+            depth = lambda line: next(i for i, c in enumerate(line) if c.isalpha() or c == "*")
+            at = next(i for i, line in enumerate(lines) if "FileScan" in line)
+            above, level = [], depth(lines[at])
+            for line in reversed(lines[:at]):
+                if line.strip() and depth(line) < level:
+                    above.append(line)
+                    level = depth(line)
+            joins = [i for i, line in enumerate(above) if "BroadcastHashJoin" in line and "_word" in line]
+            exchanges = [i for i, line in enumerate(above) if "Exchange hashpartitioning(job_id" in line]
+            assert joins and exchanges and joins[0] < exchanges[0]
+            assert {r.job_id for r in df.collect()} == {5, 7}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_match_distinct(spark, corpus):
     seen = []
 
