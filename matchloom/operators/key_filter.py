@@ -25,9 +25,10 @@ def possible_rows(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """The rows of ``df`` whose ``column`` may stand in ``keys``; all that do are among them.
 
     A bitmap of 64 bits per distinct key, within ``MIN_WORDS`` and ``MAX_WORDS``, is broadcast and tested where ``df``
-    is read. A row without its key passes with a probability of about 1/64; beyond 262,144 keys more pass, and an exact
-    join has to follow. Null keys match nothing. ``keys`` is read twice (once counted), so it should be cheap to read,
-    for example checkpointed. ``df`` must have the type of ``keys`` in ``column``, as hashes depend on it.
+    is read. A row without its key passes with a probability of about 1/64; beyond 262,144 keys more pass. An exact
+    inner join has to follow (a semi join would be pushed below the bitmap). Null keys match nothing. ``keys`` is read
+    twice, once to be counted, so it should be cheap to read, for example checkpointed. It is cast to the type
+    ``column`` has in ``df``, on which hashes depend.
     """
     kind = df.schema[column].dataType
     distinct = keys.select(F.col(column).cast(kind)).distinct()

@@ -57,7 +57,8 @@ def wanted_texts(pairs: DataFrame, postings: DataFrame, kind: str) -> DataFrame:
     """``posting_texts`` of the postings that stand in ``pairs``; the others are dropped where they are read,
     so neither their tokens nor their texts are computed or shuffled. ``pairs`` should be cheap to read."""
     wanted = pairs.select("job_id").distinct()
-    needed = possible_rows(postings, wanted, "job_id").join(wanted, "job_id", "left_semi")
+    # an inner join: Catalyst would push a semi join below the bitmap, next to the scan
+    needed = possible_rows(postings, wanted, "job_id").join(wanted, "job_id")
     return posting_texts(needed, kind)
 
 
