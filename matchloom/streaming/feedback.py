@@ -5,48 +5,39 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from matchloom.operators.feedback import VOTES
-from matchloom.streaming.ordered_fold import fold_stream
+from matchloom.operators.feedback import TARGET, VOTES
+from matchloom.streaming.ordered_fold import SHARDS, fold_stream
 
-KEYS = ["user_id", "run_id", "job_id"]
 
-
-def toggle(rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+def toggle(rows: pd.DataFrame, starts: list[int], states: list[tuple | None]) -> tuple[pd.DataFrame, list[tuple]]:
     """State: the vote that is set ('' for none) and whether a click is set."""
-    vote, clicked = state or ("", False)
-    actions = []
-    for signal in rows["signal"]:
-        if signal in VOTES:
-            actions.append("removed" if vote == signal else "created")
-            vote = "" if vote == signal else signal
-        else:
-            actions.append("removed" if clicked else "created")
-            clicked = not clicked
-    return rows.assign(action=actions), (vote, clicked)
-
-
-def feedback_stream(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    signals = rows["signal"].tolist()
+    actions, after = [], []
+    for lo, hi, state in zip(starts, starts[1:], states):
+        vote, clicked = state or ("", False)
+        for signal in signals[lo:hi]:
+            if signal in VOTES:
+                actions.append("removed" if vote == signal else "created")
+                vote = "" if vote == signal else signal
+            else:
+                actions.append("removed" if clicked else "created")
+                clicked = not clicked
+        after.append((vote, clicked))
+    return rows.assign(action=actions), after
+
+
+def feedback_stream(events: DataFrame, delay: str = "10 minutes", shards: int = SHARDS) -> DataFrame:
     """``us, event_id, signal, action`` and the target of every event.
 
     ``events(event_id, ts, user_id, run_id, job_id, signal)``; the three ids may be of any type. A null
-    run is a target of its own: it travels as a flag beside a blank id.
+    run is a target of its own.
     """
-    types = {k: events.schema[k].dataType.simpleString() for k in KEYS}
-    blank = F.lit("" if types["run_id"] == "string" else 0).cast(types["run_id"])
-    timed = (
-        events.withWatermark("ts", delay)
-        .withColumn("us", F.unix_micros("ts"))
-        .withColumn("no_run", F.col("run_id").isNull())
-        .withColumn("run_id", F.coalesce("run_id", blank))
-    )
-    folded = fold_stream(
-        timed,
-        [*KEYS, "no_run"],
+    return fold_stream(
+        events.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts")),
+        TARGET,
         toggle,
         ["us", "event_id", "signal"],
-        "us long, event_id long, signal string",
         "vote string, clicked boolean",
-        "us long, event_id long, signal string, action string, "
-        + ", ".join(f"{k} {types[k]}" for k in KEYS) + ", no_run boolean",
+        "us long, event_id long, signal string, action string",
+        shards=shards,
     )
-    return folded.withColumn("run_id", F.when(~F.col("no_run"), F.col("run_id"))).drop("no_run")

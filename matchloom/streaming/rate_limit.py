@@ -7,14 +7,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from matchloom.operators.rate_limit import CAPACITY, WINDOW_S, fold_bucket
-from matchloom.streaming.ordered_fold import fold_stream
+from matchloom.streaming.ordered_fold import SHARDS, fold_stream
 
 #: windows after a key's last event after which its state goes
 IDLE_WINDOWS = 2
 
 
 def token_bucket_stream(
-    events: DataFrame, key: str, delay: str = "10 minutes", capacity: int | str = CAPACITY, window_s: int = WINDOW_S
+    events: DataFrame, key: str, delay: str = "10 minutes", capacity: int | str = CAPACITY, window_s: int = WINDOW_S,
+    shards: int = SHARDS,
 ) -> DataFrame:
     """``us, event_id, allowed, tokens, <key>`` for every event; ``events(event_id, ts, <key>)``, a key of any type.
 
@@ -24,11 +25,16 @@ def token_bucket_stream(
     """
     window_us = window_s * 1_000_000
 
-    def fold(rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
-        tokens_of = int(rows["capacity"].iloc[0])
-        times = rows["us"].to_numpy(dtype=np.int64)
-        allowed, tokens, full_at = fold_bucket(times * tokens_of, state[0] if state else None, tokens_of, window_us)
-        return rows.drop(columns="capacity").assign(allowed=allowed, tokens=tokens), (int(full_at), int(times[-1]))
+    def fold(rows: pd.DataFrame, starts: list[int], states: list[tuple | None]) -> tuple[pd.DataFrame, list[tuple]]:
+        times, capacities = (rows[c].to_numpy(dtype=np.int64) for c in ("us", "capacity"))
+        allowed, tokens, after = np.zeros(len(rows), dtype=bool), np.zeros(len(rows)), []
+        for lo, hi, state in zip(starts, starts[1:], states):
+            tokens_of = int(capacities[lo])
+            allowed[lo:hi], tokens[lo:hi], full_at = fold_bucket(
+                times[lo:hi] * tokens_of, state[0] if state else None, tokens_of, window_us
+            )
+            after.append((int(full_at), int(times[hi - 1])))
+        return rows.drop(columns="capacity").assign(allowed=allowed, tokens=tokens), after
 
     tokens_of = F.col(capacity) if isinstance(capacity, str) else F.lit(capacity)
     timed = events.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts")).withColumn("capacity", tokens_of.cast("long"))
@@ -37,8 +43,8 @@ def token_bucket_stream(
         [key],
         fold,
         ["us", "event_id", "capacity"],
-        "us long, event_id long, capacity long",
         "full_at long, last_us long",
-        f"us long, event_id long, allowed boolean, tokens double, `{key}` {events.schema[key].dataType.simpleString()}",
+        "us long, event_id long, allowed boolean, tokens double",
         expires=lambda state: (state[1] + IDLE_WINDOWS * window_us) // 1000 + 1,
+        shards=shards,
     )

@@ -260,3 +260,16 @@ def test_late_rows_are_counted_and_idle_state_goes(spark, tmp_path):
     # keys 1, 2 and 3 left nothing: what remains belongs to key 9
     keys = spark.read.format("statestore").option("stateVarName", "state").load(str(tmp_path / "ckpt"))
     assert {r.key.who for r in keys.collect()} <= {9} and state_rows(run) > 0
+
+
+def test_streams_touch_state_by_shard_and_not_by_row(spark, tmp_path):
+    """Null and long keys are keys like any other; waiting rows lie in few entries of state, whatever their number."""
+    calls = [(i, T0 + timedelta(seconds=i % 50), [None, 2**60 + 1, 2**60 + 2, 5][i % 4]) for i in range(400)]
+    schema = "event_id long, ts timestamp, user_id long"
+    df = spark.createDataFrame([*calls, (9999, T0 + timedelta(days=3), 77)], schema)
+    write_batches(spark, df, str(tmp_path / "in"), 2)
+    out = drain(spark, token_bucket_stream(source(spark, df, str(tmp_path / "in")), "user_id", "10 minutes", 5, 60, shards=2), tmp_path)
+    assert dict(rows(out.select("event_id", "allowed"))) == bucket_simulation(calls, 5, 60)
+    assert dict(rows(out.select("event_id", "user_id"))) == {c[0]: c[2] for c in calls}
+    first = spark.read.format("statestore").option("stateVarName", "waiting").option("batchId", 0).load(str(tmp_path / "ckpt"))
+    assert 0 < first.count() <= 2
