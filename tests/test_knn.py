@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.operators.encoding import check_vectors, encode_incremental, hashing_encoder, model_encoder
-from matchloom.operators.knn import knn_ann, knn_exact
+from matchloom.operators.knn import best_of_cells, best_of_tile, knn_ann, knn_exact, pack_cells
 from matchloom.operators.metrics import recall_at_k
 
 
@@ -124,3 +124,27 @@ def test_check_vectors(spark):
         check_vectors(good.union(good), "item_id", "vec")
     with pytest.raises(ValueError):
         check_vectors(good, "item_id", "vec", 2)
+
+
+def test_small_cells_share_blocks():
+    first, many = pack_cells(np.array([3, 0, 4, 25, 5, 1, 10]), 10)
+    assert many.tolist() == [1, 1, 1, 3, 1, 1, 1]
+    assert first.tolist() == [0, 0, 0, 1, 4, 4, 5]  # 3 + 0 + 4, then 25 in three of their own, then 5 + 1, 10
+    first, many = pack_cells(np.full(4096, 2), 1000)
+    assert int((first + many).max()) == 9  # not one tile for each cell
+
+
+def test_a_tile_of_several_cells_is_searched_by_cell():
+    rng = np.random.default_rng(4)
+    asks, items, cells = rng.normal(size=(30, 4)), rng.normal(size=(200, 4)), rng.integers(0, 6, 200)
+    ids, visit = rng.permutation(200), rng.random((30, 6)) < 0.5
+    got = best_of_cells(np.arange(30), asks, visit, ids, items, cells, 7).to_pylist()
+    want = []
+    for q in range(30):
+        seen = [(-round(float(asks[q] @ items[i]), 6), int(ids[i])) for i in range(200) if visit[q, cells[i]]]
+        want += [(q, i, -s) for s, i in sorted(seen)[:7]]
+    assert [(r["query_id"], r["item_id"]) for r in got] == [w[:2] for w in want]
+    assert np.allclose([r["score"] for r in got], [w[2] for w in want], atol=1e-9)
+    # scores that are equal after rounding go to the lower id, also where they differ before
+    tile = best_of_tile(np.array([0]), np.array([[1.0]]), np.array([2, 1, 3]), np.array([[0.50000002], [0.5], [0.1]]), 1)
+    assert tile.column("item_id").to_pylist() == [1]
