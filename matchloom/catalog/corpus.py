@@ -72,10 +72,11 @@ def dense_ids(spark, sf):
 
 @query("dense_ids_files", "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey % 5, l_orderkey, l_linenumber) AS id FROM lineitem")
 def dense_ids_files(spark, sf):
-    """Five files, the last key's the smallest: ids follow the paths and the rows in each file."""
+    """Five folders of files, in order of a key that isn't the tables': ids follow the paths and the rows in each file."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") % 5).alias("piece"))
     path = shared_folder(spark, f"pieces-{uuid.uuid4().hex}")
-    ordered = lines.repartitionByRange(5, "piece").sortWithinPartitions("piece", "l_orderkey", "l_linenumber")
+    keys = ["piece", "l_orderkey", "l_linenumber"]
+    ordered = lines.repartitionByRange(*keys).sortWithinPartitions(*keys)  # ranges, and with them tasks, of bounded size
     ordered.write.partitionBy("piece").parquet(path)
     return with_dense_id(spark.read.parquet(path), "id").select("l_orderkey", "l_linenumber", "id")
 
