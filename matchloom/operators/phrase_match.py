@@ -1,16 +1,18 @@
 """Dictionary matches by equi join: phrases of any number, found in texts as whole tokens.
 
 A text is cut into parts, each a run of token characters or one other character. A phrase is a run of parts, so
-all runs of the lengths that phrases have are joined with the phrases on their text. No pattern is built, and
-neither side is gathered.
+all runs of the lengths that phrases have are joined with the phrases on their text; runs that a bitmap of the phrases
+rules out are dropped before any exchange. No pattern is built, and neither side is gathered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from matchloom.functions.skills import TOKEN_CHARS
 from matchloom.functions.text import normalize_text
+from matchloom.operators.key_filter import possible_rows
+from matchloom.operators.layout import checkpointed
 
 _TOKEN = rf"\A{TOKEN_CHARS}"
 _PARTS = rf"(?s){TOKEN_CHARS}+|[^a-z0-9+#]"
@@ -41,10 +43,11 @@ def find_phrases(texts: DataFrame, phrases: DataFrame, id_: str = "id", text: st
     """``id, place, phrase`` for each match of ``phrases(phrase)`` in ``texts(id, text)``; an id is one text.
 
     Matches are whole tokens in any case, leftmost first, the longest of those that begin at a place, and don't overlap.
-    ``place`` counts parts. A null text has none; phrases that are null or blank match nothing.
+    ``place`` counts parts. A null text has none; phrases that are null or blank match nothing. The phrases are
+    checkpointed: they are read several times.
     """
     known = phrases.select(F.lower(F.trim("phrase")).alias("phrase")).filter("phrase <> ''").distinct()
-    known = known.withColumn("_n", F.size(_parts(F.col("phrase"))))
+    known = checkpointed(known.withColumn("_n", F.size(_parts(F.col("phrase")))))
     lengths = sorted(r[0] for r in known.select("_n").distinct().collect())  # few: phrases are short
     cut = texts.select(F.col(id_).alias("_id"), _parts(F.col(text)).alias("_parts"))
     runs = cut.select("_id", F.inline(_runs(F.col("_parts"), lengths))) if lengths else None
@@ -54,9 +57,16 @@ def find_phrases(texts: DataFrame, phrases: DataFrame, id_: str = "id", text: st
     inside = (~F.col("phrase").rlike(_TOKEN) & F.col("before").rlike(_TOKEN)) | (
         ~F.col("phrase").rlike(rf"{TOKEN_CHARS}\z") & F.col("after").rlike(_TOKEN)
     )
-    hits = runs.join(known.select("phrase"), "phrase").filter(~inside)
-    longest = hits.groupBy("_id", "start").agg(F.max(F.struct("length", "phrase")).alias("_hit"))
-    in_order = F.array_sort(F.collect_list(F.struct("start", "_hit.length", "_hit.phrase")))  # matches of one text
+    possible = possible_rows(runs.filter(~inside).drop("before", "after"), known, "phrase")
+    hits = possible.join(known.select("phrase"), "phrase").distinct()
+    # hits that overlap are settled together; a hit that begins after all before it have ended begins a new chain
+    in_text = W.partitionBy("_id").orderBy("start", F.desc("length"), F.desc("phrase"))
+    ended = F.max(F.col("start") + F.col("length")).over(in_text.rowsBetween(W.unboundedPreceding, -1))
+    chained = hits.withColumn("_new", F.coalesce((F.col("start") >= ended).cast("int"), F.lit(1))).withColumn(
+        "_chain", F.sum("_new").over(in_text.rowsBetween(W.unboundedPreceding, 0))
+    )
+    longest = chained.groupBy("_id", "_chain", "start").agg(F.max(F.struct("length", "phrase")).alias("_hit"))
+    in_order = F.array_sort(F.collect_list(F.struct("start", "_hit.length", "_hit.phrase")))  # matches of one chain
     none = F.array().cast("array<struct<start:int,phrase:string>>")
     kept = F.aggregate(
         in_order,
@@ -68,7 +78,7 @@ def find_phrases(texts: DataFrame, phrases: DataFrame, id_: str = "id", text: st
             )
         ),
     )["kept"]
-    found = longest.groupBy("_id").agg(kept.alias("_kept")).select("_id", F.inline("_kept"))
+    found = longest.groupBy("_id", "_chain").agg(kept.alias("_kept")).select("_id", F.inline("_kept"))
     return found.select(F.col("_id").alias(id_), F.col("start").alias("place"), "phrase")
 
 
@@ -81,8 +91,9 @@ def find_skills(texts: DataFrame, lexicon: DataFrame, id_: str = "id", text: str
     """``id, skills``: the sorted distinct canonical skills of every text, by a lexicon of any size given as rows
     ``(canonical, aliases)``. Twin of ``functions.skills.extract_skills``; where skills share an alias, all are found."""
     aliases = lexicon.select("canonical", F.explode("aliases").alias("phrase")).withColumn("phrase", F.lower(F.trim("phrase")))
+    aliases = checkpointed(aliases.distinct())
     found = find_phrases(texts, aliases, id_, text).select(id_, "phrase").distinct()
-    skills = found.join(aliases.distinct(), "phrase").groupBy(id_).agg(F.array_sort(F.collect_set("canonical")).alias("skills"))
+    skills = found.join(aliases, "phrase").groupBy(id_).agg(F.array_sort(F.collect_set("canonical")).alias("skills"))
     none = F.array().cast("array<string>")
     return texts.select(id_).join(skills, id_, "left").withColumn("skills", F.coalesce("skills", none))
 

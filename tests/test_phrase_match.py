@@ -61,3 +61,16 @@ def test_categories_equal_the_pattern(spark):
     many = spark.range(5000).select(F.concat(F.lit("C"), "id").alias("category"), F.concat(F.lit("kw"), "id").alias("keyword"))
     assert rows(find_categories(spark.createDataFrame([(1, "kw4999 x kw3")], "job_id long, job_title string"), many).select("category")) == [("C3",), ("C4999",)]
     assert find_categories(frame, known.limit(0)).count() == 0
+
+
+def test_chains_of_overlaps_and_no_row_of_an_impossible_phrase(spark):
+    """Matches that overlap are settled along the whole chain; runs that are no phrase are not shuffled."""
+    phrases = spark.createDataFrame([("a b",), ("b c",), ("c d e",), ("e",), ("x",)], "phrase string")
+    text = "a b c d e " * 40 + "x"
+    texts = spark.createDataFrame([(1, text), (2, "b c d e x"), (3, "zz " * 50)], "id long, text string")
+    found = find_phrases(texts, phrases)
+    got = sorted((r.id, r.place, r.phrase) for r in found.collect())
+    want = [(1, p * 10 + at, w) for p in range(40) for at, w in ((0, "a b"), (4, "c d e"))] + [(1, 400, "x")]
+    assert got == want + [(2, 0, "b c"), (2, 6, "e"), (2, 8, "x")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "_chain" in plan
