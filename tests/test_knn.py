@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.operators.encoding import check_vectors, encode_incremental, hashing_encoder, model_encoder
+from matchloom.operators import knn
 from matchloom.operators.knn import best_of_cells, best_of_tile, knn_ann, knn_exact, pack_cells
 from matchloom.operators.metrics import recall_at_k
 
@@ -148,3 +149,30 @@ def test_a_tile_of_several_cells_is_searched_by_cell():
     # scores that are equal after rounding go to the lower id, also where they differ before
     tile = best_of_tile(np.array([0]), np.array([[1.0]]), np.array([2, 1, 3]), np.array([[0.50000002], [0.5], [0.1]]), 1)
     assert tile.column("item_id").to_pylist() == [1]
+
+
+def test_hits_stay_bounded_and_exact_over_many_blocks(spark, monkeypatch):
+    """A chunk gives ``k`` hits a query and band, whatever the number of blocks its items stream past in."""
+    monkeypatch.setattr(knn, "SCORES_AT_ONCE", 600)
+    monkeypatch.setattr(knn, "HITS_AT_ONCE", 600)
+    monkeypatch.setattr(knn, "ITEMS_AT_ONCE", 16)
+    rng = np.random.default_rng(9)
+    vectors = unit(rng, 400, 8)
+    vectors[100:200] = vectors[0]  # copies: ties go to the lower id, in whatever block they lie
+    seen = []
+    ranked = knn.top_n
+    monkeypatch.setattr(knn, "top_n", lambda df, *a: seen.append(df) or ranked(df, *a))
+    q, x = frames(spark, list(enumerate(vectors[:40])), list(enumerate(vectors)))
+    found = got(knn_exact(q, x, 6, None, 5, 40))
+    assert found == brute(list(enumerate(vectors[:40])), list(enumerate(vectors)), 6)
+    bands = 2 * spark.sparkContext.defaultParallelism
+    assert seen[0].count() <= 40 * 6 * bands < 40 * 6 * 80
+
+
+def test_single_precision_only_leaves_out_what_is_not_best():
+    rng = np.random.default_rng(12)
+    asks, items = rng.normal(size=(20, 16)) * 1e4, rng.normal(size=(3000, 16)) * 1e4
+    items[1500:] = items[:1500] * (1 + 1e-9)  # nearer than single precision tells
+    got = best_of_tile(np.arange(20), asks, np.arange(3000), items, 5).to_pylist()
+    want = [(q, int(i)) for q in range(20) for i in np.lexsort((np.arange(3000), -np.round(items @ asks[q], 6)))[:5]]
+    assert [(r["query_id"], r["item_id"]) for r in got] == want
