@@ -8,6 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from helpers import rows
+from matchloom.catalog import matching as catalog
 from matchloom.functions.skills import Skill
 from matchloom.operators.filters import apply_filters, effective_k, request_problems, validate_requests
 from matchloom.operators.idf import build_idf
@@ -270,3 +271,17 @@ def test_sort_and_gap(spark):
     )
     assert rows(skill_gap(missing)) == [(1, "A", 3), (1, "B", 1), (1, "C", 1)]
     assert rows(skill_gap(missing, shown=1)) == [(1, "A", 3)]
+
+
+def test_documents_without_a_vector_go_before_their_texts_are_shuffled(spark, tmp_path):
+    docs = [(1, "a", "en", "web"), (2, "b", "de", "web"), (2, "c", "de", "web"), (None, "d", "en", "web"), (9, None, "fr", "x")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = [(2, [1.0], 3), (2, [2.0], 4), (9, [3.0], None), (7, [4.0], 5)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    joined = catalog._vector_texts(spark, str(tmp_path), "label")
+    got = sorted((r.doc_id, r.text or "", r.label or 0) for r in joined.collect())
+    assert got == [(2, "b", 3), (2, "b", 4), (2, "c", 3), (2, "c", 4), (9, "", 0)]
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("Join LeftSemi")  # the bitmap stands below the join
+    for of in (catalog._postings(spark, str(tmp_path)), catalog._requests(spark, str(tmp_path))):
+        assert "Join LeftSemi" in of._jdf.queryExecution().optimizedPlan().toString()
