@@ -176,7 +176,7 @@ def _records(batch: pa.RecordBatch, metadata: tuple) -> list:
 
 def fit(labelled: DataFrame, label: str, metadata: tuple = (), sample: int = SAMPLE_ROWS) -> FactorisationMachine | None:
     """Learn from at most ``sample`` rows of ``labelled(doc_id, text, <label>, *metadata)``."""
-    schema = pa.schema([("label", pa.float64()), ("slots", pa.list_(pa.int64())), ("values", pa.list_(pa.float32()))])
+    schema = pa.schema([("label", pa.float64()), ("slots", pa.list_(pa.int32())), ("values", pa.list_(pa.float32()))])
 
     def run(source):
         for batch in small_batches(source, "text"):
@@ -186,9 +186,12 @@ def fit(labelled: DataFrame, label: str, metadata: tuple = (), sample: int = SAM
                  pa.array([v for _, v in found], schema.field(2).type)], schema=schema)
 
     rows = labelled.select("text", F.col(label).alias("label"), *metadata).limit(sample)
-    found = rows.mapInArrow(run, "label double, slots array<long>, values array<float>").toArrow()
-    rows = [(np.array(s.values), np.array(v.values)) for s, v in zip(found.column("slots"), found.column("values"))]
-    return train(rows, found.column("label").to_numpy())
+    found = rows.mapInArrow(run, "label double, slots array<int>, values array<float>").toArrow()
+    rows = [(s.values.to_numpy(), v.values.to_numpy()) for s, v in zip(found.column("slots"), found.column("values"))]
+    model = train(rows, found.column("label").to_numpy())
+    del rows, found
+    pa.default_memory_pool().release_unused()  # the driver goes on, the sample should not
+    return model
 
 
 def sample_of(labels: DataFrame, label: str, sample: int = SAMPLE_ROWS) -> DataFrame:

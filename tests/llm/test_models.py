@@ -78,6 +78,15 @@ def test_quality(spark, labelled):
     assert all(0 <= r.score <= 1 for r in got) and len(got) == 102
 
 
+def test_the_quality_sample_is_narrow_on_the_driver(spark, labelled, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda rows, labels: seen.extend(rows))
+    quality.fit(spark.createDataFrame(labelled, "doc_id long, text string, quality int"), "quality")
+    assert {(s.dtype, v.dtype) for s, v in seen} == {(np.dtype(np.int32), np.dtype(np.float32))}
+    want = sorted(sorted(quality.features(t)[0].tolist()) for _, t, _ in labelled)
+    assert sorted(sorted(s.tolist()) for s, _ in seen) == want
+
+
 def test_quality_without_labels(spark):
     frame = spark.createDataFrame([(1, "a", None)], "doc_id long, text string, quality int")
     sample = quality.sample_of(frame, "quality")
