@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from matchloom.operators.encoding import check_vectors, encode_incremental, hashing_encoder, model_encoder
 from matchloom.operators import knn
-from matchloom.operators.knn import best_of_cells, best_of_tile, knn_ann, knn_exact, pack_cells
+from matchloom.operators.knn import best_of_cells, best_of_tile, knn_ann, knn_exact, knn_exact_unlike, pack_cells
 from matchloom.operators.metrics import recall_at_k
 
 
@@ -176,3 +176,22 @@ def test_single_precision_only_leaves_out_what_is_not_best():
     got = best_of_tile(np.arange(20), asks, np.arange(3000), items, 5).to_pylist()
     want = [(q, int(i)) for q in range(20) for i in np.lexsort((np.arange(3000), -np.round(items @ asks[q], 6)))[:5]]
     assert [(r["query_id"], r["item_id"]) for r in got] == want
+
+
+def test_unlike_labels_are_searched_beyond_the_first_hits(spark):
+    """Most of the best hits of some queries are of the label they leave out; ids repeat, labels are null or differ."""
+    rng = np.random.default_rng(3)
+    vecs, asks = unit(rng, 90, 8), unit(rng, 12, 8)
+    items = [(i, v, int(i % 4)) for i, v in enumerate(vecs)] + [(i, vecs[i], 1) for i in (3, 3, 40)]
+    items += [(200 + i, asks[0] + np.float32(i / 1000), 2) for i in range(20)] + [(300, asks[0], None), (301, asks[1], None)]
+    queries = [(q, v, (2, 0, 1, None)[q % 4]) for q, v in enumerate(asks)] + [(5, asks[5], 3), (6, asks[6], 1), (7, asks[7], 0)]
+    want = {}
+    for q, vec, unlike in queries:
+        for i, v, label in items:
+            if None not in (unlike, label) and label != unlike:
+                want.setdefault(q, []).append((-round(float(np.dot(np.float64(vec), np.float64(v))), 6) + 0.0, i))
+    want = sorted((q, i, -s + 0.0, rank) for q, found in want.items() for rank, (s, i) in enumerate(sorted(found)[:6], 1))
+    asked = spark.createDataFrame([(q, v.tolist(), u) for q, v, u in queries], "query_id long, vec array<float>, unlike int")
+    offered = spark.createDataFrame([(i, v.tolist(), n) for i, v, n in items], "item_id long, vec array<float>, label int")
+    for depth in (6, 9, 1000):
+        assert got(knn_exact_unlike(asked, offered, 6, knn_exact(asked, offered, depth), depth)) == want
