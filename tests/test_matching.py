@@ -302,7 +302,7 @@ def tables(spark, tmp_path_factory):
     docs += [(60, None, "en", "web"), (61, "the kiln", "en", "web"), (99, "the reed", "en", "web")]
     centre = stub_vector("centre", 8)
     near = [(i, centre + 0.05 * stub_vector(f"v {i}", 8), 1 if i else 0) for i in range(35)]
-    far = [(i, stub_vector(f"v {i}", 8), i % 10) for i in range(35, 61)] + [(61, stub_vector("v 61", 8), None)]
+    far = [(i, stub_vector(f"v {i}", 8), i % 10) for i in range(35, 61)] + [(61, stub_vector("v 61", 8), 5)]
     vectors = [(i, (v / np.linalg.norm(v)).tolist(), label) for i, v, label in near + far]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
@@ -316,3 +316,29 @@ def tables(spark, tmp_path_factory):
 def test_runs_are_whole_where_one_label_crowds_the_best(spark, tables, name):
     folder, con = tables
     assert compare(entry.queries()[name](spark, folder), con, entry.oracle_sql()[name]) is None
+
+
+def test_explain_matches_reads_whole_texts(spark, tables):
+    """The last term of a long text is weighed, scored and explained."""
+    folder, con = tables
+    df = entry.queries()["explain_matches"](spark, folder)
+    assert compare(df, con, entry.oracle_sql()["explain_matches"]) is None
+    own = {r.query_id: r.matched_terms.split("|") for r in df.filter("query_id = job_id").collect()}
+    long = [i for i in own if i < 60 and i % 3]
+    assert long and all(f"tail{i % 5}" in own[i] for i in long)
+
+
+def test_whole_texts_are_scored_and_explained(spark):
+    lexicon = (Skill("icu", "x", ("icu",)),)
+    text = "y" * 1300 + " icu"
+    queries = spark.createDataFrame([(1, text)], "query_id long, query_text string")
+    postings = spark.createDataFrame([(1, text)], "job_id long, text string")
+    pairs = spark.createDataFrame([(1, 1)], "query_id long, job_id long")
+    idf = build_idf(postings, chars=None)
+    assert [r.term for r in idf.filter("term = 'icu'").collect()] == ["icu"] and build_idf(postings).filter("term = 'icu'").isEmpty()
+    weight = idf.filter("term = 'icu'").select(F.lit(1).cast("long").alias("query_id"), "term", "idf")
+    assert lexical_scorer(weight)(pairs, queries, postings).first().cross_encoder_score == 0.0
+    assert lexical_scorer(weight, chars=None)(pairs, queries, postings).first().cross_encoder_score == 1.0
+    whole, capped = (explain(pairs, queries, postings, weight, lexicon, chars=n).first().explanation for n in (None, 1200))
+    assert (whole.matched_skills, [t.term for t in whole.matched_terms], whole.overlap_score) == (["icu"], ["icu"], 1.0)
+    assert (capped.matched_skills, capped.matched_terms) == ([], [])
